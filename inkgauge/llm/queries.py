@@ -7,15 +7,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .common import table
+from .packing import pack_documents
+from .search import exact_top_k, nearest_by_collisions
 from .secret_scan import secret_digest
 from .sharding import shard_digest
 from .token_counts import section_token_counts
+from .toxicity import CATEGORIES, score_toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_collisions(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", *[f"p_{c}" for c in CATEGORIES], "is_toxic")
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -28,9 +48,23 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+EXACT_TOP_K = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(q.w, v.w) AS BIGINT) AS score
+    FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op6_token_counts, op8_secret_scan, op9_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_nearest_neighbours, op3_toxicity, op4_exact_top_k, op5_packing, op6_token_counts, op8_secret_scan, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_top_k": EXACT_TOP_K}
