@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .common import table
 from .jaccard import near_duplicates
+from .language_model import score_documents
 from .packing import pack_documents
 from .search import exact_top_k, nearest_by_collisions
 from .secret_scan import secret_digest
@@ -41,6 +42,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_nearest_neighbours, op3_toxicity, op4_exact_top_k, op5_packing, op6_token_counts, op8_secret_scan, op9_sharding, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_nearest_neighbours, op3_toxicity, op4_exact_top_k, op5_packing, op6_token_counts, op7_language_model, op8_secret_scan, op9_sharding, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
