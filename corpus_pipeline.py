@@ -1,12 +1,54 @@
-"""Corpus pipeline: stages that each take the documents their predecessor kept."""
+"""Corpus pipeline: toxic documents go, one document of each group of near copies stays, live secrets are masked, and
+what is left is packed into training sequences.
+
+Each stage is (name, function of (spark, docs, sf_dir)); what a stage returns is written and read again for the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkgauge.llm.common import own_name, table, written
+from inkgauge.llm.jaccard import near_duplicates
+from inkgauge.llm.packing import pack_documents
+from inkgauge.llm.secret_scan import mask_live_secrets
+from inkgauge.llm.toxicity import score_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go; it learns from the labelled ones among docs."""
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).where("not is_toxic").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays, once.
+
+    Documents without words have no links and all stay; so do rows without id, which can't be told apart.
+    """
+    decided = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("__keep"), F.count("*").alias("__held"))
+    part = own_name(docs, "__row")
+    left = docs.join(decided, "doc_id", "left").where("__keep is null or __keep")
+    # Rows that repeat an id: one of them stays; no others enter this second shuffle.
+    once = left.where("__held > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(part)).select(f"`{part}`.*")
+    return left.where("__held is null or __held = 1").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; credentials that look live are overwritten in their texts, n_chars follows."""
+    clean = mask_live_secrets(docs)
+    n = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return clean.withColumn("n_chars", n) if "n_chars" in docs.columns else clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence of at most 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
-from inkgauge.llm.common import table, written
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("secrets", mask_secrets), ("packing", pack)]
+#: Trained models and shingle sets aren't within SQL's reach; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
