@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import metric_queries, profile_queries, risk_queries, service_queries
+
+PLANS = (risk_queries, service_queries, profile_queries, metric_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}

@@ -108,8 +108,11 @@ def own_text(text: Column, max_short: int = 2) -> Column:
 
 def cut_at(text: Column, pattern: str, least_share: float = 0.0) -> Column:
     """text before the first match, if the match starts after least_share of the text."""
-    at = F.regexp_instr(text, F.lit(pattern)) - 1
-    return F.when((at >= 0) & (at >= F.length(text) * F.lit(least_share)), F.substring(text, F.lit(1), at)).otherwise(text)
+    def cut(t: Column) -> Column:
+        before = F.get(F.split(t, pattern, 2), F.lit(0))
+        return F.when(F.length(before) >= F.length(t) * F.lit(least_share), before).otherwise(t)
+
+    return F.get(F.transform(F.array(text), cut), F.lit(0))  # text is evaluated once, however deep the cuts nest
 
 
 def strip_replies(text: Column) -> Column:
