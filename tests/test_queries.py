@@ -1,0 +1,33 @@
+"""Every query with an SQL twin returns the twin's rows on the smallest tables."""
+
+import math
+
+import duckdb
+import pytest
+
+from inkgauge import catalogue
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def normal(v):
+    return "nan" if isinstance(v, float) and math.isnan(v) else repr(v + 0.0) if isinstance(v, float) else str(v)
+
+
+@pytest.mark.parametrize("name", ["payload_scan", "sensitive_card_scan", "compose_verdict", "effective_policy", "latest_per_key", "upsert_latest_wins", "recent_alerts", "greeting_patterns", "lexicon_usage", "readability", "negative_space", "rank_auc", "catch_at_fpr", "send_profile", "best_recipient_profile"])
+def test_twin(spark, con, name):
+    df = catalogue.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    rel = con.sql(catalogue.oracle_sql()[name])
+    assert sorted(rel.columns) == cols
+    at = [rel.columns.index(c) for c in cols]
+    assert sorted(tuple(normal(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(normal(r[i]) for i in at) for r in rel.fetchall())
