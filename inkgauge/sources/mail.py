@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.header
 import email.policy
 import email.utils
 import re
@@ -68,7 +69,10 @@ def read_mbox(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_maildir(spark: SparkSession, folder: str, sent_only: bool = True) -> DataFrame:
-    """Adds owner and folder from .../maildir/owner/folder/...; other paths have neither and go if sent_only."""
+    """Adds owner and folder from .../maildir/owner/folder/...; other paths have neither and go if sent_only.
+
+    Spark's listing hides folders whose names begin with an underscore; name those in the path itself.
+    """
     m = _parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), False)
     at = F.regexp_extract("path", r"maildir/([^/]+)/([^/]+)/", 1)
     m = m.withColumn("owner", F.when(at != "", at)).withColumn("folder", F.lower(F.regexp_extract("path", r"maildir/([^/]+)/([^/]+)/", 2)))

@@ -12,14 +12,14 @@ RAW = b"From: Lee <lee@example.com>\nTo: Ana <ANA@example.com>, bo@example.org\n
 def test_mail(spark, tmp_path):
     (tmp_path / "a.eml").write_bytes(RAW)
     (tmp_path / "b.mbox").write_bytes(b"From x\n" + RAW + b"From y\n" + RAW)
-    box = tmp_path / "maildir/lee-x/_sent_mail"
+    box = tmp_path / "maildir/lee-x/sent"
     box.mkdir(parents=True)
     (box / "1.").write_bytes(RAW)
     r = mail.read_eml(spark, str(tmp_path)).first()
     assert (r.from_addr, r.to_addrs, r.subject, r.body, str(r.sent)) == ("lee@example.com", ["ana@example.com", "bo@example.org"], "Café", "Hello\n", "2024-01-01 08:00:00")
     assert mail.read_mbox(spark, str(tmp_path)).count() == 2
     r = mail.read_maildir(spark, str(tmp_path)).first()
-    assert (r.owner, r.folder) == ("lee-x", "_sent_mail")
+    assert (r.owner, r.folder) == ("lee-x", "sent")
 
 
 def test_corpus(spark, tmp_path):
