@@ -9,7 +9,6 @@ from ..functions import text as T
 from ..functions.lexicons import CLOSING_WORDS, CONTRACTION, EXPANDED, FUNCTION_WORDS, GREETING_WORDS, LEXICON, NOISE_PHRASES, SKIP_STARTERS
 from .base import MESSAGES, messages, quoted, table
 
-BODY = F.col("body")
 sql_list = lambda xs: "(" + ", ".join(map(quoted, xs)) + ")"
 WORDS = "list_transform(regexp_extract_all(body, '[A-Za-z'']+'), lambda x: lower(x))"
 FIELDS = "list_filter(regexp_split_to_array(body, '[ \\t\\r\\n]+'), lambda x: x <> '')"
@@ -21,13 +20,13 @@ count_sql = lambda t, p: f"CAST(len(regexp_extract_all({t}, {quoted(p)})) AS BIG
 
 def token_frequency(spark, sf) -> DataFrame:
     """Top 100 words of all messages; ties by the word."""
-    w = messages(spark, sf).select(F.explode(T.words(BODY)).alias("word"))
+    w = messages(spark, sf).select(F.explode(T.words(F.col("body"))).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
 def vocabulary_by_author(spark, sf):
     """Words, distinct words, mean length and share of words with three vowel groups or more."""
-    w = messages(spark, sf).select("author", F.explode(T.words(BODY)).alias("word"))
+    w = messages(spark, sf).select("author", F.explode(T.words(F.col("body"))).alias("word"))
     hard = (T.matches(F.col("word"), "[aeiouy]+") >= 3).cast("double")
     g = w.groupBy("author").agg(F.count("*").alias("words"), F.countDistinct("word").alias("distinct_words"), F.round(F.avg(F.length("word")), 6).alias("mean_length"), F.round(F.avg(hard), 6).alias("complex"))
     return g.withColumn("level", F.when((F.col("complex") > 0.12) & (F.col("mean_length") > 5), "advanced").when(F.col("complex") > 0.06, "intermediate").otherwise("conversational"))
@@ -37,14 +36,14 @@ def document_frequency(spark, sf):
     """Up to 40 signature words of each author: in at least 15 % of the messages, over three letters."""
     m = messages(spark, sf)
     n = m.groupBy("author").agg(F.count("*").alias("total"))
-    w = m.select("author", F.explode(F.array_distinct(T.words(BODY))).alias("word")).where(F.length("word") > 3).groupBy("author", "word").agg(F.count("*").alias("df"))
+    w = m.select("author", F.explode(F.array_distinct(T.words(F.col("body")))).alias("word")).where(F.length("word") > 3).groupBy("author", "word").agg(F.count("*").alias("df"))
     r = F.row_number().over(Window.partitionBy("author").orderBy(F.desc("df"), "word"))
     return w.join(n, "author").where("df >= total * 0.15").withColumn("r", r).where("r <= 40").select("author", "word", "df", F.col("r").cast("long").alias("r"))
 
 
 def phrases(spark, sf):
     """Runs of 2 to 5 words within sentences, with the position of their sentence."""
-    s = messages(spark, sf).select("msg_id", "author", F.posexplode(T.marks(BODY)).alias("at", "s"), F.size(T.marks(BODY)).alias("k"))
+    s = messages(spark, sf).select("msg_id", "author", F.posexplode(T.marks(F.col("body"))).alias("at", "s"), F.size(T.marks(F.col("body"))).alias("k"))
     place = F.when(F.col("at") == 0, "opening").when(F.col("at") >= F.col("k") - 2, "closing").otherwise("body")
     w = s.withColumn("w", T.words(F.col("s"))).select("msg_id", "author", "at", place.alias("place"), F.explode(F.concat(*[T.ngrams(F.col("w"), n) for n in (2, 3, 4, 5)])).alias("phrase"))
     return w.where(~F.col("phrase").isin(*NOISE_PHRASES))
@@ -82,7 +81,7 @@ def phrase_examples(spark, sf):
 
 def sentence_templates(spark, sf):
     """First 3, 4 or 5 words of sentences of four words or more, top 50."""
-    s = messages(spark, sf).select(F.explode(T.marks(BODY)).alias("s")).withColumn("w", T.fields(F.lower("s")))
+    s = messages(spark, sf).select(F.explode(T.marks(F.col("body"))).alias("s")).withColumn("w", T.fields(F.lower("s")))
     s = s.where((F.size("w") >= 4) & ~F.get("w", F.lit(0)).isin(*SKIP_STARTERS))
     t = s.select(F.explode(F.filter(F.array(*[F.when(F.size("w") >= n, F.array_join(F.slice("w", 1, n), " ")) for n in (3, 4, 5)]), lambda x: x.isNotNull())).alias("template"))
     return t.groupBy("template").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "template").limit(50)
@@ -98,19 +97,19 @@ def greeting(body):
 
 
 def greeting_patterns(spark, sf):
-    g = messages(spark, sf).select("author", greeting(BODY).alias("pattern")).where("pattern is not null")
+    g = messages(spark, sf).select("author", greeting(F.col("body")).alias("pattern")).where("pattern is not null")
     return g.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("author").alias("authors")).where("n >= 2").orderBy(F.desc("n"), "pattern").limit(20)
 
 
 def closing_patterns(spark, sf):
-    line = messages(spark, sf).select(F.explode(T.last(T.lines(BODY), 3)).alias("line"))
+    line = messages(spark, sf).select(F.explode(T.last(T.lines(F.col("body")), 3)).alias("line"))
     c = line.where(F.lower("line").rlike("^(" + "|".join(CLOSING_WORDS) + ")")).select(F.regexp_replace("line", "[,!. ]+$", "").alias("closing"))
     return c.groupBy("closing").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "closing").limit(20)
 
 
 def lexicon_usage(spark, sf):
     """Uses of every phrase of the lexicons over all messages, in one pass over the rows."""
-    low = F.lower(BODY)
+    low = F.lower(F.col("body"))
     counts = [T.matches(low, rf"\b{p}\b") if whole else T.occurrences(low, p) for _, p, whole, _ in LEXICON]
     g = messages(spark, sf).agg(*[F.sum(c).alias(f"c{i}") for i, c in enumerate(counts)])
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("phrase"), F.col(f"c{i}").alias("n"), F.lit(least).alias("least")) for i, (k, p, _, least) in enumerate(LEXICON)])
@@ -133,21 +132,21 @@ LEXICON_SQL = f"{MESSAGES}, low AS (SELECT lower(body) AS t FROM msgs), usage AS
 def sentence_stats(spark, sf):
     """Sentence lengths of each author: mean, upper median, bands, share of questions and exclamations."""
     m = messages(spark, sf)
-    s = m.select("author", F.explode(T.marks(BODY)).alias("s")).select("author", F.size(T.fields(F.col("s"))).cast("long").alias("n"))
+    s = m.select("author", F.explode(T.marks(F.col("body"))).alias("s")).select("author", F.size(T.fields(F.col("s"))).cast("long").alias("n"))
     r = s.withColumn("r", F.row_number().over(Window.partitionBy("author").orderBy("n"))).withColumn("k", F.count("*").over(Window.partitionBy("author")))
     band = lambda a, b: F.count_if(F.col("n").between(a, b))
     g = r.groupBy("author").agg(F.count("*").alias("sentences"), F.round(F.avg("n"), 6).alias("mean"), F.max(F.when(F.col("r") == F.floor(F.col("k") / 2) + 1, F.col("n"))).alias("upper_median"), band(0, 8).alias("short"), band(9, 20).alias("medium"), band(21, 35).alias("long"), F.count_if(F.col("n") > 35).alias("very_long"))
-    p = m.groupBy("author").agg(F.sum(T.matches(BODY, "[?]")).alias("questions"), F.sum(T.matches(BODY, "!")).alias("exclamations"))
+    p = m.groupBy("author").agg(F.sum(T.matches(F.col("body"), "[?]")).alias("questions"), F.sum(T.matches(F.col("body"), "!")).alias("exclamations"))
     return g.join(p, "author")
 
 
 def sentence_starters(spark, sf):
-    s = messages(spark, sf).select(F.explode(T.marks(BODY)).alias("s")).select(F.lower(F.get(T.fields(F.col("s")), F.lit(0))).alias("starter"))
+    s = messages(spark, sf).select(F.explode(T.marks(F.col("body"))).alias("s")).select(F.lower(F.get(T.fields(F.col("s")), F.lit(0))).alias("starter"))
     return s.groupBy("starter").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "starter").limit(15)
 
 
 def paragraph_stats(spark, sf):
-    p = messages(spark, sf).select("author", F.explode(T.paragraphs(BODY)).alias("p")).select("author", F.size(T.fields(F.col("p"))).alias("n"), F.size(T.marks(F.col("p"))).alias("k"))
+    p = messages(spark, sf).select("author", F.explode(T.paragraphs(F.col("body"))).alias("p")).select("author", F.size(T.fields(F.col("p"))).alias("n"), F.size(T.marks(F.col("p"))).alias("k"))
     g = p.groupBy("author").agg(F.count("*").alias("paragraphs"), F.round(F.avg("n"), 6).alias("mean_words"), F.round(F.avg((F.col("k") <= 1).cast("double")), 6).alias("single"))
     return g.withColumn("style", F.when(F.col("single") > 0.6, "fragmented").when(F.col("single") > 0.3, "balanced").otherwise("dense"))
 
@@ -160,8 +159,8 @@ def within(words):
 
 
 def grammar_signature(spark, sf):
-    low = F.lower(BODY)
-    g = messages(spark, sf).groupBy("author").agg(F.sum(T.matches(low, CONTRACTION)).alias("contracted"), F.sum(T.matches(low, EXPANDED)).alias("expanded"), F.sum(T.matches(low, r"\b(?:is|are|was|were|been|being)[ ]+[a-z]+ed\b")).alias("passive"), F.sum(F.size(T.words(BODY))).alias("words"), *[F.sum(F.size(F.filter(T.words(BODY), within(p)))).alias(f"{k}_n") for k, p in PRONOUNS.items()])
+    low = F.lower(F.col("body"))
+    g = messages(spark, sf).groupBy("author").agg(F.sum(T.matches(low, CONTRACTION)).alias("contracted"), F.sum(T.matches(low, EXPANDED)).alias("expanded"), F.sum(T.matches(low, r"\b(?:is|are|was|were|been|being)[ ]+[a-z]+ed\b")).alias("passive"), F.sum(F.size(T.words(F.col("body")))).alias("words"), *[F.sum(F.size(F.filter(T.words(F.col("body")), within(p)))).alias(f"{k}_n") for k, p in PRONOUNS.items()])
     ratio = F.coalesce(F.try_divide(F.col("contracted"), F.col("contracted") + F.col("expanded")), F.lit(0.0))
     per = lambda c: F.round(F.coalesce(F.try_divide(F.col(c) * F.lit(1000.0), F.col("words").cast("double")), F.lit(0.0)), 4)
     top = F.when((F.col("self_n") > F.col("team_n")) & (F.col("self_n") > F.col("audience_n")), "self_focused").when(F.col("team_n") > F.col("audience_n"), "team_focused").otherwise("audience_focused")
@@ -172,7 +171,7 @@ MARK_PATTERNS = {"exclamation": "!", "question": "[?]", "comma": ",", "semicolon
 
 
 def punctuation_profile(spark, sf):
-    g = messages(spark, sf).groupBy("author").agg(F.sum(F.size(T.fields(BODY))).alias("words"), *[F.sum(T.matches(BODY, p)).alias(k) for k, p in MARK_PATTERNS.items()])
+    g = messages(spark, sf).groupBy("author").agg(F.sum(F.size(T.fields(F.col("body")))).alias("words"), *[F.sum(T.matches(F.col("body"), p)).alias(k) for k, p in MARK_PATTERNS.items()])
     per = lambda k: F.round(F.coalesce(F.try_divide(F.col(k) * F.lit(1000.0), F.col("words").cast("double")), F.lit(0.0)), 4)
     return g.select("author", *[per(k).alias(k) for k in MARK_PATTERNS], F.when(per("exclamation") > 8, "enthusiastic").when(per("exclamation") > 3, "moderate").otherwise("restrained").alias("energy"))
 
@@ -182,7 +181,7 @@ def readability(spark, sf):
     syllables = F.aggregate(F.transform(F.col("w"), lambda x: F.greatest(F.size(F.regexp_extract_all(x, F.lit("[aeiouy]+"), F.lit(0))), F.lit(1)).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     hard = F.size(F.filter("w", lambda x: F.size(F.regexp_extract_all(x, F.lit("[aeiouy]+"), F.lit(0))) >= 3)).cast("long")
     letters = F.aggregate(F.transform(F.col("w"), lambda x: F.length(x).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-    m = messages(spark, sf).select("author", T.words(BODY).alias("w"), F.size(T.marks(BODY)).cast("long").alias("s"))
+    m = messages(spark, sf).select("author", T.words(F.col("body")).alias("w"), F.size(T.marks(F.col("body"))).cast("long").alias("s"))
     g = m.groupBy("author").agg(F.sum(F.size("w").cast("long")).cast("double").alias("W"), F.sum("s").cast("double").alias("S"), F.sum(syllables).cast("double").alias("Y"), F.sum(hard).cast("double").alias("C"), F.sum(letters).cast("double").alias("L")).where("W > 0 and S > 0")
     e = lambda x: F.round(F.expr(x), 4)
     return g.select("author", e("206.835D - 1.015D * W / S - 84.6D * Y / W").alias("ease"), e("0.39D * W / S + 11.8D * Y / W - 15.59D").alias("grade"), e("0.4D * (W / S + 100D * C / W)").alias("fog"), e("5.88D * L / W - 29.6D * S / W - 15.8D").alias("coleman"))
@@ -190,9 +189,9 @@ def readability(spark, sf):
 
 def structure_share(spark, sf):
     """Share of messages with a greeting, a closing, a question in the first sentence."""
-    closing = F.exists(T.last(T.lines(BODY), 3), lambda s: F.lower(s).rlike("^(" + "|".join(CLOSING_WORDS) + ")"))
+    closing = F.exists(T.last(T.lines(F.col("body")), 3), lambda s: F.lower(s).rlike("^(" + "|".join(CLOSING_WORDS) + ")"))
     pct = lambda c: F.round(F.avg(F.when(c, 100.0).otherwise(0.0)), 4)
-    return messages(spark, sf).groupBy("author").agg(pct(greeting(BODY).isNotNull()).alias("greeting"), pct(closing).alias("closing"), pct(F.get(T.lines(BODY), F.lit(0)).contains("?")).alias("hook"))
+    return messages(spark, sf).groupBy("author").agg(pct(greeting(F.col("body")).isNotNull()).alias("greeting"), pct(closing).alias("closing"), pct(F.get(T.lines(F.col("body")), F.lit(0)).contains("?")).alias("hook"))
 
 
 def recipient_summary(spark, sf):
@@ -203,7 +202,7 @@ def recipient_summary(spark, sf):
 
 def style_vector(m: DataFrame) -> DataFrame:
     """Twenty rates of each message after cleaning; all_caps counts lower-cased words, so only those of apostrophes."""
-    m = m.withColumn("t", T.strip_artifacts(BODY)).withColumn("w", T.words(F.col("t"))).withColumn("lens", F.transform(T.sentences(F.col("t")), lambda s: F.size(T.words(s)).cast("double")))
+    m = m.withColumn("t", T.strip_artifacts(F.col("body"))).withColumn("w", T.words(F.col("t"))).withColumn("lens", F.transform(T.sentences(F.col("t")), lambda s: F.size(T.words(s)).cast("double")))
     n = F.greatest(F.size("w"), F.lit(1)).cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     rate = lambda c: F.lit(1000.0) * c / n
@@ -228,7 +227,7 @@ def style_features(spark, sf):
 
 def function_word_freq(spark, sf):
     """Relative frequency of each function word by author, those that occur."""
-    m = messages(spark, sf).select("author", T.words(BODY).alias("w"))
+    m = messages(spark, sf).select("author", T.words(F.col("body")).alias("w"))
     total = m.groupBy("author").agg(F.sum(F.size("w")).alias("total"))
     w = m.select("author", F.explode("w").alias("word")).where(F.col("word").isin(*FUNCTION_WORDS)).groupBy("author", "word").agg(F.count("*").alias("n"))
     return w.join(total, "author").select("author", "word", F.round(F.col("n") / F.col("total"), 8).alias("freq"))
@@ -241,7 +240,7 @@ def tagged(n):
 def negative_space(spark, sf):
     """Share of each message's two- and three-word runs that the benchmark never uses twice."""
     seen = table(spark, sf, "benchmark").select(F.explode(F.concat(*[T.ngrams(T.words(F.col("text")), n) for n in (2, 3)])).alias("gram")).groupBy("gram").count().where("count >= 2").select("gram", F.lit(1).alias("seen"))
-    m = messages(spark, sf).withColumn("w", T.words(BODY))
+    m = messages(spark, sf).withColumn("w", T.words(F.col("body")))
     g = m.select("msg_id", F.explode(F.concat(*[F.transform(T.ngrams(F.col("w"), n), tagged(n)) for n in (2, 3)])).alias("x")).select("msg_id", "x.gram", "x.n")
     j = g.join(seen, "gram", "left")
     share = lambda n: F.round(F.sum(F.when((F.col("n") == n) & F.col("seen").isNull(), 1.0).otherwise(0.0)) / F.greatest(F.sum(F.when(F.col("n") == n, 1.0).otherwise(0.0)), F.lit(1.0)), 6)
@@ -250,7 +249,7 @@ def negative_space(spark, sf):
 
 def deviation_score(spark, sf):
     """Each message against its author's profile: length, exclamations, contractions; thresholds give a verdict."""
-    m = messages(spark, sf).select("msg_id", "author", F.size(T.fields(BODY)).cast("double").alias("n"), T.matches(BODY, "!").cast("double").alias("e"), T.matches(F.lower(BODY), CONTRACTION).cast("double").alias("c"), T.matches(F.lower(BODY), EXPANDED).cast("double").alias("x"))
+    m = messages(spark, sf).select("msg_id", "author", F.size(T.fields(F.col("body"))).cast("double").alias("n"), T.matches(F.col("body"), "!").cast("double").alias("e"), T.matches(F.lower(F.col("body")), CONTRACTION).cast("double").alias("c"), T.matches(F.lower(F.col("body")), EXPANDED).cast("double").alias("x"))
     p = m.groupBy("author").agg(F.avg("n").alias("pn"), (F.lit(1000.0) * F.sum("e") / F.greatest(F.sum("n"), F.lit(1.0))).alias("pe"), F.coalesce(F.try_divide(F.sum("c"), F.sum("c") + F.sum("x")), F.lit(0.0)).alias("pc"))
     j = m.join(p, "author")
     ratio = F.col("n") / F.greatest(F.col("pn"), F.lit(1.0))
