@@ -15,6 +15,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 
-CACHE = 400_000
-LONGEST_CACHED = 96
+CACHE = 600_000  # words that a worker remembers
+LONG_TEXT = 8 << 20
 END = (1).to_bytes(4, "little")
 
 
@@ -46,39 +47,37 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _learn(self, texts: list[str]) -> None:
+        """Ids of texts that aren't known yet, in one call."""
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        self.stems.update((t, array("I", e.ids).tobytes()) for t, e in zip(texts, made, strict=True))
 
-    def _stem(self, stem: str) -> bytes:
-        if (ids := self.stems.get(stem)) is None:
-            ids = self._ids(stem)
-            if len(stem) <= LONGEST_CACHED:
-                if len(self.stems) >= CACHE:
-                    self.stems.clear()
-                self.stems[stem] = ids
-        return ids
-
-    def _word(self, word: bytes) -> bytes:
+    def _parts(self, word: bytes) -> list[str]:
+        """Strings that the tokenizer treats one by one: stems and marks of plain ASCII, else the whole word."""
         if self.plain.fullmatch(word) and b"<|" not in word:
-            return b"".join(map(self._stem, self.within.findall(word.lower().decode())))
-        return self._ids(word.decode())
+            return self.within.findall(word.lower().decode())
+        return [word.decode()]
 
     def encode(self, text: str) -> bytes:
         words = text.encode().split()
         known = self.words
-        for w in {*words}.difference(known):
-            if len(known) >= CACHE:
+        if new := {*words}.difference(known):
+            if len(known) + len(new) > CACHE:
                 known = self.words = {}
-                return self.encode_fresh(words)
-            known[w] = self._word(w)
+                new = {*words}
+            if len(self.stems) + len(new) > CACHE:
+                self.stems = {}
+            split = {w: self._parts(w) for w in new}
+            if fresh := {p for ps in split.values() for p in ps}.difference(self.stems):
+                self._learn([*fresh])
+            stems = self.stems
+            known.update((w, b"".join([stems[p] for p in ps])) for w, ps in split.items())
+            ids = b"".join(map(known.__getitem__, words))
+            if len(new) > CACHE or len(text) > LONG_TEXT:  # a text whose own words would crowd out all others
+                self.words, self.stems = {}, {}
+            return ids
         return b"".join(map(known.__getitem__, words))
 
-    def encode_fresh(self, words: list[bytes]) -> bytes:
-        """After the table of words was emptied: one text, whatever its number of words."""
-        own = {w: self._word(w) for w in {*words}}
-        self.words.update((w, i) for w, i in own.items() if len(w) <= LONGEST_CACHED and len(own) <= CACHE)
-        return b"".join(map(own.__getitem__, words))
-
 
 @functools.lru_cache(maxsize=2)
 def _encoder(key: str, model: str) -> WordEncoder:
