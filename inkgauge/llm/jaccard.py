@@ -6,7 +6,7 @@ shingles among the first n - ceil(t n) + k. Light sets enumerate all pairs of th
 heavy sets, and light ones large enough to be linked to a heavy one, are entered into inverted lists of single
 shingles. The boundary between light and heavy is the size that costs least by the histogram of sizes.
 
-The lists aren't expanded into all pairs. Each list has a hub, its smallest node; every other node of the list is
+The lists aren't expanded into all pairs. A list is cut where sizes leave a gap that no link can cross. Each list has a hub, its smallest node; every other node of the list is
 compared with the hub. All nodes that met one hub form its canopy, and any two nodes that share a list are in the
 canopy of that list's hub. Inside a canopy, nodes linked to the hub are connected already; the others are compared with
 those whose distance from the hub allows a link by the triangle inequality. So all links are found up to connection,
@@ -153,61 +153,92 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(src.mapInArrow(run, "kind int, doc long, node long, n long, packed binary"))
 
 
+def segments(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where segments begin, of entries sorted by key and low: a list falls apart where no sizes across a gap can link."""
+    if not len(key):
+        return np.zeros(0, bool)
+    head = np.r_[True, key[1:] != key[:-1]]
+    lift = np.cumsum(head) << np.int64(34)
+    reach = (np.maximum.accumulate(lift + high) - lift)[:-1]
+    return head | np.r_[True, PERCENT * low[1:].astype(np.int64) > 100 * reach]
+
+
 def _canopies(nodes: DataFrame, buckets: int, common, light_most: int, hot: int) -> DataFrame:
     """hub, node, n: each node with the hub of each list it is in.
 
+    A list is cut where neighbouring sizes are too far apart for a link; what is between cuts is a list of its own below.
     Entries meet in buckets of keys. Where a batch of documents alone has over hot nodes in a list, only the smallest of
-    them goes to the bucket; the others are spread over buckets of their own and tied to the list's hub by a join on the
-    key, which Spark splits where a key is frequent. So a list of a third of all nodes fills no bucket.
+    them goes to the bucket, with the range of sizes; the others are spread over buckets of their own and tied to the
+    list's hub by a join on the key, which Spark splits where a key is frequent. So a list of a third of all nodes fills
+    no bucket. Keys keep 40 bits within a bucket; two keys that fall together only make a canopy larger.
     """
     src = nodes.where("kind = 0 and packed is not null and n > 1").select("node", "n", "packed")
+    low_bits = np.uint64((1 << 40) - 1)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weight = common.value
         for batch in batches:
             ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             made = [signatures(_set_of(p), keys, weight, light_most) for p in batch.column(2).to_pylist()]
-            if not made:
+            key, who = np.concatenate([np.zeros(0, np.uint64), *made]), np.repeat(np.arange(len(made)), [len(m) for m in made])
+            if not len(key):
                 continue
-            key, who = np.concatenate(made), np.repeat(np.arange(len(made)), [len(m) for m in made])
-            order = np.lexsort((ids[who], key))
-            key, who = key[order], who[order]
-            head = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-            length = np.diff(np.r_[np.flatnonzero(head), len(key)])
-            frequent = np.repeat(length > hot, length)
             bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            aside = frequent & ~head
-            bucket[aside] = buckets + ids[who[aside]] % buckets
-            order = np.argsort(bucket, kind="stable")
-            key, who, bucket, frequent = key[order], who[order], bucket[order], frequent[order]
+            key = (bucket.astype(np.uint64) << np.uint64(40)) | (key & low_bits)
+            order = np.lexsort((ids[who], sizes[who], key))
+            key, node, n, bucket = key[order], ids[who[order]], sizes[who[order]], bucket[order]
+            starts = np.flatnonzero(segments(key, n, n))
+            length = np.diff(np.r_[starts, len(key)])
+            hub = np.repeat(np.minimum.reduceat(node, starts), length)
+            frequent = np.repeat(length > hot, length)
+            low, high = np.repeat(n[starts], length), np.repeat(np.maximum.reduceat(n, starts), length)
+            aside = frequent & (node != hub)
+            bucket[aside] = buckets + node[aside] % buckets
+            order = np.lexsort((node, bucket))  # equal nodes side by side compress well
+            key, node, n, bucket, frequent, low, high = (x[order] for x in (key, node, n, bucket, frequent, low, high))
             edges = np.searchsorted(bucket, np.arange(2 * buckets + 1))
-            rows = [(b, key[i:j].tobytes(), ids[who[i:j]].tobytes(), sizes[who[i:j]].astype(np.int32).tobytes(), frequent[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)]], ["bucket", "keys", "ids", "sizes", "frequent"])
+            rows = []
+            for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+                if i < j:
+                    f = frequent[i:j]
+                    k = key[i:j].view(np.uint8).reshape(-1, 8)
+                    spans = b"" if b >= buckets else np.c_[low[i:j][f], high[i:j][f]].astype(np.int64).tobytes()
+                    rows.append((b, (k if b >= buckets else k[:, :5]).tobytes(), node[i:j].tobytes(), n[i:j].astype(np.int32).tobytes(), f.tobytes(), spans))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)]], ["bucket", "keys", "ids", "sizes", "frequent", "spans"])
 
     def meet(table: pa.Table) -> pa.Table:
-        """kind 0: node tied to its hub; 1: hub of a frequent list; 2: node of a frequent list, with the list's key."""
+        """kind 0: node tied to its hub; 1: hub and sizes of a frequent list; 2: node of a frequent list, with the list's key."""
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
-        key, node, size, frequent = read("keys", np.uint64), read("ids", np.int64), read("sizes", np.int32), read("frequent", bool)
-
-        def out(kind: int, key: np.ndarray, hub: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.Table:
-            return pa.table({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key.view(np.int64)), "hub": pa.array(hub), "node": pa.array(node), "n": pa.array(n.astype(np.int64))})
-
-        if table["bucket"][0].as_py() >= buckets:
-            return out(2, key, node, node, size)
-        order = np.lexsort((node, key))
-        key, node, size, frequent = key[order], node[order], size[order], frequent[order]
-        head = np.r_[True, key[1:] != key[:-1]]
-        at = np.flatnonzero(head)[np.cumsum(head) - 1]
-        marked = np.unique(at[frequent])
-        hub = node[at]
+        node, n, frequent = read("ids", np.int64), read("sizes", np.int32).astype(np.int64), read("frequent", bool)
+        bucket = table["bucket"][0].as_py()
+
+        def out(kind: int, key: np.ndarray, hub: np.ndarray, node: np.ndarray, n: np.ndarray, high: np.ndarray) -> pa.Table:
+            return pa.table({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key.view(np.int64)), "hub": pa.array(hub), "node": pa.array(node), "n": pa.array(n), "high": pa.array(high)})
+
+        if bucket >= buckets:
+            return out(2, read("keys", np.uint64), node, node, n, n)
+        raw = np.zeros((len(node), 8), np.uint8)
+        raw[:, :5] = read("keys", np.uint8).reshape(-1, 5)
+        key = raw.view(np.uint64).ravel()
+        low, high = n.copy(), n.copy()
+        low[frequent], high[frequent] = read("spans", np.int64).reshape(-1, 2).T
+        order = np.lexsort((low, key))
+        key, node, n, frequent, low, high = (x[order] for x in (key, node, n, frequent, low, high))
+        starts = np.flatnonzero(segments(key, low, high))
+        length = np.diff(np.r_[starts, len(key)])
+        least = np.minimum.reduceat(node, starts)
+        hub = np.repeat(least, length)
         tied = np.flatnonzero(node != hub)
         once = np.unique(np.c_[hub[tied], node[tied]], axis=0, return_index=True)[1] if len(tied) else tied
         tied = tied[once]
-        return pa.concat_tables([out(0, np.zeros(len(tied), np.uint64), hub[tied], node[tied], size[tied]), out(1, key[marked], hub[marked], node[marked], size[marked])])
-
-    packs = src.mapInArrow(entries, "bucket int, keys binary, ids binary, sizes binary, frequent binary")
-    met = written(packs.groupBy("bucket").applyInArrow(meet, "kind int, key long, hub long, node long, n long"))
-    frequent = met.where("kind = 2").select("key", "node", "n").join(met.where("kind = 1").select("key", "hub"), "key").where("hub <> node")
+        marked = np.maximum.reduceat(frequent, starts)
+        full = (np.uint64(bucket) << np.uint64(40)) | key[starts][marked]
+        return pa.concat_tables([out(0, np.zeros(len(tied), np.uint64), hub[tied], node[tied], n[tied], n[tied]), out(1, full, least[marked], least[marked], low[starts][marked], np.maximum.reduceat(high, starts)[marked])])
+
+    packs = src.mapInArrow(entries, "bucket int, keys binary, ids binary, sizes binary, frequent binary, spans binary")
+    met = written(packs.groupBy("bucket").applyInArrow(meet, "kind int, key long, hub long, node long, n long, high long"))
+    hubs = met.where("kind = 1").select("key", "hub", F.col("n").alias("low"), "high")
+    frequent = met.where("kind = 2").select("key", "node", "n").join(hubs, "key").where("hub <> node and n >= low and n <= high")
     return written(met.where("kind = 0").select("hub", "node", "n").unionByName(frequent.select("hub", "node", "n")).distinct())
 
 
