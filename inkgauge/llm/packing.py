@@ -61,22 +61,24 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         words = text.encode().split()
         known = self.words
-        if new := {*words}.difference(known):
-            if len(known) + len(new) > CACHE:
-                known = self.words = {}
-                new = {*words}
-            if len(self.stems) + len(new) > CACHE:
-                self.stems = {}
-            split = {w: self._parts(w) for w in new}
-            if fresh := {p for ps in split.values() for p in ps}.difference(self.stems):
-                self._learn([*fresh])
-            stems = self.stems
-            known.update((w, b"".join([stems[p] for p in ps])) for w, ps in split.items())
-            ids = b"".join(map(known.__getitem__, words))
-            if len(new) > CACHE or len(text) > LONG_TEXT:  # a text whose own words would crowd out all others
-                self.words, self.stems = {}, {}
-            return ids
-        return b"".join(map(known.__getitem__, words))
+        got = [*map(known.get, words)]
+        if None not in got:
+            return b"".join(got)
+        new = {w for w, ids in zip(words, got, strict=True) if ids is None}
+        if len(known) + len(new) > CACHE:
+            known = self.words = {}
+            new = {*words}
+        if len(self.stems) + len(new) > CACHE:
+            self.stems = {}
+        split = {w: self._parts(w) for w in new}
+        if fresh := {p for ps in split.values() for p in ps}.difference(self.stems):
+            self._learn([*fresh])
+        stems = self.stems
+        known.update((w, b"".join([stems[p] for p in ps])) for w, ps in split.items())
+        ids = b"".join(map(known.__getitem__, words))
+        if len(new) > CACHE or len(text) > LONG_TEXT:  # a text whose own words would crowd out all others
+            self.words, self.stems = {}, {}
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
