@@ -9,6 +9,10 @@ whole vocabulary and one unknown word.
 Contexts are hashed, so all training tokens add up to a table of bounded size: counts by context and word. Its blocks
 stay distributed; in each round every block yields the gradient of its counts, the driver adds the gradients, whose size
 is the model's, and sends the new weights. Tables of the two factors then score texts in numpy batches.
+
+That model is what word pairs back off to: the counts of all pairs of a word and the one after it, whatever their rank,
+are discounted absolutely, and the mass taken off goes by the model above. Pairs grow with the corpus and stay
+distributed. Every task holds the commonest of them; tokens of the others are joined with the table of counts.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ PENALTY = 8.0  # L2, in counts
 LONGEST = 64  # bytes; longer words are known by a digest
 FLUSH = 400_000
 CELLS = 1 << 16  # of a block
+HELD_PAIRS = 1 << 19  # pairs of words whose counts every task holds; rarer ones are joined
+PAIR_TOKENS = 1 << 20  # counted together before they are sent
 END = b""
 
 
@@ -80,7 +86,7 @@ class Vocabulary:
         self.word_class = np.zeros(len(words) + 1, np.int64)
         if m:
             self.word_class[:m] = 1 + np.minimum(CLASSES - 1, ((mass - mass[0] / 2) * CLASSES / mass[-1]).astype(np.int64))
-        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words] + [0], np.uint64)
+        hashed = self.hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words] + [0], np.uint64)
         number = np.arange(len(words) + 1)
         bucket = lambda own, total, seed: np.where(number < own, number, own + ((hashed + np.uint64(seed)) % np.uint64(total - own)).astype(np.int64))
         self.first, self.second = bucket(192, FIRST, 0), bucket(48, SECOND, 1)
@@ -100,6 +106,84 @@ def tokens(text: str, number: dict[bytes, int], missing: int) -> tuple[list[byte
     return words, np.fromiter((number.get(w, missing) for w in words), np.int64, len(words))
 
 
+def word_hashes(words: list[bytes], ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """64 bits for each word, by itself and not by its number."""
+    hashes = vocabulary.hashed[ids]
+    for i in np.flatnonzero(ids == len(vocabulary.counts) - 1).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(canonical(words[i]))
+    return hashes
+
+
+BEFORE = np.uint64(xxhash.xxh3_64_intdigest(END))  # stands before each text
+
+
+def pair_keys(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """64 bits for each pair of a word and the one after it."""
+    mixed = before * np.uint64(0x9E3779B185EBCA87) + (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x165667B19E3779F9)
+
+
+def pair_counts(src: DataFrame, vocabulary) -> DataFrame:
+    """pair, before (hashes as long), c: counts of all pairs in the training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = vocabulary.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            before = np.concatenate([h[0] for h in held] or [np.zeros(0, np.uint64)])
+            keys, at, c = np.unique(pair_keys(before, np.concatenate([h[1] for h in held] or [before])), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(before[at].view(np.int64)), pa.array(c.astype(np.int64))], ["pair", "before", "c"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                hashes = word_hashes(*tokens(text, v.number, len(v.counts) - 1), v)
+                held.append((np.r_[BEFORE, hashes[:-1]], hashes))
+                size += len(hashes)
+                if size >= PAIR_TOKENS:
+                    yield out()
+                    held.clear()
+                    size = 0
+        yield out()
+
+    made = src.where("not held_out").select("text").mapInArrow(run, "pair long, before long, c long")
+    return written(made.groupBy("pair", "before").agg(F.sum("c").alias("c")))
+
+
+class Pairs:
+    """Commonest pairs, what follows each known word, and the discount."""
+
+    def __init__(self, pairs: DataFrame, vocabulary: Vocabulary, most: int):
+        spark = pairs.sparkSession
+        of_count = np.array(sorted((tuple(r) for r in pairs.groupBy("c").count().collect()), reverse=True), np.int64).reshape(-1, 2)
+        ones, twos = (int(of_count[of_count[:, 0] == k, 1].sum()) for k in (1, 2))
+        self.discount = ones / (ones + 2 * twos) if ones and twos else 0.75
+        fit = of_count[np.cumsum(of_count[:, 1]) <= most, 0]
+        rows = pairs.where(F.col("c") >= int(fit.min())).select("pair", "c").toArrow() if len(fit) else pa.table({"pair": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        keys = rows["pair"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], rows["c"].to_numpy()[order]
+        # How many different words follow each known word; the last: one that isn't known.
+        known = vocabulary.hashed[:-1].view(np.int64)
+        names = spark.createDataFrame(pa.table({"before": known, "number": np.arange(len(known))}), "before long, number long")
+        followed = self.followed(pairs).join(F.broadcast(names), "before").select("number", "followers").toArrow()
+        self.followers = np.zeros(len(known) + 1)
+        self.followers[followed["number"].to_numpy()] = followed["followers"].to_numpy()
+
+    @staticmethod
+    def followed(pairs: DataFrame) -> DataFrame:
+        """before, times, followers: how often each word has one after it, and how many different ones."""
+        return pairs.groupBy("before").agg(F.sum("c").alias("times"), F.count("*").alias("followers"))
+
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of the pairs held here, 0 for others."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+
 def context_counts(src: DataFrame, vocabulary) -> DataFrame:
     """factor, block, at, n: counts (int64) of a block of CELLS cells by context and class (factor 0) or word (1)."""
 
@@ -271,7 +355,39 @@ def score_tables(w: dict, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return fine, coarse
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+#: Of tokens whose pair isn't held: hashes, the hashed model's share, whether both words are known, and what is known of the one before.
+OPEN = {"pair": "long", "before": "long", "word": "long", "share": "double", "word_known": "boolean", "before_known": "boolean", "times_before": "double", "followers": "double"}
+
+
+def hashed_words(counts: DataFrame) -> DataFrame:
+    """word (its hash), c_word"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh3_64_intdigest(w) for w in batch.column(0).to_pylist()], np.uint64).view(np.int64)), batch.column(1)], ["word", "c_word"])
+
+    return counts.select("word", "c").mapInArrow(run, "word long, c_word long")
+
+
+def pair_scores(scored: DataFrame, pairs: DataFrame, counts: DataFrame, discount: float) -> DataFrame:
+    """row, score_pairs: sums over the tokens whose pair isn't held. Only a rare word or a rare one before asks for more than the count of the pair."""
+    each = scored.select("row", F.explode(F.arrays_zip(*OPEN)).alias("t")).select("row", *[F.col(f"t.{c}").alias(c) for c in OPEN])
+    each = each.join(pairs.select("pair", F.col("c").alias("c_pair")), "pair", "left")
+    known = F.col("word_known") & F.col("before_known")
+    word = hashed_words(counts)
+    rest = each.where(~known)
+    # Known words stand in for many tokens: their rows look under the pair instead, which spreads and is discarded.
+    rest = rest.withColumn("by_word", F.when(F.col("word_known"), F.col("pair")).otherwise(F.col("word"))).withColumn("by_before", F.when(F.col("before_known"), F.col("pair")).otherwise(F.col("before")))
+    rest = rest.join(word.withColumnRenamed("word", "by_word"), "by_word", "left").join(Pairs.followed(pairs).toDF("by_before", "t", "f"), "by_before", "left")
+    rest = rest.withColumn("share", F.when(F.col("word_known"), F.col("share")).otherwise(F.col("share") * (F.coalesce("c_word", F.lit(0)) + F.lit(0.1))))
+    rest = rest.withColumn("times_before", F.when(F.col("before_known"), F.col("times_before")).otherwise(F.coalesce("t", F.lit(0)))).withColumn("followers", F.when(F.col("before_known"), F.col("followers")).otherwise(F.coalesce("f", F.lit(0))))
+    columns = ["row", "c_pair", "share", "times_before", "followers"]
+    every = each.where(known).select(*columns).unionByName(rest.select(*columns))
+    p = F.when(F.col("times_before") > 0, (F.greatest(F.coalesce("c_pair", F.lit(0)) - F.lit(discount), F.lit(0.0)) + F.lit(discount) * F.col("followers") * F.col("share")) / F.col("times_before")).otherwise(F.col("share"))
+    return every.groupBy("row").agg(F.sum(F.log10(p)).alias("score_pairs"))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, known: int = KNOWN, held_pairs: int = HELD_PAIRS) -> DataFrame:
     """A row for each document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Scores are log10 probabilities of the whole text and its end. Training uses all documents but the held-out tenth;
@@ -283,11 +399,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = source(docs, id_col, text_col)
     counts = written(word_counts(src))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
+    top = counts.orderBy(F.desc("c"), "word").limit(known).toArrow()
     own = Vocabulary(top["word"].to_pylist(), top["c"].to_numpy() if len(top) else np.zeros(0, np.int64))
     vocabulary = spark.sparkContext.broadcast(own)
     weights = train(context_counts(src, vocabulary), vocabulary, rounds)
     tables = spark.sparkContext.broadcast(score_tables(weights, own))
+    pairs = pair_counts(src, vocabulary)
+    common = spark.sparkContext.broadcast(Pairs(pairs, own, held_pairs))
+    discount = common.value.discount
     rest_n, rest_v = n - float(own.counts[: own.modelled].sum()), v - own.modelled
     base_total, rest_total = (math.log10(a + 0.1 * (b + 1)) for a, b in ((n, v), (rest_n, rest_v)))
     kind = src.schema["doc"].dataType.simpleString()
@@ -295,10 +414,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab: Vocabulary = vocabulary.value
         fine, coarse = tables.value
+        held: Pairs = common.value
         missing = len(vocab.counts) - 1
         logs = np.log10(vocab.counts + 0.1)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             size, known, base, model, rare, times = [], [], [], [], [], []
+            open_tokens: list[list] = []
             for text in batch.column(1).to_pylist():
                 words, ids = tokens(text, vocab.number, missing)
                 a, b = vocab.contexts(ids)
@@ -306,25 +429,43 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 size.append(len(ids))
                 known.append(int(here.sum()))
                 base.append(float(logs[ids[here]].sum()))
-                score = float(fine[a, vocab.word_class[ids]].sum(dtype=np.float64)) + float(coarse[b[inside], ids[inside]].sum(dtype=np.float64))
-                middle = here & ~inside
-                model.append(score + float(logs[ids[middle]].sum()) - rest_total * float((~inside).sum()))
+                # The share of the hashed model; of a word that isn't known, without its count.
+                share = fine[a, vocab.word_class[ids]].astype(np.float64)
+                share[inside] += coarse[b[inside], ids[inside]]
+                share[~inside] -= rest_total
+                share[here & ~inside] += logs[ids[here & ~inside]]
+                share = 10.0**share
+                hashes = word_hashes(words, ids, vocab)
+                before = np.r_[BEFORE, hashes[:-1]]
+                before_ids = np.r_[vocab.number.get(END, missing), ids[:-1]]
+                keys = pair_keys(before, hashes)
+                c = held.found(keys)
+                done = here & (before_ids < missing) & (c > 0)
+                seen = vocab.counts[before_ids]  # every word has one after it, the end of a text its start
+                model.append(float(np.log10((c[done] - discount + discount * held.followers[before_ids[done]] * share[done]) / seen[done]).sum()))
+                left = ~done
+                unknown = before_ids[left] == missing
+                open_tokens.append([keys[left].view(np.int64), before[left].view(np.int64), hashes[left].view(np.int64), share[left], here[left], ~unknown, seen[left], held.followers[before_ids[left]]])
                 others = Counter(canonical(words[i]) for i in np.flatnonzero(~here).tolist())
                 rare.append([*others])
                 times.append([*others.values()])
+            offsets = pa.array(np.r_[0, np.cumsum([len(x[0]) for x in open_tokens])].astype(np.int32))
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*open_tokens, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                ["doc", "held_out", "n_tokens", "n_here", "base_here", "score_here", "rare", "times"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), *columns],
+                ["doc", "held_out", "n_tokens", "n_here", "base_here", "score_here", "rare", "times", *OPEN],
             )
 
-    scored = src.select("doc", "text", "held_out").mapInArrow(run, f"doc {kind}, held_out boolean, n_tokens long, n_here long, base_here double, score_here double, rare array<binary>, times array<long>")
+    listed = ", ".join(f"{name} array<{kind}>" for name, kind in OPEN.items())
+    scored = src.select("doc", "text", "held_out").mapInArrow(run, f"doc {kind}, held_out boolean, n_tokens long, n_here long, base_here double, score_here double, rare array<binary>, times array<long>, {listed}")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
+    joined = pair_scores(scored, pairs, counts, discount)
     # Rare words are joined with their counts and summed by document; a document without any has no row there.
-    pairs = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
-    found = pairs.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))).alias("log_rare"))
-    done = scored.drop("rare", "times").join(found, "row", "left")
+    words = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
+    found = words.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))).alias("log_rare"))
+    done = scored.drop("rare", "times", *OPEN).join(found, "row", "left").join(joined, "row", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))
     return done.select(
         F.col("doc").alias(id_col), "held_out", "n_tokens", (F.col("n_here") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base_here") + log_rare - F.col("n_tokens") * F.lit(base_total)).alias("base_score"), (F.col("score_here") + log_rare).alias("score"),
+        (F.col("base_here") + log_rare - F.col("n_tokens") * F.lit(base_total)).alias("base_score"), (F.col("score_here") + F.coalesce("score_pairs", F.lit(0.0))).alias("score"),
     )

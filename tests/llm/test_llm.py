@@ -221,3 +221,42 @@ def test_op10_awkward(awkward, empty):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(awkward).collect())
     assert got[4, 1, 4] == 2 and got[1, 0, 1] == 1 and got[None, 1, None] == 1 and sum(got.values()) == len(AWKWARD)
     assert jaccard.near_duplicates(empty).collect() == []
+
+
+def test_op7_pairs(spark):
+    """Pairs of words beyond the modelled ones count, by hand where no training round blurs it, held or joined."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        w = []
+        for _ in range(30):
+            k = rng.randrange(3000)
+            w += [f"a{k}", f"b{k}"] if rng.random() < 0.9 else [f"a{k}", f"b{rng.randrange(3000)}"]
+        rows.append((i, " ".join(w)))
+    held = next(i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows += [(held, "a17 b17 new"), (None, "a17 b18")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text, count, pairs = {}, Counter(), Counter()
+    for i, t in rows:
+        text[i] = [*t.encode().split(), b""]
+        if zlib.crc32(str("" if i is None else i).encode()) % 10:
+            count.update(text[i])
+            pairs.update(zip([b"", *text[i]], text[i]))
+    n, v = sum(count.values()), len(count)
+    assert v > language_model.MODELLED
+    order = sorted(count, key=lambda w: (-count[w], w))
+    own = language_model.Vocabulary(order, np.array([count[w] for w in order]))
+    inside = {w: int(own.word_class[i]) for i, w in enumerate(order[: own.modelled])}
+    mass = Counter()
+    for w, k in inside.items():
+        mass[k] += count[w]
+    rest = n - sum(mass.values()) + 0.1 * (v - len(inside) + 1)
+    share = lambda w: (count[w] / mass[inside[w]] if w in inside else (count[w] + 0.1) / rest) / (language_model.CLASSES + 1)
+    follow = Counter(a for a, _ in pairs)
+    ones, twos = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos)
+    p = lambda a, b: (max(pairs[a, b] - d, 0) + d * follow[a] * share(b)) / count[a] if count[a] else share(b)
+    for options in ({}, {"held_pairs": 64}, {"held_pairs": 64, "known": 4200}):
+        for r in language_model.score_documents(docs, rounds=0, **options).collect():
+            w = text[r.doc_id]
+            assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([b"", *w], w)), rel=1e-5)
