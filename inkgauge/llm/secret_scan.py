@@ -8,6 +8,7 @@ hold and that looks random is reported as live.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,13 @@ KINDS = [
     ("hex", r"([0-9a-f]{16,})", 1, 16),
     ("github", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, 40),
     ("payment", r"([sr]k_(?:live|test)_[A-Za-z0-9]{16,})", 1, 24),
-    ("private", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1),
+    # From the header to the END line, or without one over header fields and what can be base64 (escaped line ends too).
+    ("private", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-[^-]++){0,20}+-----END [A-Z ]*PRIVATE KEY-----|(?:[\r\n]+[A-Za-z0-9-]+: [^\r\n]*+){0,20}+[A-Za-z0-9+/=\r\n\\]*+))", 1, 1),
 ]
 BASE = 3
+#: Alphabets that a value may be drawn from, the smallest first, and the sizes of them; any other value counts as of 64.
+ALPHABETS = [("^[0-9]*$", 10), ("^[0-9a-f]*$|^[0-9A-F]*$", 16), ("^[a-z]*$|^[A-Z]*$", 26), ("^[a-z0-9]*$|^[A-Z0-9]*$", 36), ("^[A-Za-z0-9]*$", 62)]
+LONGEST = 64  # characters; what longer random values reach is above any limit here
 
 
 def found(text: Column, rank: int) -> Column:
@@ -65,6 +70,30 @@ def bits_a_character(value: Column) -> Column:
     return F.aggregate(F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / n), F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
+@functools.cache
+def reached(size: int) -> list[float]:
+    """Bits a character that nearly all random values of 0, 1, ... LONGEST characters from an alphabet reach: mean less three standard deviations."""
+    out = [0.0]
+    for n in range(1, LONGEST + 1):
+        part = [-k / n * math.log2(k / n) if k else 0.0 for k in range(n + 1)]
+        one = [math.comb(n, k) * (size - 1) ** (n - k) / size**n for k in range(n + 1)]
+        mean = sum(p * f for p, f in zip(one, part, strict=True))
+        square = sum(p * f * f for p, f in zip(one, part, strict=True))
+        both = sum(math.comb(n, i) * math.comb(n - i, j) * (size - 2) ** (n - i - j) / size**n * part[i] * part[j] for i in range(1, n + 1) for j in range(1, n - i + 1))
+        out.append(size * mean - 3 * math.sqrt(max(size * square + size * (size - 1) * both - (size * mean) ** 2, 0.0)))
+    return out
+
+
+def least_bits(value: Column, most: float) -> Column:
+    """The limit of bits_a_character for a value: most, or less where random values of its length and alphabet don't reach that."""
+    at = F.least(F.length(value), F.lit(LONGEST))
+    limit = lambda size: F.get(F.array(*[F.lit(min(most, x)) for x in reached(size)]), at)
+    out = limit(64)
+    for pattern, size in reversed(ALPHABETS):
+        out = F.when(value.rlike(pattern), limit(size)).otherwise(out)
+    return out
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
     """A row for each document: __row, id_col, owner, repository, spans ordered by start and kind."""
     text = F.col("__text")
@@ -84,12 +113,12 @@ def ownership(spans: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3, live_bits: float = 3.0, salts: int = 16) -> DataFrame:
     """A row for each document: id_col, spans (array of kind, start, end, hash, owners, repositories, live).
 
-    A value is live if fewer than copied_owners owners hold it and its characters hold at least live_bits bits each;
-    else it is a copied example or a placeholder. Null texts have no spans; null owners and repositories count as the
+    A value is live if fewer than copied_owners owners hold it and its characters hold at least live_bits bits each, or
+    what random values of its length and alphabet reach if that is less; else it is a copied example or a placeholder. Null texts have no spans; null owners and repositories count as the
     empty one; ids may be null or repeat, each row stands alone; other columns are ignored; an empty table gives no
     rows. The value itself is hashed at once and never returned.
     """
-    rows = written(candidates(docs, id_col, text_col, owner_col, repo_cols).withColumn("__spans", F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), (bits_a_character(s["value"]) >= live_bits).alias("random")))))
+    rows = written(candidates(docs, id_col, text_col, owner_col, repo_cols).withColumn("__spans", F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), (bits_a_character(s["value"]) >= least_bits(s["value"], live_bits)).alias("random")))))
     each = rows.where(F.size("__spans") > 0).select("*", F.explode("__spans").alias("s")).select("__row", id_col, "__owner", "__repo", F.col("s.hash").alias("__hash"), "s")
     # Copies of one value are many rows with one hash: the rows are dealt over salts, the statistics repeated for each.
     stats = ownership(each).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
