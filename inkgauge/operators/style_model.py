@@ -5,13 +5,39 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, IDF, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.lexicons import FUNCTION_WORDS
 
-def calibrated_trees(rows: DataFrame, features: list[str], label: str, id_col: str, rounds: int = 20, folds: int = 3) -> DataFrame:
+
+def word_grams(text: Column) -> Column:
+    """Runs of 3 to 5 characters within lower-cased words that have a blank at both ends."""
+    runs = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(T.fields(F.lower(text)), lambda x: F.flatten(F.transform(F.array(F.concat(F.lit(" "), x, F.lit(" "))), lambda w: F.concat(*[runs(w, n) for n in (3, 4, 5)])))))
+
+
+def with_text_features(rows: DataFrame, text_col: str, style: list[str], least: int = 3, most: int = 2000) -> DataFrame:
+    """rows with vectors: dense (columns style and the share of each function word, scaled) and grams (TF-IDF of
+    word_grams: those in at least `least` texts, the `most` commonest of them; 1 + ln tf, smoothed idf + 1, length 1)."""
+    clean = rows.withColumn("__t", T.strip_artifacts(F.coalesce(text_col, F.lit("")))).withColumn("__w", T.words(F.col("__t"))).withColumn("__g", word_grams(F.col("__t"))).drop("__t")
+    counted = CountVectorizerModel.from_vocabulary(list(FUNCTION_WORDS), inputCol="__w", outputCol="__f").transform(clean).persist()
+    n = F.greatest(F.size("__w"), F.lit(1))
+    shares = counted.withColumn("__f", array_to_vector(F.transform(vector_to_array("__f"), lambda c: c / n)))
+    dense = VectorAssembler(inputCols=[*style, "__f"], outputCol="__d").transform(shares)
+    dense = StandardScaler(withMean=True, inputCol="__d", outputCol="dense").fit(dense).transform(dense)
+    tf = CountVectorizer(minDF=least, vocabSize=most, inputCol="__g", outputCol="__c").fit(counted).transform(dense)
+    idf = F.array(*[F.lit(float(x) + 1) for x in IDF(inputCol="__c", outputCol="__i").fit(tf).idf.toArray()])
+    weighed = F.zip_with(vector_to_array("__c"), idf, lambda c, w: F.when(c > 0, (F.lit(1.0) + F.log(c)) * w).otherwise(0.0))
+    length = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x * x))
+    out = tf.withColumn("__v", weighed).withColumn("__l", length).withColumn("grams", array_to_vector(F.transform("__v", lambda x: F.when(F.col("__l") > 0, x / F.col("__l")).otherwise(0.0))))
+    return out.select(*rows.columns, "dense", "grams")
+
+
+def calibrated_trees(rows: DataFrame, features: list[str], label: str, id_col: str, rounds: int = 200, folds: int = 3) -> DataFrame:
     """id_col, score: mean probability of label over models that each left out one fold and were calibrated on it."""
     data = VectorAssembler(inputCols=features, outputCol="x").transform(rows.select(id_col, label, *features)).withColumn("fold", F.pmod(F.xxhash64(id_col), F.lit(folds))).persist()
     total = None
@@ -44,7 +70,7 @@ def _path(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation_scores(rows: DataFrame, features: list[str], id_col: str, trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
+def isolation_scores(rows: DataFrame, features: list[str], id_col: str, trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
     """id_col, anomaly (0 to 1). The forest is grown from a bounded sample, trees * sample rows at most, by hash of the id."""
     taken = rows.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(trees * sample).select(*features).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
@@ -59,3 +85,12 @@ def isolation_scores(rows: DataFrame, features: list[str], id_col: str, trees: i
             yield pd.DataFrame({id_col: b[id_col], "anomaly": 2 ** (-np.mean([_path(t, x) for t in shared.value], 0) / usual)})
 
     return rows.select(id_col, *features).mapInPandas(run, f"{id_col} long, anomaly double")
+
+
+def calibrated_anomalies(rows: DataFrame, features: list[str], id_col: str, **options) -> DataFrame:
+    """isolation_scores put in line from 0 at their 1st percentile to 1 at their 99th, over all rows, and cut there."""
+    raw = isolation_scores(rows, features, id_col, **options).persist()
+    low, high = raw.agg(F.percentile("anomaly", F.lit(0.01)), F.percentile("anomaly", F.lit(0.99))).first()
+    if low is None:
+        return raw
+    return raw.select(id_col, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("anomaly") - F.lit(low)) / F.lit(max(high - low, 1e-6)))).alias("anomaly"))

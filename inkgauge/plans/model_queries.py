@@ -8,24 +8,30 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.style_model import calibrated_trees, isolation_scores
+from ..operators.style_model import calibrated_anomalies, calibrated_trees, with_text_features
 from .base import table
+from .metric_queries import context_features
+from .profile_queries import style_vector
 
-FEATURES = ["n_chars", "n_words", "n_marks"]
+CONTEXT = ["known", "log_n", "z_own", "z_all", "hour_share"]
 
 
-def simple(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", " ")).cast("double").alias("n_words"), F.size(F.split("text", "[.!?]")).cast("double").alias("n_marks"))
+def stylometric_rows(spark, sf):
+    """doc_id, label, dense, grams of the labelled documents."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    rows = rows.select(F.col("doc_id").alias("msg_id"), F.col("source").alias("author"), F.coalesce("text", F.lit("")).alias("body"), "label")
+    style = style_vector(rows).drop("author")
+    names = style.columns[1:]
+    return with_text_features(rows.join(style, "msg_id").select(F.col("msg_id").alias("doc_id"), "label", "body", *names), "body", names).select("doc_id", "label", "dense", "grams")
 
 
 def stylometric_trees(spark, sf):
-    rows = simple(spark, sf).join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    return calibrated_trees(rows, FEATURES, "label", "doc_id")
+    return calibrated_trees(stylometric_rows(spark, sf), ["dense", "grams"], "label", "doc_id")
 
 
 def context_forest(spark, sf):
-    return isolation_scores(simple(spark, sf), FEATURES, "doc_id")
+    """Events by the part of the context vector that context_features gives."""
+    return calibrated_anomalies(context_features(spark, sf), CONTEXT, "event_id")
 
 
 def html_to_text_parsed(spark, sf):
