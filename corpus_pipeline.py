@@ -23,16 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once.
+    """Of each group of linked documents the one with the smallest id stays, once; one without id only if none has one.
 
-    Documents without words have no links and all stay; so do rows without id, which can't be told apart.
+    Rows are told apart by a number of their own, so ids may be null or repeat: different texts under one id all stay.
+    Documents without words have no links and all stay.
     """
-    decided = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("__keep"), F.count("*").alias("__held"))
-    part = own_name(docs, "__row")
-    left = docs.join(decided, "doc_id", "left").where("__keep is null or __keep")
-    # Rows that repeat an id: one of them stays; no others enter this second shuffle.
-    once = left.where("__held > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(part)).select(f"`{part}`.*")
-    return left.where("__held is null or __held = 1").select(*docs.columns).unionByName(once.select(*docs.columns))
+    row = own_name(docs, "__row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    linked = near_duplicates(numbered, row)
+    ids = linked.join(numbered.select(row, "doc_id"), row)
+    keep = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return numbered.join(keep, row, "left_semi").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
