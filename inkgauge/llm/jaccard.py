@@ -338,7 +338,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row for each document: id_col (long), n_shingles, component_id.
 
     Linked documents have 100 * intersection >= 80 * union of their sets of 5-word shingles; component_id is the
-    smallest id reachable by links, the document's own included. Texts of fewer words are one shingle; null, empty or
+    smallest id reachable by links, the document's own included. Only connection is computed: pairs already
+    connected aren't compared, and links aren't counted. Texts of fewer words are one shingle; null, empty or
     blank texts have none and no links. Repeated rows are documents with equal sets. A null id stays null and takes the
     component of its set. Other columns are ignored; an empty table gives no rows. light_most overrides the boundary
     chosen by cost; unit and hot bound a task's work, results don't depend on them.
