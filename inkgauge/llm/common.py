@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +25,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def written(df: DataFrame, scope: int = -1) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: later stages depend on files, not on lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    if len(_scopes) >= -scope:
+        _scopes[scope].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lasting(df: DataFrame) -> DataFrame:
+    """As written, but the table outlives the scope it is made in."""
+    return written(df, -2)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is needed longer is lasting."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+FEW = 1 << 20  # rows of a key that may be broadcast
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: str, anti: bool = False) -> DataFrame:
+    """Rows of df with (or, anti, without) a key in keys, which is broadcast only after a count of at most FEW rows."""
+    keys = keys.select(on)
+    return df.join(F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys.distinct(), on, "left_anti" if anti else "left_semi")
+
+
 def own_name(df: DataFrame, wish: str) -> str:
     """A column name that df doesn't have yet, in any case of letters."""
     taken = {c.lower() for c in df.columns}

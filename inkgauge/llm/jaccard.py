@@ -1,10 +1,15 @@
 """Similarity join of documents by the Jaccard measure of their word shingles: a size-aware heavy-light join.
 
-A node is a distinct shingle set; equal sets are one node with many documents. All sets keep their shingles in one order,
-shingles of many documents last. Two linked sets share a shingle among each one's first n - ceil(t n) + 1, and k
-shingles among the first n - ceil(t n) + k. Light sets enumerate all pairs of their first shingles and meet in a pair;
-heavy sets, and light ones large enough to be linked to a heavy one, are entered into inverted lists of single
-shingles. The boundary between light and heavy is the size that costs least by the histogram of sizes.
+A node is a distinct shingle set; equal sets are one node with many documents. All sets keep their shingles in one order:
+those of one node alone first, then by the number of nodes that hold them. Two linked sets share a shingle among each
+one's first n - ceil(t n) + 1, and k shingles among the first n - ceil(t n) + k. Shingles of one node alone are shared
+with none, so a node whose first shingles are all its own has no links and goes no further. Light sets enumerate all
+pairs of their first shingles and meet in a pair; heavy sets, and light ones large enough to be linked to a heavy one,
+are entered into inverted lists of single shingles. The boundary between light and heavy is the size that costs least by
+the histogram of sizes.
+
+How many nodes hold a shingle is counted for all shingles: packed hashes meet in buckets, and only shingles of several
+nodes come back. The commonest are counted beforehand and known to every task, so that no shingle fills a bucket.
 
 The lists aren't expanded into all pairs. A list is cut where sizes leave a gap that no link can cross. Each list has a hub, its smallest node; every other node of the list is
 compared with the hub. All nodes that met one hub form its canopy, and any two nodes that share a list are in the
@@ -22,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import FEW, lasting, scope, semi_join, text_or_empty, written
 from .components import components
 
 #: Odd multipliers, one for each word of a shingle; fixed values.
@@ -35,6 +41,8 @@ PERCENT = 80
 LIST_COST = 4.0  # of an entry in an inverted list, against an enumerated pair
 COMMON_HERE, COMMON_MOST = 4, 1 << 18  # documents of a batch that make a shingle common; common shingles kept
 ENTRIES = 400_000  # of inverted lists in a bucket, about
+COUNTED = 1 << 20  # shingles in a bucket that counts them, about
+CHUNK = 1 << 21  # shingles of the nodes that a task sends together, about
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,56 +82,51 @@ def may_link(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | bool:
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
-def boundary(sizes: dict[int, int]) -> int:
-    """Largest size of a light set, so that enumerated pairs and weighted list entries cost least together."""
-    n = np.array(sorted(sizes), np.int64)
+def boundary(costs: dict[int, tuple[float, float]]) -> int:
+    """Largest size of a light set, so that enumerated pairs and weighted list entries (given by size) cost least together."""
+    n = np.array(sorted(costs), np.int64)
     if not len(n):
         return 0
-    count = np.array([sizes[i] for i in n.tolist()], np.float64)
-    first = n - (PERCENT * n + 99) // 100 + 1
-    light, heavy = count * (first + 1) * first / 2, LIST_COST * count * first
-    pairs, lists = np.concatenate([[0], np.cumsum(light)]), np.concatenate([[0], np.cumsum(heavy)])
+    light, heavy = np.array([costs[i] for i in n.tolist()], np.float64).T
+    pairs, lists = np.concatenate([[0], np.cumsum(light)]), np.concatenate([[0], np.cumsum(LIST_COST * heavy)])
     cuts = np.concatenate([[0], n])
     from_ = np.searchsorted(n, (PERCENT * cuts + 99) // 100, "left")
     cost = pairs + lists[-1] - np.where(cuts > 0, lists[from_], 0)
     return int(cuts[int(np.argmin(cost))])
 
 
-def signatures(s: np.ndarray, common: np.ndarray, weight: np.ndarray, light_most: int) -> np.ndarray:
-    """Keys of the lists a set enters; common shingles (sorted, with weights) are last in the order."""
-    n = len(s)
-    if n == 0:
-        return s
-    at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
-    rank = np.where(common[at] == s, weight[at], 0) if len(common) else np.zeros(n, np.int64)
-    order = s[np.lexsort((s, rank))]
-    first = n - least_overlap(n) + 1
+def signatures(n: int, head: np.ndarray, cut: int, light_most: int) -> np.ndarray:
+    """Keys of the lists that a set of n shingles enters; head are its first shared ones, cut how many lists of single shingles take."""
     out = []
     if n <= light_most and n > 1:
-        head = order[: first + 1]
         i, j = np.triu_indices(len(head), 1)
         out.append(mixed(np.minimum(head[i], head[j]) * MULTIPLIERS[0] + np.maximum(head[i], head[j]) * MULTIPLIERS[1]))
     if n > light_most or may_link(n, light_most + 1):
-        out.append(order[:first])
-    return np.concatenate(out) if out else s[:0]
+        out.append(mixed(head[:cut]))
+    return np.concatenate(out) if out else head[:0]
 
 
 def _zipped(text: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(text)
 
 
+def _unzipped(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def _set_of(packed: bytes) -> np.ndarray:
-    return shingle_set(zstandard.ZstdDecompressor().decompress(packed))
+    return shingle_set(_unzipped(packed))
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: doc, node, n, packed text where the node is new in this task; kind 1: common shingle (node) and documents (n)."""
+    """kind 0: doc, node, n, and packed text and uid where the node is new in this task; kind 1: common shingle (node) and documents (n)."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        base = TaskContext.get().partitionId() << 40
         for batch in batches:
-            node, size, packed, fresh = [], [], [], []
+            node, size, packed, uid, fresh = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 raw = text.encode()
                 s = shingle_set(raw)
@@ -132,6 +135,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 size.append(len(s))
                 new = k is not None and k not in seen
                 packed.append(_zipped(raw) if new else None)
+                uid.append(base + len(seen) if new else None)
                 if new:
                     seen.add(k)
                     fresh.append(s)
@@ -146,11 +150,137 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array([*node, *keys.view(np.int64).tolist()], pa.int64()),
                     pa.array([*size, *df.tolist()], pa.int64()),
                     pa.array([*packed, *[None] * more], pa.binary()),
+                    pa.array([*uid, *[None] * more], pa.int64()),
                 ],
-                ["kind", "doc", "node", "n", "packed"],
+                ["kind", "doc", "node", "n", "packed", "uid"],
             )
 
-    return written(src.mapInArrow(run, "kind int, doc long, node long, n long, packed binary"))
+    return written(src.mapInArrow(run, "kind int, doc long, node long, n long, packed binary, uid long"))
+
+
+def _once(nodes: DataFrame) -> DataFrame:
+    """node, n, packed: each node of more than one shingle, from the task with the least uid."""
+    new = nodes.where("kind = 0 and uid is not null and n > 1")
+    again = written(new.groupBy("node").agg(F.min("uid").alias("least"), F.count("*").alias("tasks")).where("tasks > 1").select("node", "least"))
+    if again.limit(FEW + 1).count() <= FEW:
+        return new.join(F.broadcast(again), "node", "left").where("least is null or least = uid").select("uid", "node", "n", "packed")
+    return semi_join(new, new.groupBy("node").agg(F.min("uid").alias("uid")), "uid").select("uid", "node", "n", "packed")
+
+
+def _heads(once: DataFrame, buckets: int, common) -> DataFrame:
+    """node, n, head (keys, packed), cut: of each node that may have links, its first shared shingles in the common order.
+
+    Chunks of nodes send 32 bits of each shingle to the bucket that its other bits choose. A bucket counts the nodes of
+    each and sends back those of several, with the count; a node's other shingles are its own. Two shingles that fall
+    together count as shared and as one key, which makes candidates, never loses any. Common shingles aren't sent.
+    """
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weight = common.value
+        held: list[np.ndarray] = []
+        nodes: list[int] = []
+        sizes: list[int] = []
+        uid, total = 0, 0
+
+        def out() -> pa.RecordBatch:
+            chunk = uid
+            flat, who = np.concatenate(held), np.repeat(np.arange(len(held)), sizes).astype(np.uint16)
+            at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
+            is_common = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+            where = np.flatnonzero(is_common)
+            where = where[np.lexsort((flat[where], weight[at[where]], who[where]))] if len(where) else where
+            many = np.bincount(who[where], minlength=len(held))
+            place = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
+            n = np.array(sizes)
+            most = n - (PERCENT * n + 99) // 100 + 2
+            where = where[place < most[who[where]]]
+            rows = [(chunk % buckets, chunk, True, np.array(nodes, np.int64).tobytes(), n.astype("<i4").tobytes(), many.astype("<i4").tobytes(), who[where].tobytes(), flat[where].tobytes())]
+            flat, who = flat[~is_common], who[~is_common]
+            bucket = (flat >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            flat, who, bucket = flat[order].astype(np.uint32), who[order], bucket[order].astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
+                rows.append((int(bucket[i]), chunk, False, _zipped(np.diff(who[i:j], prepend=np.uint16(0)).tobytes()), flat[i:j].tobytes(), None, None, None))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5))], PACKS)
+
+        for batch in batches:
+            for number, node, packed in zip(batch.column("uid").to_pylist(), batch.column("node").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                s = _set_of(packed)
+                if held and (total + len(s) > CHUNK or len(held) == 60_000):
+                    yield out()
+                    held, nodes, sizes, total = [], [], [], 0
+                if not held:
+                    uid = number
+                held.append(s)
+                nodes.append(node)
+                sizes.append(len(s))
+                total += len(s)
+        if held:
+            yield out()
+
+    def counted(table: pa.Table) -> pa.Table:
+        """The rows of chunks as they are; of each chunk's shingles in this bucket those that other nodes hold too, with their number of nodes."""
+        meta = np.array(table["meta"].to_pylist(), bool)
+        keep = table.filter(pa.array(meta))
+        rest = table.filter(pa.array(~meta))
+        key = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in rest["b"].to_pylist()]])
+        who = np.concatenate([np.zeros(0, np.uint16), *[np.cumsum(np.frombuffer(_unzipped(x), np.uint16), dtype=np.uint16) for x in rest["a"].to_pylist()]])
+        row = np.repeat(np.arange(rest.num_rows), [len(x) // 4 for x in rest["b"].to_pylist()])
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        head = np.r_[True, ordered[1:] != ordered[:-1]][: len(key)]
+        length = np.diff(np.r_[np.flatnonzero(head), len(key)])
+        df = np.repeat(length, length)
+        several = df > 1
+        at, df = order[several], df[several]
+        by = np.argsort(at)
+        at, df = at[by], df[by]
+        edges = np.searchsorted(row[at], np.arange(rest.num_rows + 1))
+        out = []
+        for r, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+            if i < j:
+                out.append((table["bucket"][0].as_py(), rest["chunk"][r].as_py(), False, _zipped(np.diff(who[at[i:j]], prepend=np.uint16(0)).tobytes()), key[at[i:j]].tobytes(), _zipped(df[i:j].astype("<i4").tobytes()), None, None))
+        return pa.concat_tables([keep, pa.table([pa.array([r[k] for r in out], keep.schema.field(k).type) for k in range(8)], schema=keep.schema)])
+
+    def ordered(table: pa.Table) -> pa.Table:
+        """Heads of one chunk's nodes."""
+        meta = table["meta"].to_pylist()
+        m = table.slice(meta.index(True), 1).to_pylist()[0]
+        node, n, commons = np.frombuffer(m["a"], np.int64), np.frombuffer(m["b"], "<i4").astype(np.int64), np.frombuffer(m["c"], "<i4")
+        who, key, df = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for own, bucket, a, b, c in zip(meta, *(table[x].to_pylist() for x in ("bucket", "a", "b", "c")), strict=True):
+            if not own:
+                who.append(np.cumsum(np.frombuffer(_unzipped(a), np.uint16), dtype=np.uint16))
+                key.append(np.uint64(bucket << 32) | np.frombuffer(b, np.uint32))
+                df.append(np.frombuffer(_unzipped(c), "<i4"))
+        who, key, df = np.concatenate(who), np.concatenate(key), np.concatenate(df)
+        several = np.bincount(who, minlength=len(node))
+        alone = n - commons - several
+        first = n - (PERCENT * n + 99) // 100 + 1
+        alive = alone < first
+        keep = alive[who]
+        order = np.flatnonzero(keep)[np.lexsort((key[keep], df[keep], who[keep]))]
+        whose = np.frombuffer(m["d"], np.uint16)
+        keep = alive[whose]
+        # common ones follow, in the order they came in; the sort is stable
+        whose = np.r_[who[order], whose[keep]]
+        keys = np.r_[key[order], np.frombuffer(m["e"], np.uint64)[keep]]
+        keys = keys[np.argsort(whose, kind="stable")]
+        edges = np.r_[0, np.cumsum(np.bincount(whose, minlength=len(node)))]
+        out = []
+        for i in np.flatnonzero(alive).tolist():
+            left = int(first[i] - alone[i])
+            head = keys[edges[i] : min(edges[i + 1], edges[i] + left + 1)]
+            out.append((int(node[i]), int(n[i]), head.tobytes(), min(left, len(head)), len(head)))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()))], names=["node", "n", "head", "cut", "held"])
+
+    packs = "bucket int, chunk long, meta boolean, a binary, b binary, c binary, d binary, e binary"
+    several = once.mapInArrow(sent, packs).groupBy("bucket").applyInArrow(counted, packs)
+    return written(several.groupBy("chunk").applyInArrow(ordered, "node long, n long, head binary, cut int, held int"))
+
+
+PACKS = ["bucket", "chunk", "meta", "a", "b", "c", "d", "e"]
 
 
 def segments(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -163,7 +293,7 @@ def segments(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return head | np.r_[True, PERCENT * low[1:].astype(np.int64) > 100 * reach]
 
 
-def _canopies(nodes: DataFrame, buckets: int, common, light_most: int, hot: int) -> DataFrame:
+def _canopies(heads: DataFrame, buckets: int, light_most: int, hot: int) -> DataFrame:
     """hub, node, n: each node with the hub of each list it is in.
 
     A list is cut where neighbouring sizes are too far apart for a link; what is between cuts is a list of its own below.
@@ -172,14 +302,12 @@ def _canopies(nodes: DataFrame, buckets: int, common, light_most: int, hot: int)
     list's hub by a join on the key, which Spark splits where a key is frequent. So a list of a third of all nodes fills
     no bucket. Keys keep 40 bits within a bucket; two keys that fall together only make a canopy larger.
     """
-    src = nodes.where("kind = 0 and packed is not null and n > 1").select("node", "n", "packed")
     low_bits = np.uint64((1 << 40) - 1)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weight = common.value
         for batch in batches:
             ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            made = [signatures(_set_of(p), keys, weight, light_most) for p in batch.column(2).to_pylist()]
+            made = [signatures(n, np.frombuffer(h, np.uint64), cut, light_most) for n, h, cut in zip(sizes.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             key, who = np.concatenate([np.zeros(0, np.uint64), *made]), np.repeat(np.arange(len(made)), [len(m) for m in made])
             if not len(key):
                 continue
@@ -235,7 +363,7 @@ def _canopies(nodes: DataFrame, buckets: int, common, light_most: int, hot: int)
         full = (np.uint64(bucket) << np.uint64(40)) | key[starts][marked]
         return pa.concat_tables([out(0, np.zeros(len(tied), np.uint64), hub[tied], node[tied], n[tied], n[tied]), out(1, full, least[marked], least[marked], low[starts][marked], np.maximum.reduceat(high, starts)[marked])])
 
-    packs = src.mapInArrow(entries, "bucket int, keys binary, ids binary, sizes binary, frequent binary, spans binary")
+    packs = heads.select("node", "n", "head", "cut").mapInArrow(entries, "bucket int, keys binary, ids binary, sizes binary, frequent binary, spans binary")
     met = written(packs.groupBy("bucket").applyInArrow(meet, "kind int, key long, hub long, node long, n long, high long"))
     hubs = met.where("kind = 1").select("key", "hub", F.col("n").alias("low"), "high")
     frequent = met.where("kind = 2").select("key", "node", "n").join(hubs, "key").where("hub <> node and n >= low and n <= high")
@@ -344,35 +472,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of its set. Other columns are ignored; an empty table gives no rows. light_most overrides the boundary
     chosen by cost; unit and hot bound a task's work, results don't depend on them.
     """
-    spark = docs.sparkSession
+    with scope(docs.sparkSession):
+        return lasting(_near_duplicates(docs, id_col, text_col, unit, hot, light_most))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, unit: int, hot: int, light_most: int | None) -> DataFrame:
     nodes = _nodes(docs, id_col, text_col)
     each = nodes.where("kind = 0")
-    # n is at most the words of one text; counts by size are what the driver needs to choose the boundary
-    scale = F.when(F.col("n") <= 256, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n")) * 8) / 8).cast("long"))
-    sizes = {r[0]: r[1] for r in each.where("packed is not null and n > 1").groupBy(scale).count().collect()}
     top = nodes.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(COMMON_MOST).toArrow()
     key = top["node"].to_numpy().view(np.uint64) if len(top) else np.zeros(0, np.uint64)
     order = np.argsort(key)
-    common = spark.sparkContext.broadcast((key[order], top["n"].to_numpy()[order] if len(top) else np.zeros(0, np.int64)))
-    entries = sum(c * (n - least_overlap(n) + 1) for n, c in sizes.items())
-    met = _canopies(nodes, max(16, math.ceil(entries / ENTRIES)), common, boundary(sizes) if light_most is None else light_most, hot)
+    common = docs.sparkSession.sparkContext.broadcast((key[order], top["n"].to_numpy()[order] if len(top) else np.zeros(0, np.int64)))
+    shingles = each.where("uid is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heads = _heads(_once(nodes), max(8, math.ceil(shingles / COUNTED)), common)
+    # n is at most the words of one text; sums by size are what the driver needs to choose the boundary
+    scale = F.when(F.col("n") <= 256, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n")) * 8) / 8).cast("long"))
+    costs = {r[0]: (r[1], r[2]) for r in heads.groupBy(scale).agg(F.sum(F.col("held") * (F.col("held") - 1) / 2), F.sum("cut").cast("double")).collect()}
+    entries = sum(lists for _, lists in costs.values())
+    met = _canopies(heads, max(16, math.ceil(entries / ENTRIES)), boundary(costs) if light_most is None else light_most, hot)
 
-    wanted = met.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
-    texts = each.where("packed is not null").select("node", "packed").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed"))
-    texts = written(texts)
+    wanted = written(met.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
+    texts = written(semi_join(each.where("packed is not null").select("node", "packed"), wanted, "node").groupBy("node").agg(F.min("packed").alias("packed")))
     hubs = texts.select(F.col("node").alias("hub"), F.col("packed").alias("packed_hub"))
     measured = written(_compare(met.join(texts, "node").join(hubs, "hub").sortWithinPartitions("hub")))
     links = measured.where("link").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     edges = links.unionByName(_units(measured, texts, unit))
 
-    ids = each.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"))
+    ids = written(each.where("node is not null").groupBy("node").agg(F.min("doc").alias("least")))
     root = components(edges, "a", "b")
-    held = root.join(ids, "node")
-    best = held.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = ids.join(root.join(best, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    # A set that many documents hold is a hot key: documents are dealt over salts, the small side repeated.
-    salts = 16
-    of_node = of_node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = each.where("node is not null").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")).join(of_node, ["node", "salt"])
-    done = rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    best = root.join(ids, "node").groupBy("root").agg(F.min("least").alias("component"))
+    # written: a set that many documents hold is a hot key, whose rows Spark splits where both sides come by an exchange
+    of_node = written(ids.join(root.join(best, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "least").alias("component")))
+    done = each.where("node is not null").select("doc", "node", "n").join(of_node, "node").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return done.unionByName(each.where("node is null").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id")))
