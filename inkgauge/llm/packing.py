@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import lasting, scope, text_or_empty, written
 
-CACHE = 600_000  # words that a worker remembers
+CACHE = 300_000  # words of a generation that a worker remembers; it keeps two
 LONG_TEXT = 8 << 20
 END = (1).to_bytes(4, "little")
 
@@ -42,42 +42,49 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.stem_ids = self.tokenizer.model.tokenize
         self.plain = re.compile(rb"[!-~]+")
         self.within = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before; a word that is met again moves up
         self.stems: dict[str, bytes] = {}
 
-    def _learn(self, texts: list[str]) -> None:
-        """Ids of texts that aren't known yet, in one call."""
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        self.stems.update((t, array("I", e.ids).tobytes()) for t, e in zip(texts, made, strict=True))
-
-    def _parts(self, word: bytes) -> list[str]:
-        """Strings that the tokenizer treats one by one: stems and marks of plain ASCII, else the whole word."""
-        if self.plain.fullmatch(word) and b"<|" not in word:
-            return self.within.findall(word.lower().decode())
-        return [word.decode()]
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of words that aren't known yet: plain ASCII ones by their stems and marks, the others in one call."""
+        known, stems, ids_of = self.words, self.stems, self.stem_ids
+        whole = []
+        for w in words:
+            if self.plain.fullmatch(w) and b"<|" not in w:
+                parts = self.within.findall(w.lower().decode())
+                for p in parts:
+                    if p not in stems:
+                        stems[p] = array("I", [t.id for t in ids_of(p)]).tobytes()
+                known[w] = stems[parts[0]] if len(parts) == 1 else b"".join([stems[p] for p in parts])
+            else:
+                whole.append(w)
+        if whole:
+            made = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(whole, made, strict=True))
 
     def encode(self, text: str) -> bytes:
         words = text.encode().split()
-        known = self.words
-        got = [*map(known.get, words)]
+        got = [*map(self.words.get, words)]
         if None not in got:
             return b"".join(got)
         new = {w for w, ids in zip(words, got, strict=True) if ids is None}
-        if len(known) + len(new) > CACHE:
-            known = self.words = {}
+        if len(self.words) + len(new) > CACHE:
+            self.older, self.words = self.words, {}
             new = {*words}
-        if len(self.stems) + len(new) > CACHE:
+        if len(self.stems) > CACHE:
             self.stems = {}
-        split = {w: self._parts(w) for w in new}
-        if fresh := {p for ps in split.values() for p in ps}.difference(self.stems):
-            self._learn([*fresh])
-        stems = self.stems
-        known.update((w, b"".join([stems[p] for p in ps])) for w, ps in split.items())
-        ids = b"".join(map(known.__getitem__, words))
+        if self.older:
+            again = {w: ids for w in new if (ids := self.older.get(w)) is not None}
+            self.words.update(again)
+            new.difference_update(again)
+        self._learn(new)
+        ids = b"".join(map(self.words.__getitem__, words))
         if len(new) > CACHE or len(text) > LONG_TEXT:  # a text whose own words would crowd out all others
-            self.words, self.stems = {}, {}
+            self.words, self.older, self.stems = {}, {}, {}
         return ids
 
 
@@ -185,18 +192,25 @@ def _bins(rows: DataFrame) -> int:
     return rows.where(F.col("offset") == 0).count()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", part_rows: int = 16384, keep_ids: bool = False) -> DataFrame:
-    """A row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids on request).
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", part_rows: int = 4096, keep_ids: bool = False) -> DataFrame:
+    """A row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset, certified (and ids on request).
+
+    certified says that the piece's sequence belongs to a partition that takes no more sequences than its lower bound.
 
     A document's tokens and its end token are cut only where they exceed capacity. Null texts count as empty and are
     one end token. Ids may be null, tie or repeat; each row is a document of its own; other columns are ignored; an
     empty table gives no rows. Pieces are dealt by row, not by id, so that no key can fill a partition.
     """
+    with scope(docs.sparkSession):
+        return lasting(_pack_documents(docs, tokenizer_path, capacity, id_col, text_col, part_rows, keep_ids))
+
+
+def _pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str, part_rows: int, keep_ids: bool) -> DataFrame:
     pieces = written(token_pieces(docs, tokenizer_path, capacity, id_col, text_col, keep_ids).withColumn("__uid", F.monotonically_increasing_id()))
     narrow = pieces.drop("ids")
-    whole = narrow.where(F.col("length") == capacity).select("*", F.lit(0).cast("long").alias("offset"), (F.col("__uid") * 2).alias("sequence_id"))
+    whole = narrow.where(F.col("length") == capacity).select("*", F.lit(0).cast("long").alias("offset"), (F.col("__uid") * 2).alias("sequence_id"), F.lit(True).alias("certified"))
     rest = narrow.where(F.col("length") < capacity)
-    name = lambda df, base: df.select(*narrow.columns, "offset", (((F.lit(base).cast("long") + F.col("__part")) * (1 << 24) + F.col("__bin")) * 2 + 1).alias("sequence_id"))
+    name = lambda df, base: df.select(*narrow.columns, "offset", (((F.lit(base).cast("long") + F.col("__part")) * (1 << 24) + F.col("__bin")) * 2 + 1).alias("sequence_id"), (~F.col("__gap")).alias("certified"))
     base = max(1, math.ceil(rest.count() / part_rows))
     now, done, turn, first = _packed(rest, base, capacity, 0), [whole], 0, 0
     while True:
@@ -214,4 +228,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, i
     out = functools.reduce(DataFrame.unionByName, done)
     if keep_ids:
         out = out.join(pieces.select("__uid", "ids"), "__uid")
-    return out.select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else []))
+    return out.select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", *(["ids"] if keep_ids else []))
