@@ -1,47 +1,46 @@
 """Language-model scores by a hashed maximum-entropy model with class-factored softmax.
 
 The probability of a word is that of its class given the two words before it, times that of the word given its class
-and a coarser view of them. Both factors are maximum-entropy models over hashed features: the word before, the word
-before that (a skip), and, for classes, both together. The most frequent words have classes of equal weight; all others
-are one class, within which a word has its smoothed unigram probability, so that the model is a distribution over the
-whole vocabulary and one unknown word.
-
-Contexts are hashed, so all training tokens add up to a table of bounded size: counts by context and word. Its blocks
-stay distributed; in each round every block yields the gradient of its counts, the driver adds the gradients, whose size
-is the model's, and sends the new weights. Tables of the two factors then score texts in numpy batches.
-
-That model is what word pairs back off to: the counts of all pairs of a word and the one after it, whatever their rank,
-are discounted absolutely, and the mass taken off goes by the model above. Pairs grow with the corpus and stay
-distributed. Every task holds the commonest of them; tokens of the others are joined with the table of counts.
+and the word before it. Both factors are maximum-entropy models over hashed features. Classes see the word before, the
+word before that (a skip), and both together; words see the pair with the word before, hashed into the slots of that
+word's row, beside their own frequency. All known words are in classes of equal weight; the others are one class, within
+which a word has its smoothed unigram probability, so that the model is a distribution over the whole vocabulary and one
+unknown word.
+
+Rows, that is words before that have weights of their own, grow in number with the corpus up to ROWS_MOST; the commonest
+words take a row each, the others share the last quarter. All training tokens add up to counts by context and class and
+by row and word, which stay distributed in blocks and are summed as streams. Each row's weights follow from its own
+counts by gradient steps within its task. For classes every block yields in each round the gradient of its counts; the
+driver adds the gradients, whose size is the model's, and sends the new weights. Texts are scored in sparse batches:
+a softmax for each different context, three look-ups for each token.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import lasting, scope, text_or_empty, written
 
-KNOWN = 1 << 17  # words whose counts every task holds; rarer ones are joined
-MODELLED = 4096  # words within the softmax
-CLASSES = 64  # of modelled words; class 0 holds the others
-FIRST, SECOND, BOTH = 256, 64, 4096  # hash buckets of the word before, the one before that, and both
-COARSE_FIRST, COARSE_SECOND = 64, 16  # of the word factor
-HASHED = 1 << 18  # weights of each kind of word feature
+KNOWN = 1 << 17  # words within the softmax, whose counts every task holds; rarer ones are joined
+CLASSES = 64  # of known words; class 0 holds the others
+ROWS_LEAST, ROWS_MOST, TOKENS_A_ROW = 256, 2048, 1 << 14  # rows of the word before; training tokens for each
+SLOTS = 4096  # weights of a row
+SECOND, BOTH = 64, 4096  # hash buckets of the word before the one before, and of both
 ROUNDS = 10
 PENALTY = 8.0  # L2, in counts
 LONGEST = 64  # bytes; longer words are known by a digest
 FLUSH = 400_000
-CELLS = 1 << 16  # of a block
-HELD_PAIRS = 1 << 19  # pairs of words whose counts every task holds; rarer ones are joined
-PAIR_TOKENS = 1 << 20  # counted together before they are sent
+TOKENS = 1 << 20  # counted or scored together
+BLOCK_ROWS, BLOCK_CONTEXTS = 8, 1024
 END = b""
 
 
@@ -77,163 +76,172 @@ def word_counts(src: DataFrame) -> DataFrame:
 class Vocabulary:
     """Numbers of the known words by falling count, and what contexts and classes follow from them."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, types: int):
         self.number = {w: i for i, w in enumerate(words)}
+        self.known = m = len(words)
         self.counts = np.append(counts, 0).astype(np.float64)  # the last: a word that isn't known
-        m = min(MODELLED, len(words))
-        self.modelled = m
-        mass = np.cumsum(np.sqrt(counts[:m].astype(np.float64)))
-        self.word_class = np.zeros(len(words) + 1, np.int64)
+        self.rows = int(min(ROWS_MOST, max(ROWS_LEAST, 1 << max(1, tokens // TOKENS_A_ROW).bit_length() - 1)))
+        self.word_class = np.zeros(m + 1, np.int64)
         if m:
+            mass = np.cumsum(np.sqrt(self.counts[:m]))
             self.word_class[:m] = 1 + np.minimum(CLASSES - 1, ((mass - mass[0] / 2) * CLASSES / mass[-1]).astype(np.int64))
-        hashed = self.hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words] + [0], np.uint64)
-        number = np.arange(len(words) + 1)
+        #: Where classes begin among the known words, which are in class order.
+        self.starts = np.flatnonzero(np.diff(self.word_class[:m], prepend=-1))
+        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words] + [0], np.uint64)
+        number = np.arange(m + 1)
         bucket = lambda own, total, seed: np.where(number < own, number, own + ((hashed + np.uint64(seed)) % np.uint64(total - own)).astype(np.int64))
-        self.first, self.second = bucket(192, FIRST, 0), bucket(48, SECOND, 1)
-        self.coarse_first, self.coarse_second = bucket(40, COARSE_FIRST, 2), bucket(8, COARSE_SECOND, 3)
-
-    def contexts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context numbers of both factors for each token; before the text stands its end."""
-        end = self.number.get(END, len(self.counts) - 1)
+        self.first, self.second = bucket(self.rows * 3 // 4, self.rows, 0), bucket(48, SECOND, 1)
+        self.slot = (hashed[:m] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SLOTS
+        #: Tokens and types of the words that aren't known, and what their class weighs.
+        self.rest = tokens - float(self.counts.sum()), types - m
+        self.rest_weight = self.rest[0] + 0.1 * (self.rest[1] + 1)
+
+    def contexts(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and second bucket of each token of texts that begin at starts; before a text stands its end."""
+        end = self.number.get(END, self.known)
         before = np.r_[end, ids[:-1]]
-        skip = np.r_[end, end, ids[:-2]][: len(ids)]
-        return self.first[before] * SECOND + self.second[skip], self.coarse_first[before] * COARSE_SECOND + self.coarse_second[skip]
+        before[starts] = end
+        skip = np.r_[end, before[:-1]]
+        skip[starts] = end
+        return self.first[before], self.second[skip]
 
 
-def tokens(text: str, number: dict[bytes, int], missing: int) -> tuple[list[bytes], np.ndarray]:
-    words = text.encode().lower().split()
-    words.append(END)
-    return words, np.fromiter((number.get(w, missing) for w in words), np.int64, len(words))
+class Texts:
+    """Words of many texts, gathered until there are enough to be worked on together."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.ids, self.sizes, self.total = vocabulary, [], [], 0
 
-def word_hashes(words: list[bytes], ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """64 bits for each word, by itself and not by its number."""
-    hashes = vocabulary.hashed[ids]
-    for i in np.flatnonzero(ids == len(vocabulary.counts) - 1).tolist():
-        hashes[i] = xxhash.xxh3_64_intdigest(canonical(words[i]))
-    return hashes
+    def add(self, text: str) -> tuple[list[bytes], np.ndarray]:
+        words = text.encode().lower().split()
+        words.append(END)
+        number, missing = self.vocabulary.number, self.vocabulary.known
+        ids = np.fromiter((number.get(w, missing) for w in words), np.int64, len(words))
+        self.ids.append(ids)
+        self.sizes.append(len(ids))
+        self.total += len(ids)
+        return words, ids
 
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where texts begin."""
+        ids = np.concatenate(self.ids or [np.zeros(0, np.int64)])
+        starts = np.cumsum([0, *self.sizes[:-1]]) if self.sizes else np.zeros(0, np.int64)
+        self.ids, self.sizes, self.total = [], [], 0
+        return ids, starts
 
-BEFORE = np.uint64(xxhash.xxh3_64_intdigest(END))  # stands before each text
 
+COUNTED = "factor int, block int, at binary, n binary"
 
-def pair_keys(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """64 bits for each pair of a word and the one after it."""
-    mixed = before * np.uint64(0x9E3779B185EBCA87) + (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x165667B19E3779F9)
 
+def zipped(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint32).tobytes())
 
-def pair_counts(src: DataFrame, vocabulary) -> DataFrame:
-    """pair, before (hashes as long), c: counts of all pairs in the training documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocabulary.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+def unzipped(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32)
 
-        def out() -> pa.RecordBatch:
-            before = np.concatenate([h[0] for h in held] or [np.zeros(0, np.uint64)])
-            keys, at, c = np.unique(pair_keys(before, np.concatenate([h[1] for h in held] or [before])), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(before[at].view(np.int64)), pa.array(c.astype(np.int64))], ["pair", "before", "c"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                hashes = word_hashes(*tokens(text, v.number, len(v.counts) - 1), v)
-                held.append((np.r_[BEFORE, hashes[:-1]], hashes))
-                size += len(hashes)
-                if size >= PAIR_TOKENS:
-                    yield out()
-                    held.clear()
-                    size = 0
-        yield out()
+def block_size(factor: int, vocabulary: Vocabulary) -> int:
+    return BLOCK_ROWS * vocabulary.known if factor else BLOCK_CONTEXTS * (CLASSES + 1)
+
 
-    made = src.where("not held_out").select("text").mapInArrow(run, "pair long, before long, c long")
-    return written(made.groupBy("pair", "before").agg(F.sum("c").alias("c")))
-
-
-class Pairs:
-    """Commonest pairs, what follows each known word, and the discount."""
-
-    def __init__(self, pairs: DataFrame, vocabulary: Vocabulary, most: int):
-        spark = pairs.sparkSession
-        of_count = np.array(sorted((tuple(r) for r in pairs.groupBy("c").count().collect()), reverse=True), np.int64).reshape(-1, 2)
-        ones, twos = (int(of_count[of_count[:, 0] == k, 1].sum()) for k in (1, 2))
-        self.discount = ones / (ones + 2 * twos) if ones and twos else 0.75
-        fit = of_count[np.cumsum(of_count[:, 1]) <= most, 0]
-        rows = pairs.where(F.col("c") >= int(fit.min())).select("pair", "c").toArrow() if len(fit) else pa.table({"pair": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-        keys = rows["pair"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], rows["c"].to_numpy()[order]
-        # How many different words follow each known word; the last: one that isn't known.
-        known = vocabulary.hashed[:-1].view(np.int64)
-        names = spark.createDataFrame(pa.table({"before": known, "number": np.arange(len(known))}), "before long, number long")
-        followed = self.followed(pairs).join(F.broadcast(names), "before").select("number", "followers").toArrow()
-        self.followers = np.zeros(len(known) + 1)
-        self.followers[followed["number"].to_numpy()] = followed["followers"].to_numpy()
-
-    @staticmethod
-    def followed(pairs: DataFrame) -> DataFrame:
-        """before, times, followers: how often each word has one after it, and how many different ones."""
-        return pairs.groupBy("before").agg(F.sum("c").alias("times"), F.count("*").alias("followers"))
-
-    def found(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of the pairs held here, 0 for others."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+def counted_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["factor", "block", "at", "n"])
 
 
 def context_counts(src: DataFrame, vocabulary) -> DataFrame:
-    """factor, block, at, n: counts (int64) of a block of CELLS cells by context and class (factor 0) or word (1)."""
+    """factor, block, at, n: counts of a block's cells by context and class (factor 0) or by row and word (1), in some parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
-        missing = len(v.counts) - 1
-        sizes = FIRST * SECOND * (CLASSES + 1), COARSE_FIRST * COARSE_SECOND * MODELLED
-        held = [np.zeros(s, np.int64) for s in sizes]
+        held = Texts(v)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, starts = held.take()
+            first, second = v.contexts(ids, starts)
+            inside = ids < v.known
+            for factor, cells in enumerate(((first * SECOND + second) * (CLASSES + 1) + v.word_class[ids], first[inside] * v.known + ids[inside])):
+                if not len(cells):
+                    continue
+                cells, n = np.unique(cells, return_counts=True)
+                block, at = np.divmod(cells, block_size(factor, v))
+                edges = np.flatnonzero(np.diff(block, prepend=-1))
+                rows = [(factor, int(block[i]), zipped(np.diff(at[i:j], prepend=0)), zipped(n[i:j])) for i, j in zip(edges, [*edges[1:], len(block)], strict=True)]
+                for i in range(0, len(rows), 64):
+                    yield counted_rows(rows[i : i + 64])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                _, ids = tokens(text, v.number, missing)
-                fine, coarse = v.contexts(ids)
-                inside = ids < v.modelled
-                np.add.at(held[0], fine * (CLASSES + 1) + v.word_class[ids], 1)
-                np.add.at(held[1], coarse[inside] * MODELLED + ids[inside], 1)
-        parts = {(factor, block): h[block * CELLS : (block + 1) * CELLS] for factor, h in enumerate(held) for block in range(-(-len(h) // CELLS))}
-        yield from sparse(parts)
+                held.add(text)
+                if held.total >= TOKENS:
+                    yield from out()
+        yield from out()
 
     made = src.where("not held_out").select("text").mapInArrow(run, COUNTED)
-    # Two steps of sums, each over a stream: parts of a block from many tasks never meet in memory.
-    some = made.repartition("factor", "block", F.pmod(F.xxhash64("at", "n"), F.lit(16))).mapInArrow(summed, COUNTED)
-    return written(some.repartition("factor", "block").mapInArrow(summed, COUNTED))
-
-
-COUNTED = "factor int, block int, at binary, n binary"
-
+    # The first of two steps of sums. Parts come sorted by block, so that a task holds one block at a time.
+    salts = F.pmod(F.xxhash64("at", "n"), F.lit(32))
+    return written(in_blocks(made.repartition("factor", "block", salts), vocabulary, counted_sum, COUNTED))
 
-def sparse(parts: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    rows = [(f, b, at.astype(np.uint16).tobytes(), part[at].astype("<i8").tobytes()) for (f, b), part in parts.items() if len(at := np.flatnonzero(part))]
-    for i in range(0, len(rows), 16):
-        few = rows[i : i + 16]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in few], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["factor", "block", "at", "n"])
 
+def in_blocks(parts: DataFrame, vocabulary, finish: Callable, fields: str) -> DataFrame:
+    """What finish makes of each block's sum over the parts of it in a task."""
 
-def cells_of(at: bytes, n: bytes) -> np.ndarray:
-    cells = np.zeros(CELLS, np.int64)
-    cells[np.frombuffer(at, np.uint16)] = np.frombuffer(n, "<i8")
-    return cells
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = vocabulary.value
+        key, cells = None, None
+        for batch in batches:
+            for f, b, at, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (f, b) != key:
+                    if key:
+                        yield finish(*key, cells, v)
+                    key, cells = (f, b), np.zeros(block_size(f, v), np.int64)
+                cells[np.cumsum(unzipped(at), dtype=np.int64)] += unzipped(n)
+        if key:
+            yield finish(*key, cells, v)
+
+    return parts.sortWithinPartitions("factor", "block").mapInArrow(run, fields)
+
+
+def counted_sum(factor: int, block: int, cells: np.ndarray, vocabulary: Vocabulary) -> pa.RecordBatch:
+    at = np.flatnonzero(cells)
+    return counted_rows([(factor, block, zipped(np.diff(at, prepend=0)), zipped(cells[at]))])
+
+
+def row_weights(n: np.ndarray, v: Vocabulary, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of a row's slots by gradient steps from the counts of the words after it, and the log normaliser of each class."""
+    bias, lengths = np.log(v.counts[: v.known]), np.diff(np.r_[v.starts, v.known])
+    w = np.zeros(SLOTS)
+    seen = np.repeat(np.add.reduceat(n, v.starts), lengths)
+    observed = np.bincount(v.slot, n, SLOTS)
+    for step in range(rounds + 1):
+        if step == rounds:
+            w = w.astype(np.float16).astype(np.float64)
+        z = np.exp(bias + w[v.slot])
+        total = np.add.reduceat(z, v.starts)
+        if step == rounds:
+            return w.astype(np.float16), np.log(total)
+        expected = np.bincount(v.slot, z * seen / np.repeat(total, lengths), SLOTS)
+        w += np.clip((observed - expected - PENALTY * w) / (np.maximum(expected, observed * 0.2) + PENALTY), -2, 2)
+    raise AssertionError
+
+
+def train_rows(counts: DataFrame, vocabulary, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by row and slot, log normalisers by row and class; each row is trained where its counts meet."""
+    v: Vocabulary = vocabulary.value
+    weights, log_total = np.zeros((v.rows, SLOTS), np.float16), np.zeros((v.rows, CLASSES + 1))
+    if not v.known:
+        return weights, log_total
+    classes = v.word_class[v.starts]
+    log_total[:, classes] = np.log(np.add.reduceat(v.counts[: v.known], v.starts))
 
+    def finish(factor: int, block: int, cells: np.ndarray, own: Vocabulary) -> pa.RecordBatch:
+        rows = [(block * BLOCK_ROWS + r, *row_weights(n, own, rounds)) for r, n in enumerate(cells.reshape(BLOCK_ROWS, -1).astype(np.float64)) if n.any()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["row", "weights", "log_total"])
 
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block of this task; there are some 80 blocks at any size of the corpus."""
-    total: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for f, b, at, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (f, b) in total:
-                total[f, b][np.frombuffer(at, np.uint16)] += np.frombuffer(n, "<i8")
-            else:
-                total[f, b] = cells_of(at, n)
-    yield from sparse(total)
+    made = in_blocks(counts.where("factor = 1").repartition("block"), vocabulary, finish, "row int, weights binary, log_total binary").toArrow()
+    for r, w, z in zip(*(made[c].to_pylist() for c in ("row", "weights", "log_total")), strict=True):
+        weights[r], log_total[r, classes] = np.frombuffer(w, np.float16), np.frombuffer(z)
+    return weights, log_total
 
 
 def class_features(context: np.ndarray) -> list[np.ndarray]:
@@ -242,17 +250,13 @@ def class_features(context: np.ndarray) -> list[np.ndarray]:
     return [a, b, (a * 0x9E3779B1 + b * 0x85EBCA77 >> 7) % BOTH]
 
 
-def word_features(context: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
-    """Hashed weights of (word before, word) and (word before that, word), by context and word."""
-    a, b = context // COARSE_SECOND, context % COARSE_SECOND
-    mixed = lambda x, k: ((x[:, None] * 0x9E3779B1 + words[None, :] * 0x85EBCA77 + k) * 0xC2B2AE3D >> 11) % HASHED
-    return [mixed(a, 1), mixed(b, 7)]
-
-
-def start_weights(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    m = vocabulary.modelled
-    n = vocabulary.counts[:m]
-    return {"bias": np.zeros(CLASSES + 1), "first": np.zeros((FIRST, CLASSES + 1)), "second": np.zeros((SECOND, CLASSES + 1)), "both": np.zeros((BOTH, CLASSES + 1)), "word": np.log(np.maximum(n, 1)), "before": np.zeros(HASHED), "skip": np.zeros(HASHED)}
+def start_weights(v: Vocabulary) -> dict[str, np.ndarray]:
+    """Classes by their weight alone; those without words have none."""
+    bias = np.full(CLASSES + 1, -60.0)
+    bias[0] = math.log(v.rest_weight)
+    if v.known:
+        bias[v.word_class[v.starts]] = np.log(np.add.reduceat(v.counts[: v.known], v.starts))
+    return {"bias": bias - bias.max(), **{k: np.zeros((n, CLASSES + 1)) for k, n in (("first", v.rows), ("second", SECOND), ("both", BOTH))}}
 
 
 def softmax_of_classes(w: dict, context: np.ndarray) -> np.ndarray:
@@ -263,131 +267,88 @@ def softmax_of_classes(w: dict, context: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def softmax_of_words(w: dict, context: np.ndarray, starts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Probabilities within classes, words in class order (starts: where classes begin), and the features used."""
-    features = word_features(context, order)
-    z = np.exp(np.clip(w["word"][order] - w["word"].max() + w["before"][features[0]] + w["skip"][features[1]], -60, 30))
-    total = np.add.reduceat(z, starts, 1)
-    return z / np.repeat(total, np.diff(np.r_[starts, len(order)]), 1), features
-
-
-def in_classes(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    order = np.arange(vocabulary.modelled)  # by falling count, so by class
-    return np.flatnonzero(np.r_[True, np.diff(vocabulary.word_class[order]) != 0]), order
-
-
-def block_gradient(factor: int, block: int, cells: np.ndarray, w: dict, vocabulary: Vocabulary) -> dict[str, tuple]:
+def block_gradient(block: int, cells: np.ndarray, w: dict) -> dict[str, tuple]:
     """Observed and expected counts of each weight that a block touches."""
-    out: dict[str, tuple] = {}
-    if factor == 0:
-        width = CLASSES + 1
-        at = np.flatnonzero(cells)
-        cell = at + block * CELLS
-        context, inverse = np.unique(cell // width, return_inverse=True)
-        n = np.zeros((len(context), width))
-        n[inverse, cell % width] = cells[at]
-        expected = softmax_of_classes(w, context) * n.sum(1, keepdims=True)
-        for name, row in zip(("first", "second", "both"), class_features(context), strict=True):
-            o, e = np.zeros_like(w[name]), np.zeros_like(w[name])
-            np.add.at(o, row, n)
-            np.add.at(e, row, expected)
-            out[name] = o, e
-        out["bias"] = n.sum(0), expected.sum(0)
-        return out
-    starts, order = in_classes(vocabulary)
-    n = cells.reshape(-1, MODELLED)[:, : len(order)].astype(np.float64)
-    context = np.arange(len(n)) + block * (CELLS // MODELLED)
+    n = cells.reshape(-1, CLASSES + 1).astype(np.float64)
+    context = np.arange(len(n)) + block * BLOCK_CONTEXTS
     used = n.sum(1) > 0
     n, context = n[used], context[used]
-    p, features = softmax_of_words(w, context, starts, order)
-    expected = p * np.repeat(np.add.reduceat(n, starts, 1), np.diff(np.r_[starts, len(order)]), 1)
-    for name, f in zip(("before", "skip"), features, strict=True):
-        out[name] = np.bincount(f.ravel(), n.ravel(), HASHED), np.bincount(f.ravel(), expected.ravel(), HASHED)
-    out["word"] = n.sum(0), expected.sum(0)
+    expected = softmax_of_classes(w, context) * n.sum(1, keepdims=True)
+    out = {"bias": (n.sum(0), expected.sum(0))}
+    for name, row in zip(("first", "second", "both"), class_features(context), strict=True):
+        o, e = np.zeros_like(w[name]), np.zeros_like(w[name])
+        np.add.at(o, row, n)
+        np.add.at(e, row, expected)
+        out[name] = o, e
     return out
 
 
-def train(counts: DataFrame, vocabulary, rounds: int) -> dict[str, np.ndarray]:
+def train_classes(counts: DataFrame, vocabulary, rounds: int) -> dict[str, np.ndarray]:
     """Weights after rounds of distributed gradient steps, each scaled by the expected count of its weight."""
     v: Vocabulary = vocabulary.value
     w = start_weights(v)
     context = counts.sparkSession.sparkContext
-    if not v.modelled:
+    if not v.known or not rounds:
         return w
-    for _ in range(rounds):
-        shared = context.broadcast(w)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total: dict[str, list] = {}
+    blocks = -(-v.rows * SECOND // BLOCK_CONTEXTS)
+    parts = written(in_blocks(counts.where("factor = 0").repartition("block"), vocabulary, counted_sum, COUNTED))
+    # as many gradients as tasks read the table, whose size is bounded
+    parts = parts.coalesce(max(1, blocks // 16))
+    observed: dict[str, np.ndarray] = {}
+    for step in range(rounds):
+        shared = context.broadcast({k: x.astype(np.float32) for k, x in w.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
+            total: dict[str, np.ndarray] = {}
             for batch in batches:
-                for factor, block, at, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    for name, (o, e) in block_gradient(factor, block, cells_of(at, n), shared.value, vocabulary.value).items():
-                        if name in total:
-                            total[name][0] += o
-                            total[name][1] += e
-                        else:
-                            total[name] = [o.copy(), e.copy()]
-            names = [*total]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([total[n][i].astype(np.float32).tobytes() for n in names], pa.binary()) for i in (0, 1)]], ["name", "observed", "expected"])
-
-        # as many gradients as tasks read the table of bounded size
-        for r in counts.coalesce(8).mapInArrow(run, "name string, observed binary, expected binary").groupBy("name").applyInArrow(add_gradients, "name string, observed binary, expected binary").toArrow().to_pylist():
-            o, e = (np.frombuffer(r[k], np.float32).astype(np.float64).reshape(w[r["name"]].shape) for k in ("observed", "expected"))
-            features = 4 if r["name"] in ("bias", "first", "second", "both") else 3
-            w[r["name"]] = w[r["name"]] + np.clip((o - e - PENALTY * w[r["name"]]) / (np.maximum(e, o * 0.2) + PENALTY), -2, 2) * (2 / features)
+                for block, at, n in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+                    cells = np.zeros(BLOCK_CONTEXTS * (CLASSES + 1), np.int64)
+                    cells[np.cumsum(unzipped(at), dtype=np.int64)] = unzipped(n)
+                    for name, (o, e) in block_gradient(block, cells, shared.value).items():
+                        for key, x in ((f"e {name}", e), *([(f"o {name}", o)] if step == 0 else [])):
+                            total[key] = total[key] + x if key in total else x
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["name", "part"])
+
+        made = parts.mapInArrow(run, "name string, part binary").groupBy("name").applyInArrow(add_parts, "name string, part binary").toArrow().to_pylist()
+        sums = {r["name"]: np.frombuffer(r["part"], np.float32).astype(np.float64).reshape(w[r["name"][2:]].shape) for r in made}
+        observed |= {k[2:]: x for k, x in sums.items() if k[0] == "o"}
+        for name, o in observed.items():
+            e = sums[f"e {name}"]
+            w[name] = w[name] + np.clip((o - e - PENALTY * w[name] * (name != "bias")) / (np.maximum(e, o * 0.2) + PENALTY), -2, 2) / 2
         shared.unpersist()
     return w
 
 
-def add_gradients(table: pa.Table) -> pa.Table:
-    out = [np.sum([np.frombuffer(x, np.float32) for x in table[c].to_pylist()], 0, np.float64).astype(np.float32).tobytes() for c in ("observed", "expected")]
-    return pa.table({"name": table["name"][:1], "observed": pa.array(out[:1], pa.binary()), "expected": pa.array(out[1:], pa.binary())})
-
+def add_parts(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, np.float32) for x in table["part"].to_pylist()], 0, np.float64)
+    return pa.table({"name": table["name"][:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-def score_tables(w: dict, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of both factors by context and class, by coarse context and word."""
-    fine = np.log10(softmax_of_classes(w, np.arange(FIRST * SECOND))).astype(np.float32)
-    coarse = np.zeros((COARSE_FIRST * COARSE_SECOND, max(1, v.modelled)), np.float32)
-    if v.modelled:
-        starts, order = in_classes(v)
-        for i in range(0, len(coarse), 64):
-            coarse[i : i + 64] = np.log10(np.maximum(softmax_of_words(w, np.arange(i, min(i + 64, len(coarse))), starts, order)[0], 1e-30))
-    return fine, coarse
 
+class Model:
+    """log10 probabilities of tokens."""
 
-#: Of tokens whose pair isn't held: hashes, the hashed model's share, whether both words are known, and what is known of the one before.
-OPEN = {"pair": "long", "before": "long", "word": "long", "share": "double", "word_known": "boolean", "before_known": "boolean", "times_before": "double", "followers": "double"}
+    def __init__(self, v: Vocabulary, classes: dict[str, np.ndarray], rows: tuple[np.ndarray, np.ndarray]):
+        self.classes = {k: x.astype(np.float32) for k, x in classes.items()}
+        self.weights, self.log_total = rows[0], rows[1].astype(np.float32)
+        self.bias = np.log(np.maximum(v.counts, 1)).astype(np.float32)
 
+    def log_shares(self, v: Vocabulary, first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log10 probability of each token in its context; of a word that isn't known, that of their class."""
+        context, inverse = np.unique(first * SECOND + second, return_inverse=True)
+        out, cls = np.zeros(len(ids)), v.word_class[ids]
+        order = np.argsort(inverse, kind="stable")
+        edges = np.searchsorted(inverse[order], np.arange(0, len(context) + 8192, 8192))
+        for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+            at = order[i:j]
+            p = softmax_of_classes(self.classes, context[k * 8192 : (k + 1) * 8192])
+            out[at] = np.log(p[inverse[at] - k * 8192, cls[at]])
+        known = np.flatnonzero(ids < v.known)
+        a, w = first[known], ids[known]
+        out[known] += self.bias[w] + self.weights[a, v.slot[w]].astype(np.float64) - self.log_total[a, cls[known]]
+        return out / math.log(10)
 
-def hashed_words(counts: DataFrame) -> DataFrame:
-    """word (its hash), c_word"""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh3_64_intdigest(w) for w in batch.column(0).to_pylist()], np.uint64).view(np.int64)), batch.column(1)], ["word", "c_word"])
-
-    return counts.select("word", "c").mapInArrow(run, "word long, c_word long")
-
-
-def pair_scores(scored: DataFrame, pairs: DataFrame, counts: DataFrame, discount: float) -> DataFrame:
-    """row, score_pairs: sums over the tokens whose pair isn't held. Only a rare word or a rare one before asks for more than the count of the pair."""
-    each = scored.select("row", F.explode(F.arrays_zip(*OPEN)).alias("t")).select("row", *[F.col(f"t.{c}").alias(c) for c in OPEN])
-    each = each.join(pairs.select("pair", F.col("c").alias("c_pair")), "pair", "left")
-    known = F.col("word_known") & F.col("before_known")
-    word = hashed_words(counts)
-    rest = each.where(~known)
-    # Known words stand in for many tokens: their rows look under the pair instead, which spreads and is discarded.
-    rest = rest.withColumn("by_word", F.when(F.col("word_known"), F.col("pair")).otherwise(F.col("word"))).withColumn("by_before", F.when(F.col("before_known"), F.col("pair")).otherwise(F.col("before")))
-    rest = rest.join(word.withColumnRenamed("word", "by_word"), "by_word", "left").join(Pairs.followed(pairs).toDF("by_before", "t", "f"), "by_before", "left")
-    rest = rest.withColumn("share", F.when(F.col("word_known"), F.col("share")).otherwise(F.col("share") * (F.coalesce("c_word", F.lit(0)) + F.lit(0.1))))
-    rest = rest.withColumn("times_before", F.when(F.col("before_known"), F.col("times_before")).otherwise(F.coalesce("t", F.lit(0)))).withColumn("followers", F.when(F.col("before_known"), F.col("followers")).otherwise(F.coalesce("f", F.lit(0))))
-    columns = ["row", "c_pair", "share", "times_before", "followers"]
-    every = each.where(known).select(*columns).unionByName(rest.select(*columns))
-    p = F.when(F.col("times_before") > 0, (F.greatest(F.coalesce("c_pair", F.lit(0)) - F.lit(discount), F.lit(0.0)) + F.lit(discount) * F.col("followers") * F.col("share")) / F.col("times_before")).otherwise(F.col("share"))
-    return every.groupBy("row").agg(F.sum(F.log10(p)).alias("score_pairs"))
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, known: int = KNOWN, held_pairs: int = HELD_PAIRS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """A row for each document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Scores are log10 probabilities of the whole text and its end. Training uses all documents but the held-out tenth;
@@ -395,77 +356,68 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row is scored by itself; other columns are ignored; an empty table gives no rows. Without training documents every
     token is unknown and has probability 1.
     """
-    spark = docs.sparkSession
-    src = source(docs, id_col, text_col)
-    counts = written(word_counts(src))
+    with scope(docs.sparkSession):
+        return lasting(_score_documents(docs, id_col, text_col, rounds, known))
+
+
+def fit(src: DataFrame, counts: DataFrame, rounds: int, known: int):
+    """Vocabulary and model, both broadcast; counts is the written table of word_counts."""
+    spark = src.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(known).toArrow()
-    own = Vocabulary(top["word"].to_pylist(), top["c"].to_numpy() if len(top) else np.zeros(0, np.int64))
+    own = Vocabulary(top["word"].to_pylist(), top["c"].to_numpy() if len(top) else np.zeros(0, np.int64), n, v)
     vocabulary = spark.sparkContext.broadcast(own)
-    weights = train(context_counts(src, vocabulary), vocabulary, rounds)
-    tables = spark.sparkContext.broadcast(score_tables(weights, own))
-    pairs = pair_counts(src, vocabulary)
-    common = spark.sparkContext.broadcast(Pairs(pairs, own, held_pairs))
-    discount = common.value.discount
-    rest_n, rest_v = n - float(own.counts[: own.modelled].sum()), v - own.modelled
-    base_total, rest_total = (math.log10(a + 0.1 * (b + 1)) for a, b in ((n, v), (rest_n, rest_v)))
+    parts = context_counts(src, vocabulary)
+    return vocabulary, spark.sparkContext.broadcast(Model(own, train_classes(parts, vocabulary, rounds), train_rows(parts, vocabulary, rounds))), n, v
+
+
+def _score_documents(docs: DataFrame, id_col: str, text_col: str, rounds: int, known: int) -> DataFrame:
+    src = source(docs, id_col, text_col)
+    counts = written(word_counts(src))
+    vocabulary, model, n, v = fit(src, counts, rounds, known)
+    base_total, rest_total = math.log10(n + 0.1 * (v + 1)), math.log10(vocabulary.value.rest_weight)
     kind = src.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab: Vocabulary = vocabulary.value
-        fine, coarse = tables.value
-        held: Pairs = common.value
-        missing = len(vocab.counts) - 1
         logs = np.log10(vocab.counts + 0.1)
+        held = Texts(vocab)
+
+        def scored() -> Iterator[tuple[int, int, float, float]]:
+            ids, starts = held.take()
+            if not len(ids):
+                return
+            here = ids < vocab.known
+            share = model.value.log_shares(vocab, *vocab.contexts(ids, starts), ids) - np.where(here, 0.0, rest_total)
+            sums = [np.add.reduceat(x, starts).tolist() for x in (here.astype(np.int64), np.where(here, logs[ids], 0.0), share)]
+            yield from zip(np.diff(np.r_[starts, len(ids)]).tolist(), *sums, strict=True)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size, known, base, model, rare, times = [], [], [], [], [], []
-            open_tokens: list[list] = []
+            done: list[tuple[int, int, float, float]] = []
+            rare, times = [], []
             for text in batch.column(1).to_pylist():
-                words, ids = tokens(text, vocab.number, missing)
-                a, b = vocab.contexts(ids)
-                here, inside = ids < missing, ids < vocab.modelled
-                size.append(len(ids))
-                known.append(int(here.sum()))
-                base.append(float(logs[ids[here]].sum()))
-                # The share of the hashed model; of a word that isn't known, without its count.
-                share = fine[a, vocab.word_class[ids]].astype(np.float64)
-                share[inside] += coarse[b[inside], ids[inside]]
-                share[~inside] -= rest_total
-                share[here & ~inside] += logs[ids[here & ~inside]]
-                share = 10.0**share
-                hashes = word_hashes(words, ids, vocab)
-                before = np.r_[BEFORE, hashes[:-1]]
-                before_ids = np.r_[vocab.number.get(END, missing), ids[:-1]]
-                keys = pair_keys(before, hashes)
-                c = held.found(keys)
-                done = here & (before_ids < missing) & (c > 0)
-                seen = vocab.counts[before_ids]  # every word has one after it, the end of a text its start
-                model.append(float(np.log10((c[done] - discount + discount * held.followers[before_ids[done]] * share[done]) / seen[done]).sum()))
-                left = ~done
-                unknown = before_ids[left] == missing
-                open_tokens.append([keys[left].view(np.int64), before[left].view(np.int64), hashes[left].view(np.int64), share[left], here[left], ~unknown, seen[left], held.followers[before_ids[left]]])
-                others = Counter(canonical(words[i]) for i in np.flatnonzero(~here).tolist())
+                words, ids = held.add(text)
+                others = Counter(canonical(words[i]) for i in np.flatnonzero(ids == vocab.known).tolist())
                 rare.append([*others])
                 times.append([*others.values()])
-            offsets = pa.array(np.r_[0, np.cumsum([len(x[0]) for x in open_tokens])].astype(np.int32))
-            columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*open_tokens, strict=True)]
+                if held.total >= TOKENS // 4:
+                    done.extend(scored())
+            done.extend(scored())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), *columns],
-                ["doc", "held_out", "n_tokens", "n_here", "base_here", "score_here", "rare", "times", *OPEN],
+                [batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                ["doc", "held_out", "n_tokens", "n_here", "base_here", "score_here", "rare", "times"],
             )
 
-    listed = ", ".join(f"{name} array<{kind}>" for name, kind in OPEN.items())
-    scored = src.select("doc", "text", "held_out").mapInArrow(run, f"doc {kind}, held_out boolean, n_tokens long, n_here long, base_here double, score_here double, rare array<binary>, times array<long>, {listed}")
+    scored = src.select("doc", "text", "held_out").mapInArrow(run, f"doc {kind}, held_out boolean, n_tokens long, n_here long, base_here double, score_here double, rare array<binary>, times array<long>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
-    joined = pair_scores(scored, pairs, counts, discount)
     # Rare words are joined with their counts and summed by document; a document without any has no row there.
     words = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
     found = words.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))).alias("log_rare"))
-    done = scored.drop("rare", "times", *OPEN).join(found, "row", "left").join(joined, "row", "left")
+    done = scored.drop("rare", "times").join(found, "row", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))
     return done.select(
         F.col("doc").alias(id_col), "held_out", "n_tokens", (F.col("n_here") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base_here") + log_rare - F.col("n_tokens") * F.lit(base_total)).alias("base_score"), (F.col("score_here") + F.coalesce("score_pairs", F.lit(0.0))).alias("score"),
+        (F.col("base_here") + log_rare - F.col("n_tokens") * F.lit(base_total)).alias("base_score"), (F.col("score_here") + log_rare).alias("score"),
     )
