@@ -1,6 +1,6 @@
 """Top-k search by inner product: a stated query set against all rows, in blocks.
 
-Rows are dealt into blocks of bounded size by the hash of their id, queries into chunks of bounded size; each pair of
+Rows are dealt into blocks of bounded size by hash, queries into chunks of bounded size; each pair of
 block and chunk is one unit of work, and a query's best rows of all blocks are merged by a windowed rank. Within a
 block equal vectors are searched once, with their smallest ids, so that a vector that fills a third of the table costs
 no more than any other. Two searches run inside a block: collision counting (approximate) and the threshold algorithm
@@ -19,23 +19,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import FEW
+
 BLOCK_ROWS, CHUNK_ROWS = 8192, 16384
 Search = Callable[[np.ndarray, np.ndarray, int], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, zero: bool, element: Callable[[Column], Column]) -> DataFrame:
-    """__id, __vec of the vectors that take part.
+    """__id, __vec, __width of the rows that take part.
 
     Vectors that are null, empty, hold null or non-finite components, or (unless zero) are zero don't, nor do rows
-    without id. A repeated id counts once, with its least vector. All vectors must have one length: the commonest
-    takes part (the larger on ties), others don't.
+    without id. Every other row does, also if its id or its vector repeats.
     """
     v = F.col(f"`{vec_col}`").cast("array<double>")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     if not zero:
         good &= F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.coalesce(good, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("__id"), v.alias("__vec"))
-    return rows.groupBy("__id").agg(F.min("__vec").alias("__vec")).select("__id", F.transform("__vec", element).alias("__vec"))
+    rows = vectors.where(F.coalesce(good, F.lit(False)) & F.col(f"`{id_col}`").isNotNull())
+    return rows.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.transform(v, element).alias("__vec"), F.size(v).alias("__width"))
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -44,28 +45,36 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def search_blocks(rows: DataFrame, is_query: Column, k: int, search: Search, score_type: str, block_rows: int, chunk_rows: int) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best of each query, ties to the smaller vec_id, never itself."""
-    widths = rows.groupBy(F.size("__vec").alias("w")).agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q")).orderBy(F.desc("n"), F.desc("w")).limit(1).collect()
-    width, n, q = (widths[0][0], widths[0][1], widths[0][2]) if widths else (1, 0, 0)
-    blocks, chunks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(q / chunk_rows))
-    rows = rows.where(F.size("__vec") == width)
-    dealt = rows.select(F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int").alias("__block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("__chunk"), "__id", "__vec")
-    asked = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"), F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(chunks)).cast("int").alias("__chunk"), "__id", "__vec")
+    """query_id, rank (from 1), vec_id, score: the k best of each query, ties to the smaller vec_id, never its own id.
+
+    Only vectors of one length have an inner product, so each length has blocks and chunks of its own. Queries that
+    share an id share one list of k.
+    """
+    lengths = rows.groupBy("__width").agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q")).where("q > 0")
+    parts = lengths.select("__width", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("q") / chunk_rows)).cast("int").alias("chunks"))
+    # one row for each length that a query has
+    rows = rows.join(F.broadcast(parts) if parts.limit(FEW + 1).count() <= FEW else parts, "__width")
+    # by a number of the row's own, given before rows are repeated: an id or a vector that repeats is spread like any other
+    rows, own = rows.withColumn("__own", F.monotonically_increasing_id()), F.col("__own")
+    dealt = rows.select("__width", F.pmod(F.xxhash64(own), F.col("blocks")).cast("int").alias("__block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("__chunk"), "__id", "__vec")
+    asked = rows.where(is_query).select(F.col("__width").alias("__width"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("__block"), F.pmod(F.xxhash64(own, F.lit(1)), F.col("chunks")).cast("int").alias("__chunk"), F.col("__id").alias("__id"), F.col("__vec").alias("__vec"))
     kind = pa.int64() if score_type == "long" else pa.float64()
 
     def unit(key: tuple, block: pa.Table, chunk: pa.Table) -> pa.Table:
         ids, asks = block["__id"].to_numpy(), chunk["__id"].to_numpy()
         out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64 if score_type == "long" else float)]
         if len(ids) and len(asks):
-            order = np.argsort(ids)
+            width = key[0].as_py()
+            order = np.argsort(ids, kind="stable")
             ids, x = ids[order], matrix(block["__vec"], width)[order]
             distinct, inverse = np.unique(x, axis=0, return_inverse=True)
             by = np.argsort(inverse.ravel(), kind="stable")
             first = np.searchsorted(inverse.ravel()[by], np.arange(len(distinct)))
             size = np.diff([*first, len(by)])
-            for own, (which, score) in zip(asks, search(distinct, matrix(chunk["__vec"], width), k + 1), strict=True):
-                # k + 1 ids of a vector suffice: they are its smallest, and one may be the query's own
-                take = np.minimum(size[which], k + 1)
+            # of k others and the rows of the query's own id, k are left; a vector's smallest ids come first
+            mine = np.searchsorted(ids, asks, "right") - np.searchsorted(ids, asks, "left")
+            for own, more, (which, score) in zip(asks, mine, search(distinct, matrix(chunk["__vec"], width), k + int(mine.max())), strict=True):
+                take = np.minimum(size[which], k + more)
                 at = np.repeat(first[which], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
                 v, s = ids[by[at]], np.repeat(score, take)
                 v, s = v[keep := v != own], s[keep]
@@ -75,7 +84,8 @@ def search_blocks(rows: DataFrame, is_query: Column, k: int, search: Search, sco
                 out_s.append(s[best])
         return pa.table({"query_id": pa.array(np.concatenate(out_q), pa.int64()), "vec_id": pa.array(np.concatenate(out_v), pa.int64()), "score": pa.array(np.concatenate(out_s), kind)})
 
-    found = dealt.groupBy("__block", "__chunk").cogroup(asked.groupBy("__block", "__chunk")).applyInArrow(unit, f"query_id long, vec_id long, score {score_type}")
+    unit_of = ["__width", "__block", "__chunk"]
+    found = dealt.groupBy(*unit_of).cogroup(asked.groupBy(*unit_of)).applyInArrow(unit, f"query_id long, vec_id long, score {score_type}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -207,8 +217,8 @@ def nearest_by_collisions(vectors: DataFrame, is_query: Callable[[Column], Colum
     """query_id, rank, vec_id, score (double): about the k rows of largest inner product for each query.
 
     sure is the probability with which each true neighbour is verified. Vectors that are null, empty, zero, or hold
-    null or non-finite components take no part, nor do rows without id or with another length than most; a repeated id
-    counts once. With fewer candidates than k all are returned. Other columns are ignored; an empty table gives no rows.
+    null or non-finite components take no part, nor do rows without id. Only vectors of the query's length are its
+    candidates, and no row of its own id is; rows that repeat an id or a vector count each. With fewer candidates than k all are returned. Other columns are ignored; an empty table gives no rows.
     """
     rows = usable(vectors, id_col, vec_col, False, lambda x: x)
     return search_blocks(rows, is_query(F.col("__id")), k, collision_search(projections, share, sure, first, widen, seed), "double", block_rows, chunk_rows)
