@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name, text_or_empty
+from .common import own_name, scope, text_or_empty, written
 
 CATEGORIES = ("insult", "coded", "sustained", "toxic")
 FOLDS = 5
@@ -65,15 +65,13 @@ def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sigmoid(x @ w[:-1] + w[-1])
 
 
-def select_features(rows: list[list[int]], y: np.ndarray, most: int) -> np.ndarray:
-    """Features of at least 3 rows whose rates in the two classes differ clearly, the clearest first, sorted by number."""
-    flat, label = np.array([f for r in rows for f in r], np.int64), np.repeat(y, [len(r) for r in rows])
-    a, b = np.bincount(flat[label == 1], minlength=2 * HALF), np.bincount(flat[label == 0], minlength=2 * HALF)
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    share = n1 / (n1 + n0)
+def select_features(toxic: np.ndarray, clean: np.ndarray, rows: tuple[int, int], most: int) -> np.ndarray:
+    """Places of features of at least 3 rows whose rates in the two classes (of so many rows) differ clearly, the clearest most, in order."""
+    share = rows[0] / max(1, sum(rows))
     log = lambda o, e: o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9))
     # signed root of the likelihood ratio: large numbers of rows in one class only
-    clear = np.where(a + b >= 3, np.sqrt(np.maximum(0, 2 * (log(a, (a + b) * share) + log(b, (a + b) * (1 - share))))), 0)
+    both = toxic + clean
+    clear = np.where(both >= 3, np.sqrt(np.maximum(0, 2 * (log(toxic, both * share) + log(clean, both * (1 - share))))), 0)
     best = np.argsort(-clear, kind="stable")[:most]
     return np.sort(best[clear[best] > 4.5])
 
@@ -97,31 +95,37 @@ def categories_of(x: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> np.ndarra
     return np.c_[y * (terms > 0), y * ((terms == 0) & (stems > 0)), y * (terms + stems >= 3), y]
 
 
-def train_chain(rows: list[list[int]], y: np.ndarray, folds: np.ndarray, most_features: int) -> dict | None:
-    """The chain's models and the threshold of its last category; None where a class is missing."""
+def train_chain(rows: list[list[int]], y: np.ndarray, folds: np.ndarray, chosen: list[np.ndarray]) -> dict | None:
+    """The chain's models and the threshold of its last category; None where a class is missing.
+
+    chosen are the features of each fold's models, found without its rows, and at last those of all rows. What a
+    fold's rows are predicted by, its features and categories included, has seen no label of that fold.
+    """
     if not len(y) or y.min() == y.max():
         return None
-    chosen = select_features(rows, y, most_features)
-    x = dense(rows, chosen)
-    targets = categories_of(x, y, chosen)
-    models, outside = [], np.zeros((len(y), 0))
+    outside = np.zeros((len(y), len(CATEGORIES)))
+    xs = [dense(rows, c) for c in chosen]
+    targets = [categories_of(x[folds != f], y[folds != f], c) for f, (x, c) in enumerate(zip(xs, chosen, strict=True))]
+    models = []
     for c in range(len(CATEGORIES)):
-        seen, t = np.c_[x, outside], targets[:, c].astype(float)
-        p = np.full(len(y), t.mean())
         for f in range(FOLDS):
             here = folds == f
-            if here.any() and not here.all() and t[~here].min() < t[~here].max():
-                p[here] = predict(seen[here], fit_linear(seen[~here], t[~here]))
+            t = targets[f][:, c].astype(float)
+            outside[here, c] = t.mean() if len(t) else 0
+            if here.any() and len(t) and t.min() < t.max():
+                seen = np.c_[xs[f], outside[:, :c]]
+                outside[here, c] = predict(seen[here], fit_linear(seen[~here], t))
+        t = targets[FOLDS][:, c].astype(float)
+        seen = np.c_[xs[FOLDS], outside[:, :c]]
         models.append(fit_linear(seen, t) if t.min() < t.max() else np.r_[np.zeros(seen.shape[1]), np.log((t.mean() + 1e-6) / (1 - t.mean() + 1e-6))])
-        outside = np.c_[outside, p]
     p, grid = outside[:, -1], np.linspace(0.02, 0.98, 97)
     gain = np.array([(p[y == 1] >= g).mean() - 10 * (p[y == 0] >= g).mean() for g in grid])
     threshold = float(np.median(grid[gain >= gain.max() - 1e-12]))
-    return {"chosen": chosen, "models": models, "threshold": threshold, "held_out": p}
+    return {"chosen": chosen[FOLDS], "models": models, "threshold": threshold, "held_out": p}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list:
-    """(fold, label, features) of at most most rows of each class, chosen by a hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+    """id, y, fold, features of at most most rows of each class, chosen by a hash of their id; a written table."""
     known = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("__id")).agg(F.max(f"`{label_col}`").cast("int").alias("__y"))
     order = F.xxhash64("__id")
     picked = known.where("__y > 0").orderBy(order, "__id").limit(most).unionByName(known.where("__y <= 0").orderBy(order, "__id").limit(most))
@@ -132,12 +136,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [text_features(t) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "features"])
+            fold = [xxhash.xxh3_64_intdigest(str(i).encode()) % FOLDS for i in b.column("__id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([int(y > 0) for y in b.column("__y").to_pylist()], pa.int32()), pa.array(fold, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "fold", "features"])
 
     # An id that many rows hold is one labelled row.
     one = found.groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
-    table = one.mapInArrow(run, "id long, y int, features array<int>").toArrow()
-    return sorted(zip(table["id"].to_pylist(), table["y"].to_pylist(), table["features"].to_pylist(), strict=True))
+    return written(one.mapInArrow(run, "id long, y int, fold int, features array<int>"))
+
+
+def trained(sample: DataFrame, most_features: int) -> dict | None:
+    """The chain of a labelled sample. Features are counted by Spark; the driver holds counts of hashed features, of which there are 2 * HALF at most, and of each row the chosen ones."""
+    of = lambda f, y: F.count(F.when((F.col("fold") == f) & (F.col("y") == y), 1)).cast("int").alias(f"n{f}_{y}")
+    cells = [of(f, y) for f in range(FOLDS) for y in (0, 1)]
+    counts = sample.select("y", "fold", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *cells).where("n >= 3").orderBy("feature").toArrow()
+    rows = [[int(x) for x in r] for r in np.array(sample.agg(*cells).collect()[0], np.int64).reshape(FOLDS, 2)]
+    feature = counts["feature"].to_numpy().astype(np.int64)
+    n = np.stack([counts[f"n{f}_{y}"].to_numpy() for f in range(FOLDS) for y in (0, 1)], 1).reshape(-1, FOLDS, 2).astype(np.float64) if len(feature) else np.zeros((0, FOLDS, 2))
+    chosen = []
+    for f in range(FOLDS + 1):
+        use = [g for g in range(FOLDS) if g != f]
+        clean, toxic = n[:, use].sum(1).T
+        chosen.append(feature[select_features(toxic, clean, (sum(rows[g][1] for g in use), sum(rows[g][0] for g in use)), most_features)])
+    wanted = sorted({int(x) for c in chosen for x in c})
+    kept = F.array_intersect("features", F.array(*[F.lit(x) for x in wanted])) if wanted else F.array().cast("array<int>")
+    table = sample.select("id", "y", "fold", kept.alias("features")).orderBy("id").toArrow()
+    return train_chain(table["features"].to_pylist(), table["y"].to_numpy().astype(np.int64), table["fold"].to_numpy().astype(np.int64), chosen)
 
 
 class Scorer:
@@ -177,9 +200,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     null labels are left out; a repeated label counts as toxic if one is; repeated documents are scored each. Columns of
     docs that clash with the new names are replaced. A map over rows: no shuffle of documents.
     """
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, most_labelled)
-    folds = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) % FOLDS for i, _, _ in sample], np.int64)
-    model = train_chain([f for _, _, f in sample], np.array([int(y > 0) for _, y, _ in sample], np.int64), folds, most_features)
+    with scope(docs.sparkSession):
+        model = trained(labelled_sample(docs, labels, id_col, text_col, label_col, most_labelled), most_features)
     names = [f"p_{c}" for c in CATEGORIES]
     docs = docs.drop(*names, "is_toxic")
     if model is None:
