@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name, text_or_empty, written
+from .common import lasting, own_name, scope, text_or_empty, written
 
 #: Fixed patterns: kind, pattern, group that holds the value, least characters of that group. The first three are the
 #: base kinds; the others are the spans that this method adds.
@@ -27,6 +27,7 @@ KINDS = [
     ("private", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-[^-]++){0,20}+-----END [A-Z ]*PRIVATE KEY-----|(?:[\r\n]+[A-Za-z0-9-]+: [^\r\n]*+){0,20}+[A-Za-z0-9+/=\r\n\\]*+))", 1, 1),
 ]
 BASE = 3
+TOGETHER = 256  # matches placed at a time
 #: Alphabets that a value may be drawn from, the smallest first, and the sizes of them; any other value counts as of 64.
 ALPHABETS = [("^[0-9]*$", 10), ("^[0-9a-f]*$|^[0-9A-F]*$", 16), ("^[a-z]*$|^[A-Z]*$", 26), ("^[a-z0-9]*$|^[A-Z0-9]*$", 36), ("^[A-Za-z0-9]*$", 62)]
 LONGEST = 64  # characters; what longer random values reach is above any limit here
@@ -45,15 +46,26 @@ def found(text: Column, rank: int) -> Column:
     rows = F.filter(rows, lambda r: r["whole"].isNotNull())
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
     start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    done = F.aggregate(
-        rows,
-        start,
-        lambda s, r: F.struct(
-            (s["at"] + r["gap"] + F.length(r["whole"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + r["gap"]).alias("start"), F.lit(rank).alias("kind"), (s["at"] + r["gap"] + F.length(r["whole"])).alias("end"), r["value"].alias("value")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+
+    def placed(part: Column) -> Column:
+        """at (length in all), out: spans of some matches, counted from the first one's gap."""
+        return F.aggregate(
+            part,
+            start,
+            lambda s, r: F.struct(
+                (s["at"] + r["gap"] + F.length(r["whole"])).alias("at"),
+                F.concat(s["out"], F.array(F.struct((s["at"] + r["gap"]).alias("start"), F.lit(rank).alias("kind"), (s["at"] + r["gap"] + F.length(r["whole"])).alias("end"), r["value"].alias("value")))).alias("out"),
+            ),
+        )
+
+    def shifted(parts: Column) -> Column:
+        begins = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        move = lambda p, at: F.transform(p["out"], lambda x: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end"), x["value"].alias("value")))
+        return F.flatten(F.zip_with(parts, begins, move))
+
+    # An array grows by copying, so matches are placed some at a time.
+    some = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / TOGETHER).cast("int")), lambda i: placed(F.slice(all_, i * TOGETHER + 1, TOGETHER)))
+    done = F.get(F.transform(F.array(rows), lambda all_: F.when(F.size(all_) > 0, F.get(F.transform(F.array(some(all_)), shifted), F.lit(0))).otherwise(none)), F.lit(0))
     return F.when(text.rlike(pattern), F.filter(done, lambda s: F.length(s["value"]) >= least)).otherwise(none)
 
 
@@ -110,7 +122,7 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("__hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3, live_bits: float = 3.0, salts: int = 16) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3, live_bits: float = 3.0) -> DataFrame:
     """A row for each document: id_col, spans (array of kind, start, end, hash, owners, repositories, live).
 
     A value is live if fewer than copied_owners owners hold it and its characters hold at least live_bits bits each, or
@@ -118,12 +130,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty one; ids may be null or repeat, each row stands alone; other columns are ignored; an empty table gives no
     rows. The value itself is hashed at once and never returned.
     """
+    with scope(docs.sparkSession):
+        return lasting(_scan_secrets(docs, id_col, text_col, owner_col, repo_cols, copied_owners, live_bits))
+
+
+def _scan_secrets(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...], copied_owners: int, live_bits: float) -> DataFrame:
     rows = written(candidates(docs, id_col, text_col, owner_col, repo_cols).withColumn("__spans", F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), (bits_a_character(s["value"]) >= least_bits(s["value"], live_bits)).alias("random")))))
     each = rows.where(F.size("__spans") > 0).select("*", F.explode("__spans").alias("s")).select("__row", id_col, "__owner", "__repo", F.col("s.hash").alias("__hash"), "s")
-    # Copies of one value are many rows with one hash: the rows are dealt over salts, the statistics repeated for each.
-    stats = ownership(each).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = each.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int"))
-    weighed = dealt.join(stats, ["__hash", "__salt"]).select(
+    # Copies of one value are many rows with one hash. The statistics are written, so that both sides of the join come by
+    # an exchange and Spark splits the rows of a frequent hash.
+    stats = written(ownership(each))
+    weighed = each.join(stats, "__hash").select(
         "__row", id_col,
         F.struct("s.start", "s.kind", "s.end", F.col("__hash").alias("hash"), "owners", "repositories", ((F.col("owners") < copied_owners) & F.col("s.random")).alias("live")).alias("span"),
     )
