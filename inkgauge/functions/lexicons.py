@@ -90,15 +90,42 @@ FALSE_POSITIVE = {
 }
 CONFIDENCE = ("none", "low", "medium", "high")
 
-# Function words of the style vector, in its order.
-FUNCTION_WORDS = (
-    "the of and to a in that is was it for on with as be by at this have from or had but not are they we you your i me my mine our "
-    "ours he him his she her hers them their theirs who whom whose which what where when why how would could should will shall may might "
-    "must can do does did done doing has having been being if then else than so because while although though after before during since "
-    "until unless whereas yet about above across against along among around behind below beneath beside between beyond despite down into "
-    "near off onto out over through throughout toward under up upon via within without just only also too very quite rather still already "
-    "again always never often sometimes usually here there now today tomorrow yesterday soon later once twice both either neither each"
-).split()[:150]
+# The 150 function words of the style vector, in its order.
+FUNCTION_WORDS = [
+    "the", "of", "and", "to", "a", "in", "that", "is", "was", "it", "for", "on", "with", "as", "be", "by", "at", "this",
+    "have", "from", "or", "had", "but", "not", "are", "they", "we", "you", "your", "i", "me", "my", "mine", "our",
+    "ours", "he", "him", "his", "she", "her", "hers", "them", "their", "theirs", "who", "whom", "whose", "which", "what",
+    "where", "when", "why", "how", "would", "could", "should", "will", "shall", "may", "might", "must", "can", "do",
+    "does", "did", "done", "doing", "has", "having", "been", "being", "if", "then", "else", "than", "so", "because",
+    "while", "although", "though", "after", "before", "during", "since", "until", "unless", "whereas", "yet", "about",
+    "above", "across", "against", "along", "among", "around", "behind", "below", "beneath", "beside", "between",
+    "beyond", "despite", "down", "into", "near", "off", "onto", "out", "over", "through", "throughout", "toward",
+    "under", "up", "upon", "via", "within", "without", "just", "only", "also", "too", "very", "quite", "rather", "still",
+    "already", "again", "always", "never", "often", "sometimes", "usually", "here", "there", "now", "today", "tomorrow",
+    "yesterday", "soon", "later", "once", "twice", "both", "either", "neither", "each", "every", "any", "some",
+]
+assert len(FUNCTION_WORDS) == 150
+
+# Signs of bulk or automated mail, looked for in subject and body in lower case.
+BULK = [
+    "unsubscribe", "auto-reply", "out of office", "automatic reply", "do not reply", "noreply", "newsletter", "invitation:", "accepted:",
+    "declined:", "tentative:", "canceled:", "updated invitation",
+]
+# Marks at which a reply chain is cut, of exported mail and of mail pulled for a tenant.
+REPLY_CUTS = [r"\nOn .+wrote:\s*\n", r"\n-{3,}\s*Original Message\s*-{3,}", r"\nFrom:\s+.+\n", r"\n>{1,}\s"]
+TENANT_REPLY_CUTS = [r"\nOn .+wrote:\s*\n", r"\n-{3,}\s*Original Message\s*-{3,}", r"\n-{3,}\s*Forwarded\s", r"\nFrom:\s+.+\nSent:\s+"]
+# Marks at which a signature is cut, beyond 30 % of what is left; the owner's name is a parameter.
+SIGNATURE_CUTS = [
+    r"\n--\s*\n", r"\nSent from my ", r"\nGet Outlook for ", r"\n_{3,}", r"\nBest regards,?\s*\n", r"\nRegards,?\s*\n", r"\nThanks,?\s*\n",
+    r"\nThank you,?\s*\n", r"\nCheers,?\s*\n",
+]
+TENANT_SIGNATURE_CUTS = [r"\n--\s*\n", r"\n---\s*[A-Z]", r"\nSent from my (?:iPhone|iPad|Android)", r"\nGet Outlook for "]
+# Words that signatures are made of.
+SIGNATURE_WORDS = ["founder", "partner", "managing", "ceo", "cto", "director", "president", "manager", "consultant", "principal", "owner", "chief", "vp", "vice", "sent", "mailto", "http", "https", "www", "com"]
+SIGNATURE_TITLES = ["founder", "partner", "ceo", "cto", "director", "manager", "president", "vp ", "vice president", "consultant", "managing", "principal", "owner", "chief"]
+# Openers and closers that the scorer of a single message knows.
+MESSAGE_GREETINGS = ["hi", "hey", "hello", "good", "dear", "hope", "howdy", "greetings"]
+MESSAGE_CLOSINGS = ["thanks", "thank", "best", "regards", "cheers", "sincerely", "take care", "talk soon"]
 
 # Lines that end the body in the style vector's cleaning.
 FOOTERS = [

@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from .lexicons import CONFIDENCE, FALSE_POSITIVE, PAYLOAD, SENSITIVE, SOFT, SOFT_AMPLIFIER
 
 
+ANY = {c: "(?i)(?:" + "|".join(p for _, p in ps) + ")" for c, ps in PAYLOAD.items()}
+
+
 def payload_hits(text: Column) -> Column:
-    """array<struct<category,weight,match>>: the first match of every pattern, cut to 80 characters."""
-    made = [F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(c).alias("category"), F.lit(w).alias("weight"), F.substring(F.regexp_extract(text, f"(?i){p}", 0), 1, 80).alias("match"))) for c, ps in PAYLOAD.items() for w, p in ps]
-    return F.filter(F.array(*made), lambda x: x.isNotNull())
+    """array<struct<category,weight,match>>: the first match of every pattern, cut to 80 characters.
+
+    One pass over the text finds whether any pattern matches, one a category which; patterns run where theirs does.
+    """
+    none = F.array().cast("array<struct<category:string,weight:double,match:string>>")
+    hit = lambda c, w, p: F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(c).alias("category"), F.lit(w).alias("weight"), F.substring(F.regexp_extract(text, f"(?i){p}", 0), 1, 80).alias("match")))
+    made = [F.when(text.rlike(ANY[c]), F.filter(F.array(*[hit(c, w, p) for w, p in ps]), lambda x: x.isNotNull())).otherwise(none) for c, ps in PAYLOAD.items()]
+    any_ = "(?i)(?:" + "|".join(p for ps in PAYLOAD.values() for _, p in ps) + ")"
+    return F.when(text.rlike(any_), F.concat(*made)).when(text.isNotNull(), none)
 
 
 def category_weight(hits: Column, category: str) -> Column:

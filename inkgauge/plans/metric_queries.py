@@ -10,13 +10,18 @@ from .base import MESSAGES, messages, table
 from .risk_queries import COMPOSED, composed
 
 
+def by_score(scores: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """by, score, p, n: rows of both classes at each distinct score; windows over these are as long as scores differ."""
+    return scores.groupBy(*by, score).agg(F.sum((F.col(label) == 1).cast("double")).alias("p"), F.sum((F.col(label) != 1).cast("double")).alias("n"))
+
+
 def auc(scores: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Rank AUC with ties at their mean rank, by groups."""
-    w = Window.partitionBy(*by)
-    mid = F.rank().over(w.orderBy(score)) + (F.count("*").over(Window.partitionBy(*by, score)) - 1) / F.lit(2.0)
-    r = scores.withColumn("mid", mid)
-    g = r.groupBy(*by).agg(F.sum(F.when(F.col(label) == 1, F.col("mid"))).alias("ranks"), F.sum((F.col(label) == 1).cast("double")).alias("p"), F.sum((F.col(label) != 1).cast("double")).alias("n"))
-    return g.where("p > 0 and n > 0").select(*by, F.round((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n")), 6).alias("auc"))
+    g = by_score(scores, by, score, label)
+    below = F.sum(F.col("p") + F.col("n")).over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    mid = F.coalesce(below, F.lit(0.0)) + (F.col("p") + F.col("n") + 1) / F.lit(2.0)
+    t = g.withColumn("mid", mid).groupBy(*by).agg(F.sum(F.col("mid") * F.col("p")).alias("ranks"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return t.where("p > 0 and n > 0").select(*by, F.round((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n")), 6).alias("auc"))
 
 
 def long_signals(spark, sf) -> DataFrame:
@@ -48,10 +53,13 @@ def roc_curve(spark, sf):
 
 def catch_at_fpr(spark, sf):
     """Share of toxic documents strictly over the score of the clean one at place int(n f)."""
-    s = long_signals(spark, sf)
-    clean = s.where("toxic <> 1").withColumn("r", F.row_number().over(Window.partitionBy("signal").orderBy(F.desc("score"), "doc_id"))).withColumn("n", F.count("*").over(Window.partitionBy("signal")))
-    cuts = clean.select("signal", "score", "r", "n", F.explode(F.array(F.lit(0.02), F.lit(0.05))).alias("rate")).where("r = floor(n * rate) + 1").select("signal", "rate", F.col("score").alias("cut"))
-    return s.where("toxic = 1").join(F.broadcast(cuts), "signal").groupBy("signal", "rate").agg(F.round(F.avg((F.col("score") > F.col("cut")).cast("double")), 6).alias("catch"))
+    g = by_score(long_signals(spark, sf), ["signal"], "score", "toxic")
+    down = Window.partitionBy("signal").orderBy(F.desc("score"))
+    upto = F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    g = g.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy("signal")), "over": F.coalesce(F.sum("p").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "toxic": F.sum("p").over(Window.partitionBy("signal"))})
+    place = F.floor(F.col("total") * F.col("rate")) + 1
+    cuts = g.withColumn("rate", F.explode(F.array(F.lit(0.02), F.lit(0.05)))).where((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place) & (F.col("toxic") > 0))
+    return cuts.select("signal", "rate", F.round(F.col("over") / F.col("toxic"), 6).alias("catch"))
 
 
 CATCH = "clean AS (SELECT signal, score, row_number() OVER (PARTITION BY signal ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY signal) AS n FROM long WHERE toxic <> 1), cuts AS (SELECT signal, rate, score AS cut FROM clean, (VALUES (0.02::DOUBLE), (0.05::DOUBLE)) f(rate) WHERE r = floor(n * rate) + 1), catches AS (SELECT signal, rate, round(avg(CASE WHEN score > cut THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS catch FROM long JOIN cuts USING (signal) WHERE toxic = 1 GROUP BY ALL)"
@@ -59,9 +67,14 @@ CATCH = "clean AS (SELECT signal, score, row_number() OVER (PARTITION BY signal
 
 def score_stats(spark, sf):
     """Mean, median, spread and 95th percentile (interpolated, and by place) of clean scores."""
-    s = long_signals(spark, sf).where("toxic <> 1").withColumn("r", F.row_number().over(Window.partitionBy("signal").orderBy("score", "doc_id"))).withColumn("n", F.count("*").over(Window.partitionBy("signal")))
+    s = long_signals(spark, sf).where("toxic <> 1")
     r6 = lambda c, a: F.round(c, 6).alias(a)
-    return s.groupBy("signal").agg(r6(F.avg("score"), "mean"), r6(F.percentile("score", F.lit(0.5)), "median"), r6(F.stddev_pop("score"), "sd"), r6(F.percentile("score", F.lit(0.95)), "p95"), F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.95) + 1, F.col("score"))).alias("p95_by_place"))
+    blocks = s.groupBy("signal").agg(r6(F.avg("score"), "mean"), r6(F.percentile("score", F.lit(0.5)), "median"), r6(F.stddev_pop("score"), "sd"), r6(F.percentile("score", F.lit(0.95)), "p95"))
+    g = s.groupBy("signal", "score").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("signal").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    g = g.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy("signal"))})
+    place = F.floor(F.col("total") * 0.95) + 1
+    return blocks.join(g.where((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)).select("signal", F.col("score").alias("p95_by_place")), "signal", "left")
 
 
 def calibration_ece(spark, sf):
@@ -85,6 +98,7 @@ def verdicts_by_label(spark, sf):
 
 def lowest_scores(spark, sf):
     """The three toxic documents that each signal scores lowest."""
+    # the filter on the rank lets Spark keep three rows of each signal before the shuffle
     r = F.row_number().over(Window.partitionBy("signal").orderBy("score", "doc_id"))
     return long_signals(spark, sf).where("toxic = 1").withColumn("r", r).where("r <= 3").select("signal", "doc_id", "score")
 
@@ -120,17 +134,6 @@ def top_event_types(spark, sf):
     return g.withColumn("r", r).where("r <= 3").select("user_id", "event_type", "n")
 
 
-def context_features(spark, sf):
-    """Part of the context vector of each event: scores against its user's profile and the global one, clipped."""
-    e = table(spark, sf, "events")
-    p = e.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    g = e.agg(F.avg("value").alias("gm"), F.stddev_pop("value").alias("gs"))
-    h = e.groupBy("user_id", F.hour("ts").alias("hour")).agg(F.count("*").alias("at_hour"))
-    z = lambda x, m, s: F.round(F.when(s <= 1e-9, 0.0).otherwise(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), (x - m) / s))), 6)
-    j = e.withColumn("hour", F.hour("ts")).join(p, "user_id").join(h, ["user_id", "hour"]).crossJoin(F.broadcast(g))
-    return j.select("event_id", F.when(F.col("n") >= 3, 1.0).otherwise(0.0).alias("known"), F.round(F.log1p("n"), 6).alias("log_n"), z(F.col("value"), F.col("m"), F.when(F.col("s") > 1e-9, F.col("s")).otherwise(0.0)).alias("z_own"), z(F.col("value"), F.col("gm"), F.col("gs")).alias("z_all"), F.round(F.col("at_hour") / F.col("n"), 6).alias("hour_share"))
-
-
 def best_recipient_profile(spark, sf):
     """Each message with recipients: the profile of the recipient written to most, first listed on ties, else the global one."""
     m = messages(spark, sf).select("msg_id", F.posexplode(F.filter(F.transform(F.split("recipients", ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")).alias("place", "address"))
@@ -141,34 +144,10 @@ def best_recipient_profile(spark, sf):
     return j.groupBy("msg_id").agg(best.alias("b"), F.count("*").alias("recipients")).crossJoin(F.broadcast(total)).select("msg_id", "b.address", F.coalesce("b.n_sends", "all_sends").alias("n_sends"), "recipients")
 
 
-def recipient_conditional(spark, sf):
-    """Length of each document against the baseline of its source if that is among the five largest, else all."""
-    d = messages(spark, sf).select("msg_id", "author", F.size(T.fields(F.col("body"))).cast("double").alias("n"))
-    top = d.groupBy("author").agg(F.count("*").alias("k"), F.avg("n").alias("m"), F.stddev_pop("n").alias("s")).where("k >= 8").orderBy(F.desc("k"), "author").limit(5)
-    every = d.agg(F.avg("n").alias("gm"), F.stddev_pop("n").alias("gs"))
-    j = d.join(F.broadcast(top), "author", "left").crossJoin(F.broadcast(every))
-    sd = F.coalesce("s", "gs")
-    return j.select("msg_id", F.when(F.col("k").isNotNull(), 1.0).otherwise(0.0).alias("known"), F.round((F.col("n") - F.coalesce("m", "gm")) / F.when(sd > 0, sd).otherwise(1.0), 6).alias("z"))
-
-
 def clean_transcript(spark, sf):
     return messages(spark, sf).select("msg_id", F.md5(T.clean_transcript(F.col("body"))).alias("digest"), F.length(T.clean_transcript(F.col("body"))).cast("long").alias("n"))
 
 
-def strip_artifacts(spark, sf):
-    return messages(spark, sf).select("msg_id", F.length(T.strip_artifacts(F.col("body"))).cast("long").alias("n"), T.occurrences(T.strip_artifacts(F.col("body")), "_EMAIL_").alias("emails"), T.occurrences(T.strip_artifacts(F.col("body")), "_PHONE_").alias("phones"))
-
-
-def own_text(spark, sf):
-    return messages(spark, sf).select("msg_id", F.length(T.own_text(F.col("body"))).cast("long").alias("n"))
-
-
-def mail_cleaning(spark, sf):
-    """Replies and signatures cut, typographic characters made plain."""
-    b = T.unformatted(T.strip_signature(T.strip_replies(F.col("body"))))
-    return messages(spark, sf).select("msg_id", F.length(b).cast("long").alias("n"))
-
-
 def html_to_text_spaced(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(T.html_spaced(F.col("html"))).alias("digest"))
 
@@ -185,13 +164,7 @@ def style_similarity(spark, sf):
     return e.join(m, "label").select("vec_id", F.round(dot(F.col("v"), F.col("c")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("c"), F.col("c"))), 5).alias("cosine"))
 
 
-def bulk_rejected(spark, sf):
-    """Messages that look automated."""
-    signs = r"(?i)unsubscribe|do not reply|no-?reply|view (this )?in (your )?browser|newsletter|automatic reply|out of office"
-    return messages(spark, sf).select("msg_id", F.concat_ws("\n", "subject", "body").rlike(signs).alias("bulk"), F.lower("subject").rlike(r"^(re|fwd|fw)\s*:").alias("reply"))
-
-
-QUERIES = {f.__name__: f for f in (rank_auc, per_feature_auc, roc_curve, catch_at_fpr, score_stats, calibration_ece, ship_gate, verdicts_by_label, lowest_scores, send_gaps, send_profile, top_event_types, context_features, best_recipient_profile, recipient_conditional, clean_transcript, strip_artifacts, own_text, mail_cleaning, html_to_text_spaced, html_to_text_lined, style_similarity, bulk_rejected)}
+QUERIES = {f.__name__: f for f in (rank_auc, per_feature_auc, roc_curve, catch_at_fpr, score_stats, calibration_ece, ship_gate, verdicts_by_label, lowest_scores, send_gaps, send_profile, top_event_types, best_recipient_profile, clean_transcript, html_to_text_spaced, html_to_text_lined, style_similarity)}
 STAT = lambda c, n: f"round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median, round(stddev_pop({c}), 6) AS sd"
 SQL = {
     "rank_auc": f"WITH {LONG}, {AUC} SELECT * FROM aucs",
@@ -206,10 +179,7 @@ SQL = {
     "send_gaps": f"WITH {GAPS} SELECT user_id, {STAT('gap', 0)}, round(quantile_cont(gap, 0.9), 6) AS p90 FROM gaps WHERE gap IS NOT NULL GROUP BY user_id",
     "send_profile": f"SELECT user_id, count(*) AS n, min(event_id) AS first, {STAT('value', 0)}, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS reply_rate, {', '.join(f'round(avg(CASE WHEN hour(ts) = {h} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS h{h:02}' for h in range(24))}, {', '.join(f'round(avg(CASE WHEN isodow(ts) = {d + 1} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS d{d}' for d in range(7))}, count(*) >= 3 AS known FROM events GROUP BY user_id",
     "top_event_types": "WITH g AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) SELECT user_id, event_type, n FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) <= 3",
-    "context_features": "WITH p AS (SELECT user_id, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY user_id), g AS (SELECT avg(value) AS gm, stddev_pop(value) AS gs FROM events), h AS (SELECT user_id, hour(ts) AS hour, count(*) AS at_hour FROM events GROUP BY ALL) SELECT event_id, CASE WHEN n >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS known, round(ln(1 + n), 6) AS log_n, round(CASE WHEN s <= 1e-9 THEN 0.0::DOUBLE ELSE greatest(-10.0::DOUBLE, least(10.0::DOUBLE, (value - m) / s)) END, 6) AS z_own, round(CASE WHEN gs <= 1e-9 THEN 0.0::DOUBLE ELSE greatest(-10.0::DOUBLE, least(10.0::DOUBLE, (value - gm) / gs)) END, 6) AS z_all, round(at_hour / CAST(n AS DOUBLE), 6) AS hour_share FROM events e JOIN p USING (user_id) JOIN h ON h.user_id = e.user_id AND h.hour = hour(ts), g",
     "best_recipient_profile": f"WITH {MESSAGES}, a AS (SELECT msg_id, list_filter(list_transform(string_split(recipients, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS rs FROM msgs), m AS (SELECT msg_id, unnest(range(1, len(rs) + 1)) AS place, unnest(rs) AS address FROM a), p AS (SELECT address, count(*) AS n_sends FROM m GROUP BY address HAVING count(*) >= 3), t AS (SELECT count(DISTINCT msg_id) AS all_sends FROM m), j AS (SELECT m.msg_id, m.address, n_sends, row_number() OVER (PARTITION BY msg_id ORDER BY coalesce(n_sends, 0) DESC, place) AS r, count(*) OVER (PARTITION BY msg_id) AS recipients FROM m LEFT JOIN p ON m.address = p.address) SELECT msg_id, address, coalesce(n_sends, all_sends) AS n_sends, recipients FROM j, t WHERE r = 1",
-    "recipient_conditional": f"WITH {MESSAGES}, d AS (SELECT msg_id, author, CAST(len(list_filter(regexp_split_to_array(body, '[ \\t\\r\\n]+'), lambda x: x <> '')) AS DOUBLE) AS n FROM msgs), t AS (SELECT author, count(*) AS k, avg(n) AS m, stddev_pop(n) AS s FROM d GROUP BY author HAVING count(*) >= 8 ORDER BY k DESC, author LIMIT 5), e AS (SELECT avg(n) AS gm, stddev_pop(n) AS gs FROM d) SELECT msg_id, CASE WHEN k IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS known, round((n - coalesce(m, gm)) / CASE WHEN coalesce(s, gs) > 0 THEN coalesce(s, gs) ELSE 1 END, 6) AS z FROM d LEFT JOIN t USING (author), e",
     "clean_transcript": f"WITH {MESSAGES}, c AS (SELECT msg_id, trim(regexp_replace(regexp_replace(regexp_replace(body, '\\[?[0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?\\]?', '', 'g'), '(?m)^[A-Z][A-Za-z]{{0,30}}:[ \\t]*', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM msgs) SELECT msg_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n FROM c",
     "style_similarity": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), x AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e), c AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT label, list(x ORDER BY i) AS c FROM c GROUP BY label) SELECT vec_id, round(list_inner_product(v, c) / sqrt(list_inner_product(v, v) * list_inner_product(c, c)), 5) AS cosine FROM e JOIN m USING (label)",
-    "bulk_rejected": f"WITH {MESSAGES} SELECT msg_id, regexp_matches(subject || chr(10) || body, '(?i)unsubscribe|do not reply|no-?reply|view (this )?in (your )?browser|newsletter|automatic reply|out of office') AS bulk, regexp_matches(lower(subject), '^(re|fwd|fw)\\s*:') AS reply FROM msgs",
 }

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import html
-import re
 import uuid
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from ..operators import profiles as P
 from ..operators.style_model import calibrated_anomalies, calibrated_trees, with_text_features
-from .base import table
-from .metric_queries import context_features
+from .base import messages, table
+from .feature_queries import context_features
 from .profile_queries import style_vector
 
-CONTEXT = ["known", "log_n", "z_own", "z_all", "hour_share"]
-
 
 def stylometric_rows(spark, sf):
     """doc_id, label, dense, grams of the labelled documents."""
@@ -30,8 +28,41 @@ def stylometric_trees(spark, sf):
 
 
 def context_forest(spark, sf):
-    """Events by the part of the context vector that context_features gives."""
-    return calibrated_anomalies(context_features(spark, sf), CONTEXT, "event_id")
+    """Messages by their context vector."""
+    return calibrated_anomalies(context_features(spark, sf), P.CONTEXT, "msg_id")
+
+
+class PageText(HTMLParser):
+    """Text of a page: entities decoded, line ends at blocks, no scripts, styles and heads."""
+
+    SKIPPED = {"style", "script", "head"}
+    BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.depth = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in self.SKIPPED
+        if tag in self.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in self.SKIPPED and self.depth > 0
+        if tag in self.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.parts.append(data)
+
+
+def page_text(page: str) -> str:
+    parser = PageText()
+    parser.feed(page or "")
+    parser.close()
+    lines = [" ".join(x.split()) for x in "".join(parser.parts).split("\n")]
+    return "\n".join(x for x in lines if x)
 
 
 def html_to_text_parsed(spark, sf):
@@ -39,8 +70,7 @@ def html_to_text_parsed(spark, sf):
 
     def run(batches):
         for b in batches:
-            t = b["html"].fillna("").str.replace(r"(?is)<(script|style|head)\b.*?</\1>", "", regex=True).str.replace(r"(?i)</?(?:p|div|br|li|tr|h[1-6])\b[^>]*>", "\n", regex=True).str.replace(r"(?s)<[^>]+>", "", regex=True)
-            b["text"] = [re.sub(r"\n\s*\n+", "\n\n", html.unescape(x)).strip() for x in t]
+            b["text"] = [page_text(x) for x in b["html"]]
             yield b[["page_id", "text"]]
 
     return table(spark, sf, "pages").select("page_id", "html").mapInPandas(run, "page_id long, text string")

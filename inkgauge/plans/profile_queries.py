@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import CLOSING_WORDS, CONTRACTION, EXPANDED, FUNCTION_WORDS, GREETING_WORDS, LEXICON, NOISE_PHRASES, SKIP_STARTERS
-from .base import MESSAGES, messages, quoted, table
+from ..operators.profiles import small
+from .base import MESSAGES, messages, quoted
 
 sql_list = lambda xs: "(" + ", ".join(map(quoted, xs)) + ")"
 WORDS = "list_transform(regexp_extract_all(body, '[A-Za-z'']+'), lambda x: lower(x))"
@@ -41,12 +42,32 @@ def document_frequency(spark, sf):
     return w.join(n, "author").where("df >= total * 0.15").withColumn("r", r).where("r <= 40").select("author", "word", "df", F.col("r").cast("long").alias("r"))
 
 
-def phrases(spark, sf):
-    """Runs of 2 to 5 words within sentences, with the position of their sentence."""
-    s = messages(spark, sf).select("msg_id", "author", F.posexplode(T.marks(F.col("body"))).alias("at", "s"), F.size(T.marks(F.col("body"))).alias("k"))
+def sentences_of(spark, sf):
+    """msg_id, author, place of each sentence, its words."""
+    s = messages(spark, sf).select("msg_id", "author", T.marks(F.col("body")).alias("ss")).select("msg_id", "author", F.size("ss").alias("k"), F.posexplode("ss").alias("at", "s"))
     place = F.when(F.col("at") == 0, "opening").when(F.col("at") >= F.col("k") - 2, "closing").otherwise("body")
-    w = s.withColumn("w", T.words(F.col("s"))).select("msg_id", "author", "at", place.alias("place"), F.explode(F.concat(*[T.ngrams(F.col("w"), n) for n in (2, 3, 4, 5)])).alias("phrase"))
-    return w.where(~F.col("phrase").isin(*NOISE_PHRASES))
+    return s.select("msg_id", "author", place.alias("place"), T.words(F.col("s")).alias("w"))
+
+
+def phrases(s: DataFrame, pairs: DataFrame) -> DataFrame:
+    """msg_id, author, place, phrase: runs of 2 to 5 words within sentences that begin and end with one of pairs.
+
+    A run can't be commoner than a pair within it, so with all pairs of a support no phrase of that support is lost. pairs
+    is broadcast only if it is small.
+    """
+    at = lambda n: F.sequence(F.lit(0), F.size("w") - n)
+    run = lambda i, n: F.array_join(F.slice("w", i + 1, n), " ")
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(at(n), lambda i: F.struct(run(i, 2).alias("first"), run(i + n - 2, 2).alias("last"), i.alias("i"), F.lit(n).alias("n"))))
+    some = F.flatten(F.filter(F.array(*[runs(n) for n in (2, 3, 4, 5)]), lambda x: x.isNotNull()))
+    keep = small(pairs.select("pair"))
+    p = s.select("msg_id", "author", "place", "w", F.explode(some).alias("x")).select("msg_id", "author", "place", "w", "x.*")
+    p = p.join(keep, F.col("first") == F.col("pair"), "left_semi").join(keep.withColumnRenamed("pair", "pair2"), F.col("last") == F.col("pair2"), "left_semi")
+    return p.select("msg_id", "author", "place", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("phrase")).where(~F.col("phrase").isin(*NOISE_PHRASES))
+
+
+def pair_counts(s: DataFrame) -> DataFrame:
+    """pair and n: pairs of neighbouring words within sentences."""
+    return s.select(F.explode(T.ngrams(F.col("w"), 2)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 PHRASES = f"""{MESSAGES}, s0 AS (SELECT msg_id, author, {MARKS} AS ss FROM msgs), s1 AS (SELECT msg_id, author, ss, unnest(range(1, len(ss) + 1)) AS i FROM s0),
@@ -56,27 +77,35 @@ phrases AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT msg_id, author, pos, pla
 
 def phrase_fingerprint(spark, sf):
     """The 100 commonest phrases of enough support, with their places: one aggregation, no rescans."""
-    p = phrases(spark, sf)
-    total = messages(spark, sf).agg(F.count("*").alias("total"))
+    s = sentences_of(spark, sf)
+    least = F.broadcast(messages(spark, sf).agg(F.greatest(F.lit(3.0), F.count("*") * 0.005).alias("least")))
+    p = phrases(s, pair_counts(s).crossJoin(least).where("n >= least"))
     g = p.groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("msg_id").alias("in_messages"), F.count_if(F.col("place") == "opening").alias("opening"), F.count_if(F.col("place") == "closing").alias("closing"), F.min("msg_id").alias("first_id"))
-    return g.crossJoin(F.broadcast(total)).where("n >= greatest(3, total * 0.005)").drop("total").orderBy(F.desc("n"), "phrase").limit(100)
+    return g.crossJoin(least).where("n >= least").drop("least").orderBy(F.desc("n"), "phrase").limit(100)
+
+
+def top_phrases(spark, sf, k: int = 20) -> DataFrame:
+    """msg_id, author, phrase of the k commonest phrases: none of them is rarer than the k-th pair that isn't noise."""
+    s = sentences_of(spark, sf)
+    pairs = pair_counts(s)
+    kth = F.broadcast(pairs.where(~F.col("pair").isin(*NOISE_PHRASES)).orderBy(F.desc("n"), "pair").limit(k).agg(F.coalesce(F.min("n"), F.lit(0)).alias("least")))
+    p = phrases(s, pairs.crossJoin(kth).where("n >= least"))
+    top = p.groupBy("phrase").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "phrase").limit(k)
+    return p.join(F.broadcast(top), "phrase")
 
 
 def phrase_sources(spark, sf):
     """The five authors that use each of the 20 commonest phrases most."""
-    p = phrases(spark, sf)
-    top = p.groupBy("phrase").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "phrase").limit(20)
-    g = p.join(F.broadcast(top), "phrase").groupBy("phrase", "author").agg(F.count("*").alias("n"))
+    g = top_phrases(spark, sf).groupBy("phrase", "author").agg(F.count("*").alias("n"))
     r = F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("n"), "author"))
     return g.withColumn("r", r).where("r <= 5").select("phrase", "author", "n")
 
 
 def phrase_examples(spark, sf):
     """First three messages of each phrase of the top 20."""
-    p = phrases(spark, sf).select("phrase", "msg_id").distinct()
-    top = phrases(spark, sf).groupBy("phrase").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "phrase").limit(20)
+    p = top_phrases(spark, sf).groupBy("phrase", "msg_id").agg(F.lit(1))
     r = F.row_number().over(Window.partitionBy("phrase").orderBy("msg_id"))
-    return p.join(F.broadcast(top), "phrase").withColumn("r", r).where("r <= 3").select("phrase", "msg_id")
+    return p.withColumn("r", r).where("r <= 3").select("phrase", "msg_id")
 
 
 def sentence_templates(spark, sf):
@@ -202,7 +231,9 @@ def recipient_summary(spark, sf):
 
 def style_vector(m: DataFrame) -> DataFrame:
     """Twenty rates of each message after cleaning; all_caps counts lower-cased words, so only those of apostrophes."""
-    m = m.withColumn("t", T.strip_artifacts(F.col("body"))).withColumn("w", T.words(F.col("t"))).withColumn("lens", F.transform(T.sentences(F.col("t")), lambda s: F.size(T.words(s)).cast("double")))
+    # explode of one element holds what is computed above it: no later expression repeats it
+    m = m.select("*", F.explode(F.array(T.strip_artifacts(F.col("body")))).alias("t"))
+    m = m.select("*", F.explode(F.array(F.struct(T.words(F.col("t")).alias("w"), F.transform(T.sentences(F.col("t")), lambda s: F.size(F.regexp_extract_all(s, F.lit("[A-Za-z']+"), F.lit(0))).cast("double")).alias("lens")))).alias("x")).select("*", "x.*")
     n = F.greatest(F.size("w"), F.lit(1)).cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     rate = lambda c: F.lit(1000.0) * c / n
@@ -221,10 +252,6 @@ def style_vector(m: DataFrame) -> DataFrame:
     return m.select("msg_id", "author", *[F.round(c, 5).alias(name) for name, c in out.items()])
 
 
-def style_features(spark, sf):
-    return style_vector(messages(spark, sf))
-
-
 def function_word_freq(spark, sf):
     """Relative frequency of each function word by author, those that occur."""
     m = messages(spark, sf).select("author", T.words(F.col("body")).alias("w"))
@@ -233,36 +260,7 @@ def function_word_freq(spark, sf):
     return w.join(total, "author").select("author", "word", F.round(F.col("n") / F.col("total"), 8).alias("freq"))
 
 
-def tagged(n):
-    return lambda x: F.struct(x.alias("gram"), F.lit(n).alias("n"))
-
-
-def negative_space(spark, sf):
-    """Share of each message's two- and three-word runs that the benchmark never uses twice."""
-    seen = table(spark, sf, "benchmark").select(F.explode(F.concat(*[T.ngrams(T.words(F.col("text")), n) for n in (2, 3)])).alias("gram")).groupBy("gram").count().where("count >= 2").select("gram", F.lit(1).alias("seen"))
-    m = messages(spark, sf).withColumn("w", T.words(F.col("body")))
-    g = m.select("msg_id", F.explode(F.concat(*[F.transform(T.ngrams(F.col("w"), n), tagged(n)) for n in (2, 3)])).alias("x")).select("msg_id", "x.gram", "x.n")
-    j = g.join(seen, "gram", "left")
-    share = lambda n: F.round(F.sum(F.when((F.col("n") == n) & F.col("seen").isNull(), 1.0).otherwise(0.0)) / F.greatest(F.sum(F.when(F.col("n") == n, 1.0).otherwise(0.0)), F.lit(1.0)), 6)
-    return j.groupBy("msg_id").agg(share(2).alias("two"), share(3).alias("three"), F.count_if((F.col("n") == 2) & F.col("seen").isNull()).alias("violations"))
-
-
-def deviation_score(spark, sf):
-    """Each message against its author's profile: length, exclamations, contractions; thresholds give a verdict."""
-    m = messages(spark, sf).select("msg_id", "author", F.size(T.fields(F.col("body"))).cast("double").alias("n"), T.matches(F.col("body"), "!").cast("double").alias("e"), T.matches(F.lower(F.col("body")), CONTRACTION).cast("double").alias("c"), T.matches(F.lower(F.col("body")), EXPANDED).cast("double").alias("x"))
-    p = m.groupBy("author").agg(F.avg("n").alias("pn"), (F.lit(1000.0) * F.sum("e") / F.greatest(F.sum("n"), F.lit(1.0))).alias("pe"), F.coalesce(F.try_divide(F.sum("c"), F.sum("c") + F.sum("x")), F.lit(0.0)).alias("pc"))
-    j = m.join(p, "author")
-    ratio = F.col("n") / F.greatest(F.col("pn"), F.lit(1.0))
-    d1 = F.when((ratio > 3) | (ratio < 0.2), F.least(F.lit(1.0), F.abs(ratio - 1) / 3))
-    diff = F.abs(F.lit(1000.0) * F.col("e") / F.greatest(F.col("n"), F.lit(1.0)) - F.col("pe"))
-    d2 = F.when(diff > 5, F.least(F.lit(1.0), diff / 15))
-    cd = F.abs(F.coalesce(F.try_divide(F.col("c"), F.col("c") + F.col("x")), F.lit(0.5)) - F.col("pc"))
-    d3 = F.when(cd > 0.3, F.least(F.lit(1.0), cd / 0.7))
-    score = F.least(F.lit(1.0), (F.coalesce(d1, F.lit(0.0)) + F.coalesce(d2, F.lit(0.0)) + F.coalesce(d3, F.lit(0.0))) * 0.1)
-    return j.select("msg_id", F.round(d1, 6).alias("word_count"), F.round(d2, 6).alias("exclamation"), F.round(d3, 6).alias("contraction"), F.round(score, 6).alias("score"), F.when(score >= 0.2, "hold").when(score >= 0.1, "warn").otherwise("pass").alias("verdict"))
-
-
-QUERIES = {f.__name__: f for f in (token_frequency, vocabulary_by_author, document_frequency, phrase_fingerprint, phrase_sources, phrase_examples, sentence_templates, greeting_patterns, closing_patterns, lexicon_usage, assertiveness, sentence_stats, sentence_starters, paragraph_stats, grammar_signature, punctuation_profile, readability, structure_share, recipient_summary, style_features, function_word_freq, negative_space, deviation_score)}
+QUERIES = {f.__name__: f for f in (token_frequency, vocabulary_by_author, document_frequency, phrase_fingerprint, phrase_sources, phrase_examples, sentence_templates, greeting_patterns, closing_patterns, lexicon_usage, assertiveness, sentence_stats, sentence_starters, paragraph_stats, grammar_signature, punctuation_profile, readability, structure_share, recipient_summary, function_word_freq)}
 EXPLODED = f"{MESSAGES}, w AS (SELECT msg_id, author, unnest({WORDS}) AS word FROM msgs)"
 GREETING = r"^((?:Hi|Hey|Hello|Dear|Good morning|Good afternoon|Good evening|Howdy|Greetings))[, ]+([A-Z][a-z]+(?: [A-Z][a-z]+)?)$"
 GREETED = f"{MESSAGES}, l AS (SELECT msg_id, author, body, {LINES} AS ls FROM msgs), g AS (SELECT *, CASE WHEN len(list_filter(regexp_split_to_array(ls[1], '[ \\t\\r\\n]+'), lambda x: x <> '')) <= 8 AND regexp_matches(lower(ls[1]), '^({'|'.join(GREETING_WORDS)})') THEN regexp_replace(regexp_replace(ls[1], '[,!. ]+$', ''), {quoted(GREETING)}, '\\1 [Name]') END AS pattern FROM l)"
@@ -292,6 +290,4 @@ SQL = {
     "structure_share": f"WITH {GREETED} SELECT author, round(avg(CASE WHEN pattern IS NOT NULL THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS greeting, round(avg(CASE WHEN len(list_filter({LAST3}, lambda s: regexp_matches(lower(s), {CLOSES}))) > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS closing, round(avg(CASE WHEN contains(ls[1], '?') THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS hook FROM g GROUP BY author",
     "recipient_summary": f"WITH {MESSAGES}, a AS (SELECT author, unnest(string_split(recipients, ',')) AS r FROM msgs), c AS (SELECT author, lower(trim(r)) AS address FROM a WHERE trim(r) <> '') SELECT substr(sha256(address), 1, 12) AS hash, string_split(address, '@')[-1] AS domain, count(*) AS n, count(DISTINCT author) AS authors FROM c GROUP BY address",
     "function_word_freq": f"WITH {MESSAGES}, m AS (SELECT author, {WORDS} AS w FROM msgs), t AS (SELECT author, sum(len(w)) AS total FROM m GROUP BY author), e AS (SELECT author, unnest(w) AS word FROM m), g AS (SELECT author, word, count(*) AS n FROM e WHERE word IN {sql_list(FUNCTION_WORDS)} GROUP BY ALL) SELECT author, word, round(n / CAST(total AS DOUBLE), 8) AS freq FROM g JOIN t USING (author)",
-    "negative_space": f"WITH {MESSAGES}, b AS (SELECT list_transform(regexp_extract_all(text, '[A-Za-z'']+'), lambda x: lower(x)) AS w FROM benchmark), bg AS (SELECT unnest({grams_sql('w', 2)}) AS gram FROM b UNION ALL SELECT unnest({grams_sql('w', 3)}) FROM b), seen AS (SELECT gram FROM bg GROUP BY gram HAVING count(*) >= 2), m AS (SELECT msg_id, {WORDS} AS w FROM msgs), g AS (SELECT msg_id, unnest({grams_sql('w', 2)}) AS gram, 2 AS n FROM m UNION ALL SELECT msg_id, unnest({grams_sql('w', 3)}), 3 FROM m), j AS (SELECT msg_id, n, s.gram IS NULL AS new FROM g LEFT JOIN seen s ON g.gram = s.gram) SELECT msg_id, round(CAST(count(*) FILTER (n = 2 AND new) AS DOUBLE) / greatest(count(*) FILTER (n = 2), 1), 6) AS two, round(CAST(count(*) FILTER (n = 3 AND new) AS DOUBLE) / greatest(count(*) FILTER (n = 3), 1), 6) AS three, count(*) FILTER (n = 2 AND new) AS violations FROM j GROUP BY msg_id",
-    "deviation_score": f"WITH {MESSAGES}, m AS (SELECT msg_id, author, CAST(len({FIELDS}) AS DOUBLE) AS n, CAST({count_sql('body', '!')} AS DOUBLE) AS e, CAST({count_sql('lower(body)', CONTRACTION)} AS DOUBLE) AS c, CAST({count_sql('lower(body)', EXPANDED)} AS DOUBLE) AS x FROM msgs), p AS (SELECT author, avg(n) AS pn, 1000.0::DOUBLE * sum(e) / greatest(sum(n), 1.0) AS pe, coalesce(sum(c) / nullif(sum(c) + sum(x), 0), 0.0) AS pc FROM m GROUP BY author), j AS (SELECT *, n / greatest(pn, 1.0) AS ratio, abs(1000.0::DOUBLE * e / greatest(n, 1.0) - pe) AS diff, abs(coalesce(c / nullif(c + x, 0), 0.5) - pc) AS cd FROM m JOIN p USING (author)), d AS (SELECT msg_id, CASE WHEN ratio > 3 OR ratio < 0.2 THEN least(1.0, abs(ratio - 1) / 3) END AS d1, CASE WHEN diff > 5 THEN least(1.0, diff / 15) END AS d2, CASE WHEN cd > 0.3 THEN least(1.0, cd / 0.7::DOUBLE) END AS d3 FROM j), s AS (SELECT *, least(1.0, (coalesce(d1, 0) + coalesce(d2, 0) + coalesce(d3, 0)) * 0.1::DOUBLE) AS score FROM d) SELECT msg_id, CAST(round(d1, 6) AS DOUBLE) AS word_count, CAST(round(d2, 6) AS DOUBLE) AS exclamation, CAST(round(d3, 6) AS DOUBLE) AS contraction, CAST(round(score, 6) AS DOUBLE) AS score, CASE WHEN score >= 0.2 THEN 'hold' WHEN score >= 0.1 THEN 'warn' ELSE 'pass' END AS verdict FROM s",
 }

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.lexicons import PAYLOAD, SOFT, SOFT_AMPLIFIER
 from .base import MESSAGES, messages, quoted, table
 
+CARD = risk.SENSITIVE[0][1]
 ALL = [(c, w, p) for c, ps in PAYLOAD.items() for w, p in ps]
 HARD = [c for c in PAYLOAD if c not in SOFT]
 HITS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {quoted(p)}, 'i') THEN {{'category': {quoted(c)}, 'weight': CAST({w} AS DOUBLE), 'match': substr(regexp_extract(t, {quoted('(?i)' + p)}), 1, 80)}} END" for c, w, p in ALL) + "], lambda x: x IS NOT NULL)"
@@ -45,8 +46,9 @@ def payload_fire_diagnosis(spark, sf) -> DataFrame:
 
 
 def sensitive_card_scan(spark, sf) -> DataFrame:
-    found = risk.sensitive_values(F.col("body"), "plain_card", r"\b4[0-9]{15}\b", 0)
-    rows = messages(spark, sf).where(F.col("body").rlike(r"\b4[0-9]{15}\b")).withColumn("cards", F.filter(found, risk.luhn))
+    """Card numbers of four brands, in groups or not, that pass the checksum."""
+    cards = F.filter(F.regexp_extract_all("body", F.lit(CARD), F.lit(0)), risk.luhn)
+    rows = messages(spark, sf).where(F.col("body").rlike(CARD)).withColumn("cards", cards)
     return rows.where(F.size("cards") > 0).select("msg_id", F.size("cards").cast("long").alias("n_cards"), F.concat(F.lit("************"), F.right(F.get("cards", F.lit(0)), F.lit(4))).alias("sample"))
 
 
@@ -114,7 +116,7 @@ SQL = {
     "payload_scan_by_source": f"WITH {SCORED_SQL} SELECT author, count(*) AS messages, count(*) FILTER (score > 0) AS fired, count(*) FILTER (score >= 0.5) AS risky, round(max(score), 6) AS worst FROM scored GROUP BY author",
     "payload_hits": f"WITH {SCORED_SQL}, e AS (SELECT msg_id, unnest(hits) AS h FROM scored) SELECT msg_id, h.category AS category, h.weight AS weight, h.match AS match FROM e",
     "payload_fire_diagnosis": f"WITH {SCORED_SQL}, e AS (SELECT DISTINCT msg_id, score, unnest(list_transform(hits, lambda h: h.category)) AS category FROM scored) SELECT category, count(*) AS fired, count(*) FILTER (score >= 0.9) AS at_90, count(*) FILTER (score >= 0.7) AS at_70, count(*) FILTER (score >= 0.5) AS at_50 FROM e GROUP BY category",
-    "sensitive_card_scan": f"WITH {MESSAGES}, f AS (SELECT msg_id, list_filter(regexp_extract_all(body, '\\b4[0-9]{{15}}\\b'), lambda c: {LUHN.format('c')}) AS cards FROM msgs) SELECT msg_id, CAST(len(cards) AS BIGINT) AS n_cards, '************' || right(cards[1], 4) AS sample FROM f WHERE len(cards) > 0",
+    "sensitive_card_scan": f"WITH {MESSAGES}, f AS (SELECT msg_id, list_filter(regexp_extract_all(body, {quoted(CARD)}), lambda s: length(regexp_replace(s, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND {LUHN.format("regexp_replace(s, '[^0-9]', '', 'g')")}) AS cards FROM msgs) SELECT msg_id, CAST(len(cards) AS BIGINT) AS n_cards, '************' || right(cards[1], 4) AS sample FROM f WHERE len(cards) > 0",
     "routing_numbers": f"WITH {MESSAGES}, f AS (SELECT msg_id, unnest(regexp_extract_all(body, '\\b[0-3][0-9]{{8}}\\b')) AS number FROM msgs) SELECT msg_id, number FROM f WHERE list_sum(list_transform(range(1, 10), lambda i: CAST(number[i] AS INT) * [3, 7, 1][(i - 1) % 3 + 1])) % 10 = 0",
     "compose_verdict": f"WITH {COMPOSED} SELECT doc_id, verdict, round(composite, 6) AS composite, reason FROM composed",
     "reason_distribution": f"WITH {COMPOSED} SELECT verdict, reason, count(*) AS n FROM composed GROUP BY ALL",

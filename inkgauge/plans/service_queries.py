@@ -36,7 +36,7 @@ def alert_summary(spark, sf):
 
 def recent_alerts(spark, sf):
     """The latest 50 of two event types with their customer, if there is one."""
-    e = table(spark, sf, "events").where(F.col("event_type").isin("error", "purchase"))
+    e = table(spark, sf, "events").where(F.col("event_type").isin("error", "purchase")).orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
     return e.join(c, "user_id", "left").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "c_name", "event_type")
 
@@ -63,8 +63,8 @@ KEYS = {"warn": (0.35, 10), "hold": (0.55, 20)}
 def effective_policy(spark, sf):
     """Thresholds of each customer by layers: group, default policy, customer, nation, region, constant; with the layer that decided."""
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    groups = table(spark, sf, "part").where("p_partkey < 40").select((F.col("p_partkey") % 20).alias("member"), (F.col("p_size") % 7).alias("priority"), F.col("p_partkey").alias("group_id"))
-    best = groups.withColumn("r", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("priority"), "group_id"))).where("r = 1").select("member", "group_id")
+    groups = table(spark, sf, "part").select((F.col("p_partkey") % 20).alias("member"), (F.col("p_size") % 7).alias("priority"), F.col("p_partkey").alias("group_id"))
+    best = groups.groupBy("member").agg(F.max_by("group_id", F.struct("priority", -F.col("group_id"))).alias("group_id"))
     c = c.join(best, (F.col("c_custkey") % 50) == F.col("member"), "left")
     value = lambda col, mod, rest, scale: F.when(F.col(col) % mod == rest, (F.col(col) % 10).cast("double") / scale)
     out = [F.col("c_custkey")]
@@ -85,7 +85,7 @@ def _policy_sql() -> str:
         layers = [("group", value("group_id", 2, 0, scale)), ("default", value("c_custkey", 11, 0, scale)), ("tenant", value("c_custkey", 5, 1, scale)), ("reseller", value("n_nationkey", 3, 1, scale)), ("distributor", value("r_regionkey", 2, 0, scale))]
         cols.append(f"round(coalesce({', '.join(v for _, v in layers)}, CAST({default} AS DOUBLE)), 6) AS {name}")
         cols.append("CASE " + " ".join(f"WHEN ({v}) IS NOT NULL THEN '{layer}'" for layer, v in layers) + f" ELSE 'constant' END AS {name}_source")
-    return f"""WITH g AS (SELECT p_partkey % 20 AS member, p_partkey AS group_id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_size % 7 DESC, p_partkey) AS r FROM part WHERE p_partkey < 40)
+    return f"""WITH g AS (SELECT p_partkey % 20 AS member, p_partkey AS group_id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_size % 7 DESC, p_partkey) AS r FROM part)
 SELECT c_custkey, {", ".join(cols)} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN g ON c_custkey % 50 = member AND r = 1"""
 
 
@@ -135,8 +135,9 @@ def per_writer_cap(spark, sf):
 def holdout_split(spark, sf):
     """The first 300 documents by a hash of their id are held out, 5 of the others are the seed sample."""
     d = table(spark, sf, "documents").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))
-    r = d.withColumn("r", F.row_number().over(Window.orderBy("h", "doc_id")))
-    return r.select("doc_id", F.when(F.col("r") <= 300, "heldout").when(F.col("r") <= 305, "seed").otherwise("train").alias("part"))
+    # the first ones by a limit, numbered among themselves, instead of a sort of all rows in one task
+    first = d.orderBy("h", "doc_id").limit(305).withColumn("r", F.row_number().over(Window.orderBy("h", "doc_id"))).select("doc_id", "r")
+    return d.join(F.broadcast(first), "doc_id", "left").select("doc_id", F.when(F.col("r") <= 300, "heldout").when(F.col("r") <= 305, "seed").otherwise("train").alias("part"))
 
 
 def corpus_stats_by_month(spark, sf):

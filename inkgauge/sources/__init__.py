@@ -1 +1 @@
-
+"""Readers of mail, corpora and stores."""

@@ -73,17 +73,125 @@ def read_maildir(spark: SparkSession, folder: str, sent_only: bool = True) -> Da
 
     Spark's listing hides folders whose names begin with an underscore; name those in the path itself.
     """
-    m = _parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), False)
+    return _owners(_parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), False), sent_only)
+
+
+def _owners(m: DataFrame, sent_only: bool) -> DataFrame:
     at = F.regexp_extract("path", r"maildir/([^/]+)/([^/]+)/", 1)
     m = m.withColumn("owner", F.when(at != "", at)).withColumn("folder", F.lower(F.regexp_extract("path", r"maildir/([^/]+)/([^/]+)/", 2)))
     return m.where(F.col("folder").isin("sent", "sent_items", "_sent_mail", "sent items")) if sent_only else m
 
 
-def read_corpus(spark: SparkSession, path: str, min_words: int = 20) -> DataFrame:
-    """JSON lines or arrays of messages with any of the usual field names: body, subject, to, date."""
-    df = spark.read.option("multiLine", "true").json(path)
-    if "messages" in df.columns:
-        df = df.select(F.explode("messages").alias("m")).select("m.*")
-    pick = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names if n in df.columns], F.lit(None).cast("string"))
-    out = df.select(pick("body", "body_text", "text").alias("body"), pick("subject").alias("subject"), pick("to", "recipient").alias("to"), pick("date", "sent_date").alias("date"))
-    return out.where(F.size(T.fields(F.coalesce("body", F.lit("")))) >= min_words)
+WORD_FLOOR = {"mail": 5, "segments": 10, "corpus": 20}
+
+
+def recent(messages: DataFrame, months_back: int, as_of: str, time_col: str = "sent") -> DataFrame:
+    """Messages of the last months of 30 days before as_of; undated ones stay."""
+    cutoff = F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(30 * months_back))
+    return messages.where(F.col(time_col).isNull() | (F.col(time_col) >= cutoff))
+
+
+def long_enough(messages: DataFrame, least: int, body_col: str = "body") -> DataFrame:
+    return messages.where(F.size(T.fields(F.coalesce(body_col, F.lit("")))) >= least)
+
+
+def own_mail(messages: DataFrame, months_back: int = 12, as_of: str | None = None) -> DataFrame:
+    """Messages as a profile takes them: recent, without quotes and signatures, of five words or more."""
+    rows = recent(messages, months_back, as_of) if as_of else messages
+    return long_enough(rows.withColumn("body", T.strip_quotes(F.col("body"))), WORD_FLOOR["mail"])
+
+
+def exported_mail(messages: DataFrame, least_chars: int = 20) -> DataFrame:
+    """Messages as an archive's export keeps them: no bulk mail, plain characters, no replies and signatures; replies and forwards told apart."""
+    kept = messages.where(~T.is_bulk(F.col("subject"), F.col("body")))
+    clean = kept.withColumn("body", T.strip_signature(T.strip_replies(T.unformatted(T.html_spaced(F.coalesce("body", F.lit("")))))))
+    low = F.lower(F.coalesce("subject", F.lit("")))
+    return clean.where(F.length("body") >= least_chars).withColumns({"is_reply": low.startswith("re:"), "is_forward": low.startswith("fw:") | low.startswith("fwd:"), "word_count": F.size(T.fields(F.col("body"))), "char_count": F.length("body")})
+
+
+def capped(messages: DataFrame, key: str, most: int, time_col: str = "sent", id_col: str = "message_id") -> DataFrame:
+    """The newest most messages of each key; ties by id."""
+    from pyspark.sql import Window
+
+    r = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(time_col), id_col))
+    return messages.withColumn("__r", r).where(F.col("__r") <= most).drop("__r")
+
+
+def _picked(df: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    pick = lambda names: F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names if n in df.columns], F.lit(None).cast("string"))
+    return df.select(*[pick(names).alias(name) for name, names in fields.items()])
+
+
+CORPUS_FIELDS = {"body": ("body", "body_text", "text"), "subject": ("subject",), "to": ("to", "recipient"), "date": ("date", "sent_date")}
+SEGMENT_FIELDS = {"text": ("text", "body"), "source_id": ("source_id", "id"), "title": ("title",), "date": ("date",), "speaker": ("speaker",)}
+
+
+def _json_rows(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """Objects of a JSON file: one a line, an array, or an object that holds them as messages and emails."""
+    df = spark.read.option("multiLine", str(not lines).lower()).json(path)
+    held = [c for c in ("messages", "emails") if c in df.columns and dict(df.dtypes)[c].startswith("array<struct")]
+    if not held:
+        return df
+    parts = [df.select(F.explode(c).alias("m")).select("m.*") for c in held]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def read_corpus(spark: SparkSession, path: str, min_words: int = 20, lines: bool | None = None) -> DataFrame:
+    """Messages of JSON files, of any of the usual field names: body, subject, to, date.
+
+    Files are JSON lines, arrays, or objects with messages or emails. lines says which; without it the first bytes of
+    the first file do: lines begin with an object and hold another on the next line.
+    """
+    if lines is None:
+        head = spark.read.text(path).limit(2).collect()
+        lines = len(head) == 2 and all(r[0].strip().startswith("{") and r[0].strip().endswith("}") for r in head)
+    return long_enough(_picked(_json_rows(spark, path, lines), CORPUS_FIELDS), min_words)
+
+
+def read_segments(spark: SparkSession, path: str, min_words: int = 10) -> DataFrame:
+    """Segments of a JSON array of strings or objects: text cleaned of time stamps and speakers; ids default to their place."""
+    whole = spark.read.text(path, wholetext=True).select("value")
+    as_strings = F.transform(F.from_json("value", "array<string>"), lambda s: F.when(F.startswith(F.ltrim(s), F.lit("{")), F.from_json(s, "text string, body string, source_id string, id string, title string, date string, speaker string")).otherwise(F.named_struct(F.lit("text"), s, F.lit("body"), F.lit(None).cast("string"), F.lit("source_id"), F.lit(None).cast("string"), F.lit("id"), F.lit(None).cast("string"), F.lit("title"), F.lit(None).cast("string"), F.lit("date"), F.lit(None).cast("string"), F.lit("speaker"), F.lit(None).cast("string"))))
+    rows = whole.select(F.posexplode(as_strings).alias("place", "s")).select("place", "s.*")
+    return _segments(_picked(rows, SEGMENT_FIELDS | {"place": ("place",)}), min_words)
+
+
+def from_texts(spark: SparkSession, texts: list[str], source_ids: list[str] | None = None, titles=None, dates=None, speakers=None, min_words: int = 10) -> DataFrame:
+    """Segments of a list in memory; those of fewer words go."""
+    at = lambda xs, i: xs[i] if xs and i < len(xs) else None
+    rows = [(str(i), t, at(source_ids, i), at(titles, i), at(dates, i), at(speakers, i)) for i, t in enumerate(texts)]
+    return _segments(spark.createDataFrame(rows, "place string, text string, source_id string, title string, date string, speaker string"), min_words)
+
+
+def _segments(rows: DataFrame, min_words: int) -> DataFrame:
+    clean = rows.select(F.coalesce("source_id", F.concat(F.lit("src_"), "place")).alias("source_id"), "title", T.parsed_time(F.col("date")).alias("sent"), "speaker", T.clean_transcript(F.coalesce("text", F.lit(""))).alias("body"))
+    return long_enough(clean, min_words)
+
+
+def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """path, text of .txt, .eml and .msg files, by path."""
+    files = spark.read.option("pathGlobFilter", "*.{txt,eml,msg}").option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).orderBy("path")
+
+
+def read_archive(spark: SparkSession, path: str, sent_only: bool = True) -> DataFrame:
+    """Messages of tar archives (gzip or not) of a maildir tree, read as a stream member by member; columns as read_maildir."""
+    import io
+    import tarfile
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        for b in batches:
+            for raw in b["content"]:
+                rows = []
+                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as tar:
+                    for member in tar:
+                        if member.isfile():
+                            rows.append(row_of(member.name, tar.extractfile(member).read()))
+                        if len(rows) >= 200:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                yield pd.DataFrame(rows, columns=names)
+
+    m = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    return _owners(m, sent_only)
