@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the cores if its files are fewer: a file of one row group is one task, whatever is computed of its texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """msg_id, author, recipients, subject, body, sent.
 
@@ -22,7 +28,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     """
     sent = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 500000 * 37 as int))")
     subject = F.concat(F.when(F.col("doc_id") % 4 == 0, "Re: ").otherwise(""), F.coalesce("source", F.lit("")))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("msg_id"), F.col("source").alias("author"), F.concat(F.coalesce("lang", F.lit("xx")), F.lit("@example.org")).alias("recipients"), subject.alias("subject"), F.coalesce("text", F.lit("")).alias("body"), sent.alias("sent"))
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text")).select(F.col("doc_id").alias("msg_id"), F.col("source").alias("author"), F.concat(F.coalesce("lang", F.lit("xx")), F.lit("@example.org")).alias("recipients"), subject.alias("subject"), F.coalesce("text", F.lit("")).alias("body"), sent.alias("sent"))
 
 
 MESSAGES = "msgs AS (SELECT doc_id AS msg_id, source AS author, coalesce(lang, 'xx') || '@example.org' AS recipients, CASE WHEN doc_id % 4 = 0 THEN 'Re: ' ELSE '' END || coalesce(source, '') AS subject, coalesce(text, '') AS body, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id % 500000 * 37 AS BIGINT)) AS sent FROM documents)"

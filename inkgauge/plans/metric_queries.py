@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .base import MESSAGES, messages, table
+from .base import MESSAGES, messages, spread, table
 from .risk_queries import COMPOSED, composed
 
 
@@ -149,11 +149,11 @@ def clean_transcript(spark, sf):
 
 
 def html_to_text_spaced(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(T.html_spaced(F.col("html"))).alias("digest"))
+    return spread(table(spark, sf, "pages")).select("page_id", F.md5(T.html_spaced(F.col("html"))).alias("digest"))
 
 
 def html_to_text_lined(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(T.html_lined(F.col("html"))).alias("digest"))
+    return spread(table(spark, sf, "pages")).select("page_id", F.md5(T.html_lined(F.col("html"))).alias("digest"))
 
 
 def style_similarity(spark, sf):

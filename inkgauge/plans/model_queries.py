@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profiles as P
 from ..operators.style_model import calibrated_anomalies, calibrated_trees, with_text_features
-from .base import messages, table
+from .base import spread, table
 from .feature_queries import context_features
 from .profile_queries import style_vector
 
@@ -73,7 +73,7 @@ def html_to_text_parsed(spark, sf):
             b["text"] = [page_text(x) for x in b["html"]]
             yield b[["page_id", "text"]]
 
-    return table(spark, sf, "pages").select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    return spread(table(spark, sf, "pages").select("page_id", "html")).mapInPandas(run, "page_id long, text string")
 
 
 def stream_counts(spark, sf):
