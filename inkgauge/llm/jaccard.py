@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, lasting, scope, semi_join, text_or_empty, written
+from .common import FEW, lasting, scope, semi_join, text_or_empty, trimmed, written
 from .components import components
 
 #: Odd multipliers, one for each word of a shingle; fixed values.
@@ -42,7 +42,7 @@ LIST_COST = 4.0  # of an entry in an inverted list, against an enumerated pair
 COMMON_HERE, COMMON_MOST = 4, 1 << 18  # documents of a batch that make a shingle common; common shingles kept
 ENTRIES = 400_000  # of inverted lists in a bucket, about
 COUNTED = 1 << 20  # shingles in a bucket that counts them, about
-CHUNK = 1 << 21  # shingles of the nodes that a task sends together, about
+CHUNK = 1 << 19  # shingles of the nodes that a task sends together, about
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ["kind", "doc", "node", "n", "packed", "uid"],
             )
 
-    return written(src.mapInArrow(run, "kind int, doc long, node long, n long, packed binary, uid long"))
+    return written(src.mapInArrow(lambda batches: trimmed(run(batches)), "kind int, doc long, node long, n long, packed binary, uid long"))
 
 
 def _once(nodes: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def _heads(once: DataFrame, buckets: int, common) -> DataFrame:
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()))], names=["node", "n", "head", "cut", "held"])
 
     packs = "bucket int, chunk long, meta boolean, a binary, b binary, c binary, d binary, e binary"
-    several = once.mapInArrow(sent, packs).groupBy("bucket").applyInArrow(counted, packs)
+    several = once.mapInArrow(lambda batches: trimmed(sent(batches)), packs).groupBy("bucket").applyInArrow(counted, packs)
     return written(several.groupBy("chunk").applyInArrow(ordered, "node long, n long, head binary, cut int, held int"))
 
 

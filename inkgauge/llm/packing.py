@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lasting, scope, text_or_empty, written
+from .common import lasting, scope, text_or_empty, trimmed, written
 
-CACHE = 300_000  # words of a generation that a worker remembers; it keeps two
+CACHE = 120_000  # words of a generation that a worker remembers; it keeps two
 LONG_TEXT = 8 << 20
 END = (1).to_bytes(4, "little")
 
@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
             out = [batch.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.binary())] if keep_ids else [])], [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
-    return src.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return src.mapInArrow(lambda batches: trimmed(run(batches)), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
