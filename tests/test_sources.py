@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from inkgauge.operators.style_model import isolation_scores
-from inkgauge.sources import mail
+from inkgauge.functions import text as T
+from inkgauge.operators import profiles
+from inkgauge.sources import mail, store
 from inkgauge.streaming import live
 
 RAW = b"From: Lee <lee@example.com>\nTo: Ana <ANA@example.com>, bo@example.org\nDate: Mon, 01 Jan 2024 10:00:00 +0200\nMessage-ID: <1@x>\nSubject: =?utf-8?q?Caf=C3=A9?=\n\nHello\n"
@@ -35,3 +37,60 @@ def test_scored(spark):
 def test_forest(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, 1000.0).otherwise(F.col("id") % 10).alias("x"))
     assert isolation_scores(df, ["x"], "doc_id").orderBy(F.desc("anomaly")).first().doc_id == 7
+
+
+def test_corpus_forms(spark, tmp_path):
+    """JSON lines, wrapped objects and arrays give the same messages."""
+    import json
+
+    rows = [{"body": "word " * 25, "to": str(i)} for i in range(3)]
+    for name, text in (("lines", "\n".join(map(json.dumps, rows))), ("array", json.dumps(rows)), ("messages", json.dumps({"messages": rows})), ("emails", json.dumps({"emails": rows, "n": 3}))):
+        (tmp_path / f"{name}.json").write_text(text)
+        assert sorted(r.to for r in mail.read_corpus(spark, str(tmp_path / f"{name}.json")).collect()) == ["0", "1", "2"]
+    (tmp_path / "segments.json").write_text(json.dumps(["Lee: [00:01] " + "word " * 12, {"text": "again " * 12, "id": "x"}, "short"]))
+    assert sorted((r.source_id, r.body) for r in mail.read_segments(spark, str(tmp_path / "segments.json")).collect()) == [("src_0", ("word " * 12).strip()), ("x", ("again " * 12).strip())]
+    assert mail.from_texts(spark, ["a b", "word " * 10]).first().source_id == "src_1"
+
+
+def test_mail_rules(spark, tmp_path):
+    import tarfile
+
+    box = tmp_path / "maildir/lee/sent"
+    box.mkdir(parents=True)
+    (box / "1").write_bytes(RAW)
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "maildir", "maildir")
+    assert [(r.owner, r.subject) for r in mail.read_archive(spark, str(tmp_path / "a.tar.gz")).collect()] == [("lee", "Café")]
+    df = spark.createDataFrame([("a", "2024-01-20 00:00:00", "one two three four five"), ("b", "2023-01-01 00:00:00", "one two three four five"), ("c", None, "one two three four five\n> old"), ("d", None, "short")], "message_id string, sent string, body string").withColumn("sent", F.col("sent").cast("timestamp"))
+    assert sorted(r.message_id for r in mail.own_mail(df, 1, "2024-02-01").collect()) == ["a", "c"]
+    texts = spark.createDataFrame([("Hi\n> quoted\nbody\nOn Monday Lee wrote:\nold",), ("a\nb\nc\nd\nFrom: x\nSent: y\nold",), ("text here\nmore text\n\nLee Doe\nManager\n555-123-4567",)], "t string")
+    assert [r[0] for r in texts.select(T.strip_quotes(F.col("t"))).collect()] == ["Hi\nbody", "a\nb\nc\nd", "text here\nmore text\n\nLee Doe"]
+
+
+def test_store(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    df = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    store.upsert(df([(1, "a"), (2, "b")]), f"{at}/t", ["k"])
+    store.upsert(df([(2, "c"), (3, "d")]), f"{at}/t", ["k"])
+    assert sorted(map(tuple, store.load(spark, f"{at}/t").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    store.replace(df([(9, "z")]), f"{at}/t")
+    assert store.load(spark, f"{at}/t").count() == 1
+    store.append(df([(1, "a"), (1, "a")]), f"{at}/log", once=["k"])
+    store.append(df([(1, "x"), (2, "y")]), f"{at}/log", once=["k"])
+    assert sorted(map(tuple, spark.read.parquet(f"{at}/log").collect())) == [(1, "a"), (2, "y")]
+    tenants = spark.createDataFrame([(1,), (2,)], "tenant_id long")
+    store.insert_tenants(tenants, f"{at}/tenants", f"{at}/policies")
+    store.insert_tenants(tenants, f"{at}/tenants", f"{at}/policies")
+    assert spark.read.parquet(f"{at}/policies").count() == 2
+    store.split(spark.range(400).withColumnRenamed("id", "doc_id"), "doc_id", f"{at}/split")
+    assert [store.load(spark, f"{at}/split/{n}").count() for n in ("heldout", "seed", "train")] == [300, 5, 95]
+    users = spark.createDataFrame([(1, 1), (2, 2)], "user_id long, tenant_id long")
+    layers = [("group", spark.createDataFrame([(1, 5, 1, 0.9), (1, 5, 2, 0.8)], "user_id long, priority int, policy_id long, warn double"), "user_id"), ("tenant", spark.createDataFrame([(2, 0.7)], "tenant_id long, warn double"), "tenant_id")]
+    got = {r.user_id: (r.warn, r.warn_source, r.hold, r.hold_source) for r in store.effective_policy(users, layers, {"warn": 0.35, "hold": 0.55}).collect()}
+    assert got == {1: (0.9, "group", 0.55, "constant"), 2: (0.7, "tenant", 0.55, "constant")}
+
+
+def test_reasons(spark):
+    df = spark.createDataFrame([(10.0, 0.0), (0.0, 0.1)], "a double, b double")
+    got = [r.reasons for r in profiles.top_reasons(df, ["a", "b"], {"a": 0.0, "b": 0.0}, {"a": 2.0, "b": 1.0}).collect()]
+    assert got == [["a: 10.00 (higher than typical 0.00, z=5.0)"], ["overall linguistic pattern deviates from user baseline"]]
