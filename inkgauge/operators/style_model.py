@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, IDF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -37,17 +37,46 @@ def with_text_features(rows: DataFrame, text_col: str, style: list[str], least:
     return out.select(*rows.columns, "dense", "grams")
 
 
-def calibrated_trees(rows: DataFrame, features: list[str], label: str, id_col: str, rounds: int = 200, folds: int = 3) -> DataFrame:
-    """id_col, score: mean probability of label over models that each left out one fold and were calibrated on it."""
+def _margins(trees: GBTClassificationModel, x: DataFrame) -> DataFrame:
+    scored = trees.transform(x).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
+    return VectorAssembler(inputCols=["margin"], outputCol="z").transform(scored)
+
+
+def fit_trees(rows: DataFrame, features: list[str], label: str, id_col: str, rounds: int = 200, folds: int = 3) -> list[tuple[GBTClassificationModel, LogisticRegressionModel]]:
+    """For each fold, trees that left it out and the logistic curve fitted on it. Folds go by a hash of the id."""
     data = VectorAssembler(inputCols=features, outputCol="x").transform(rows.select(id_col, label, *features)).withColumn("fold", F.pmod(F.xxhash64(id_col), F.lit(folds))).persist()
-    total = None
+    models = []
     for k in range(folds):
         trees = GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=rounds, stepSize=0.1, seed=42).fit(data.where(F.col("fold") != k))
-        margin = lambda df, m=trees: VectorAssembler(inputCols=["margin"], outputCol="z").transform(m.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1]).select(id_col, label, "margin"))
-        platt = LogisticRegression(featuresCol="z", labelCol=label, predictionCol="own", rawPredictionCol="raw", probabilityCol="p").fit(margin(data.where(F.col("fold") == k)))
-        one = platt.transform(margin(data)).select(id_col, vector_to_array("p")[1].alias(f"p{k}"))
-        total = one if total is None else total.join(one, id_col)
-    return total.select(id_col, (sum(F.col(f"p{k}") for k in range(folds)) / folds).alias("score"))
+        platt = LogisticRegression(featuresCol="z", labelCol=label, predictionCol="own", rawPredictionCol="raw", probabilityCol="p").fit(_margins(trees, data.where(F.col("fold") == k)))
+        models.append((trees, platt))
+    data.unpersist()
+    return models
+
+
+def score_trees(models: list[tuple[GBTClassificationModel, LogisticRegressionModel]], rows: DataFrame, features: list[str], score: str = "score") -> DataFrame:
+    """rows with the mean probability of all models, in one pass and without a shuffle; rows' columns may have any names."""
+    out = rows.select(F.struct("*").alias("__row"), *[F.col(f).alias(f"__f{i}") for i, f in enumerate(features)])
+    out = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="x").transform(out)
+    for k, (trees, platt) in enumerate(models):
+        out = platt.transform(_margins(trees, out)).withColumn(f"__p{k}", vector_to_array("p")[1]).drop("margin", "z", "own", "raw", "p")
+    return out.withColumn(score, sum(F.col(f"__p{k}") for k in range(len(models))) / len(models)).select("__row.*", score)
+
+
+def save_trees(models: list[tuple[GBTClassificationModel, LogisticRegressionModel]], path: str) -> None:
+    """Writes the models to a new or old folder that driver and executors share."""
+    for k, (trees, platt) in enumerate(models):
+        trees.write().overwrite().save(f"{path}/fold{k}/trees")
+        platt.write().overwrite().save(f"{path}/fold{k}/curve")
+
+
+def load_trees(path: str, folds: int = 3) -> list[tuple[GBTClassificationModel, LogisticRegressionModel]]:
+    return [(GBTClassificationModel.load(f"{path}/fold{k}/trees"), LogisticRegressionModel.load(f"{path}/fold{k}/curve")) for k in range(folds)]
+
+
+def calibrated_trees(rows: DataFrame, features: list[str], label: str, id_col: str, rounds: int = 200, folds: int = 3) -> DataFrame:
+    """id_col, score: mean probability of label over models that each left out one fold and were calibrated on it."""
+    return score_trees(fit_trees(rows, features, label, id_col, rounds, folds), rows, features).select(id_col, "score")
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:

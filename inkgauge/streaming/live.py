@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import risk
 
@@ -26,3 +30,38 @@ def scored(stream: DataFrame, text_col: str, policies: DataFrame | None = None,
 
 def counts_by_hour(stream: DataFrame, time_col: str, key: str, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, "1 hour"), key).agg(F.count("*").alias("n"))
+
+
+def with_known(stream: DataFrame, sender: str, recipient: str, time_col: str, known_after: int = 3, name: str = "is_known", count: str = "n_sends") -> DataFrame:
+    """Adds the messages that the pair of sender and recipient has had so far, this one included, and whether they are enough.
+
+    State is one number for each pair and is never dropped, so a pair stays known. A batch's messages of a pair count by
+    time within each Arrow batch; a null sender or recipient is a value like any other.
+    """
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + f", `{count}` bigint, `{name}` boolean"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for b in batches:
+            b = b.sort_values(time_col, kind="stable")
+            b[count] = range(n + 1, n + len(b) + 1)
+            b[name] = b[count] >= known_after
+            n += len(b)
+            yield b
+        state.update((n,))
+
+    return stream.groupBy(sender, recipient).applyInPandasWithState(run, out, "n bigint", "append", "NoTimeout")
+
+
+def write_log(stream: DataFrame, path: str, checkpoint: str, time_col: str, every: str | None = "30 seconds") -> StreamingQuery:
+    """Appends a stream to the log at path, each batch sorted by time in a folder of its own (batch=<number>).
+
+    A batch that runs again after a failure overwrites its folder, so that the log holds each row once. checkpoint lies in
+    a folder that driver and executors share. Without every, what is there is taken and the query ends.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.orderBy(time_col).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkgauge.operators.style_model import calibrated_anomalies, calibrated_trees, with_text_features, word_grams
+from inkgauge.operators.style_model import calibrated_anomalies, calibrated_trees, fit_trees, load_trees, save_trees, score_trees, with_text_features, word_grams
 from inkgauge.plans import model_queries
 
 
@@ -32,3 +32,12 @@ def test_forest_calibrated(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 97).cast("double").alias("x"))
     scores = [r.anomaly for r in calibrated_anomalies(df, ["x"], "doc_id").collect()]
     assert min(scores) == 0 and max(scores) == 1
+
+
+def test_trees_saved(spark, tmp_path):
+    """Loaded models score as those that were saved, and keep the rows' other columns."""
+    df = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 * 3 + F.rand(1)).alias("v"), F.lit("kept").alias("p"))
+    models = fit_trees(df, ["v"], "label", "doc_id", rounds=2)
+    save_trees(models, str(tmp_path / "m"))
+    one, two = ({r.doc_id: (r.score, r.p) for r in score_trees(m, df.drop("label"), ["v"]).collect()} for m in (models, load_trees(str(tmp_path / "m"))))
+    assert one == two and one[1][0] > 0.5 > one[0][0] and one[0][1] == "kept"
