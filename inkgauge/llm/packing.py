@@ -28,6 +28,10 @@ from .common import lasting, scope, text_or_empty, trimmed, written
 CACHE = 120_000  # words of a generation that a worker remembers; it keeps two
 LONG_TEXT = 8 << 20
 END = (1).to_bytes(4, "little")
+# Printable ASCII, and Latin and Cyrillic letters that are composed, lower-case one by one and stay letters.
+PLAIN = re.compile("(?!.*<\\|)[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u04ff]*").fullmatch
+# Bytes without a printable Latin-1 character, which byte-level models write as letters from 256 on.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordEncoder:
@@ -43,45 +47,52 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.stem_ids = self.tokenizer.model.tokenize
-        self.plain = re.compile(rb"[!-~]+")
-        self.within = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+        self.within = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^!-`{-~]+|[0-9]|[!-/:-@\\[-`{-~]+")
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the generation before; a word that is met again moves up
         self.stems: dict[str, bytes] = {}
 
+    def _stem(self, stem: str) -> bytes:
+        """Ids of one run of letters, digit or run of marks, in the model's letters for bytes."""
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.stem_ids(stem)]).tobytes()
+
     def _learn(self, words: set[bytes]) -> None:
-        """Ids of words that aren't known yet: plain ASCII ones by their stems and marks, the others in one call."""
-        known, stems, ids_of = self.words, self.stems, self.stem_ids
-        whole = []
-        for w in words:
-            if self.plain.fullmatch(w) and b"<|" not in w:
-                parts = self.within.findall(w.lower().decode())
+        """Ids of words that aren't known yet: plain ones by their stems and marks, the others in one call."""
+        known, stems, within = self.words, self.stems, self.within.findall
+        texts = b" ".join(words).decode().split(" ")
+        if not PLAIN(" ".join(texts)):
+            whole = [t for t in texts if not PLAIN(t)]
+            texts = [t for t in texts if PLAIN(t)]
+            made = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
+            known.update((t.encode(), array("I", e.ids).tobytes()) for t, e in zip(whole, made, strict=True))
+        joined = " ".join(texts)
+        for w, low in zip(joined.encode().split(), joined.lower().split(), strict=True):
+            ids = stems.get(low)
+            if ids is None:
+                parts = within(low)
                 for p in parts:
                     if p not in stems:
-                        stems[p] = array("I", [t.id for t in ids_of(p)]).tobytes()
-                known[w] = stems[parts[0]] if len(parts) == 1 else b"".join([stems[p] for p in parts])
-            else:
-                whole.append(w)
-        if whole:
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(whole, made, strict=True))
+                        stems[p] = self._stem(p)
+                ids = b"".join([stems[p] for p in parts])
+            known[w] = ids
 
     def encode(self, text: str) -> bytes:
         words = text.encode().split()
-        got = [*map(self.words.get, words)]
-        if None not in got:
-            return b"".join(got)
-        new = {w for w, ids in zip(words, got, strict=True) if ids is None}
+        distinct = {*words}
+        new = distinct.difference(self.words)
         if len(self.words) + len(new) > CACHE:
             self.older, self.words = self.words, {}
-            new = {*words}
+            new = distinct
         if len(self.stems) > CACHE:
             self.stems = {}
-        if self.older:
+        if self.older and new:
             again = {w: ids for w in new if (ids := self.older.get(w)) is not None}
             self.words.update(again)
             new.difference_update(again)
-        self._learn(new)
+        if new:
+            self._learn(new)
         ids = b"".join(map(self.words.__getitem__, words))
         if len(new) > CACHE or len(text) > LONG_TEXT:  # a text whose own words would crowd out all others
             self.words, self.older, self.stems = {}, {}, {}

@@ -147,6 +147,18 @@ def test_op5(awkward, empty):
     assert packing.pack_documents(empty, WORD).collect() == []
 
 
+def test_op5_words():
+    """Each code point below U+3000 alone, within a word, beside marks and contractions; then random mixtures."""
+    with open(WORD, encoding="utf-8") as f:
+        model = f.read()
+    tk, encoder, rng = Tokenizer.from_str(model), packing.WordEncoder(model), random.Random(3)
+    texts = [w for c in map(chr, range(1, 0x3000)) for w in (c, f"a{c}b", f"7{c}'s", f"{c}{c}!", f"É{c}")]
+    some = "abcXYZ'sreÉéßñçÄö09!?.<|> \n\tйЖǅİΣσ\u0301中\u0085Ꙁẞʼnſ"
+    texts += ["".join(rng.choices(some, k=rng.randrange(25))) for _ in range(5000)]
+    for t in texts:
+        assert encoder.encode(t) == np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_op5_bounds():
     rng = np.random.default_rng(3)
     for _ in range(30):
