@@ -1,0 +1,36 @@
+"""Running totals of a key in an order, without gathering the key in one task."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def running(rows: DataFrame, key: str, order: list[Column], totals: dict[str, tuple[Callable, Column]], keep: dict[str, Column] | None = None) -> DataFrame:
+    """key, the columns of keep, and each total of totals (aggregate, column) over the rows of the key up to this one.
+
+    Rows are dealt by ranges of key and order, so a frequent key lies in several parts. Totals run within each part; a key
+    that spans parts (at most one a cut) gets the totals of the parts before. Aggregates are sum or bit_xor. The key isn't null.
+    """
+    values = {f"__{name}": column for name, (_, column) in totals.items()}
+    kept = keep or {}
+    dealt = rows.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    dealt = written(dealt.select(key, F.monotonically_increasing_id().alias("__seq"), *[c.alias(n) for n, c in (kept | values).items()]))
+    dealt = dealt.withColumn("__part", F.shiftright("__seq", 33))
+    here = Window.partitionBy("__part", key).orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select(key, "__part", *kept, *[aggregate(f"__{name}").over(here).alias(name) for name, (aggregate, _) in totals.items()])
+    ends = dealt.groupBy("__part").agg(F.min(key).alias("least"), F.max(key).alias("most"))
+    spans = written(ends.select("__part", F.explode(F.array_distinct(F.array("least", "most"))).alias(key)).groupBy(key).agg(F.count("*").alias("parts")).where("parts > 1").select(key))
+    if spans.isEmpty():
+        return out.drop("__part")
+    # at most one key a cut between parts: no more rows than the shuffle has partitions
+    sums = dealt.join(F.broadcast(spans), key, "left_semi").groupBy(key, "__part").agg(*[aggregate(f"__{name}").alias(name) for name, (aggregate, _) in totals.items()])
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = written(sums.select(key, "__part", *[aggregate(name).over(before).alias(f"__{name}") for name, (aggregate, _) in totals.items()]))
+    joined = out.join(F.broadcast(carried), [key, "__part"], "left")
+    plus = {F.sum: lambda a, b: a + b, F.bit_xor: lambda a, b: a.bitwiseXOR(b)}
+    return joined.select(key, *kept, *[plus[aggregate](F.col(name), F.coalesce(f"__{name}", F.lit(0))).alias(name) for name, (aggregate, _) in totals.items()])
