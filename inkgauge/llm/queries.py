@@ -9,6 +9,7 @@ from .bpe import encode_documents
 from .common import table
 from .jaccard import near_duplicates
 from .language_model import score_documents
+from .lexical import lexical_search
 from .packing import pack_documents
 from .prefix_trie import prefix_trie
 from .search import exact_top_k, nearest_by_collisions
@@ -63,6 +64,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
 EXACT_TOP_K = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
@@ -115,9 +120,33 @@ FROM tied t JOIN totals s ON s.conv = t.conv AND s.d = t.d LEFT JOIN children k
 """
 
 
+LEXICAL_SEARCH = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL
+), i AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), q AS (
+    SELECT item_id, term, count(*) AS times FROM i GROUP BY item_id, term
+), s AS (
+    SELECT count(*) AS n, sum(len(terms)) AS l FROM d WHERE len(terms) > 0
+), p AS (
+    SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM d) GROUP BY doc_id, term, len
+), f AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term
+), m AS (
+    SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len * n) // CAST(l AS BIGINT))))) AS BIGINT) AS score
+    FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id
+), r AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM m WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_nearest_neighbours, op3_toxicity, op4_exact_top_k, op5_packing, op6_token_counts, op7_language_model, op8_secret_scan, op9_sharding, op10_jaccard_join, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_nearest_neighbours, op3_toxicity, op4_exact_top_k, op5_packing, op6_token_counts, op7_language_model, op8_secret_scan, op9_sharding, op10_jaccard_join, op11_prefix_trie, op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": EXACT_TOP_K, "op11_prefix_trie": PREFIX_TRIE}
+    return {"op4_exact_top_k": EXACT_TOP_K, "op11_prefix_trie": PREFIX_TRIE, "op12_lexical_search": LEXICAL_SEARCH}
