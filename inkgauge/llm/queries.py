@@ -10,6 +10,7 @@ from .common import table
 from .jaccard import near_duplicates
 from .language_model import score_documents
 from .lexical import lexical_search
+from .odd_sketch import sketched_duplicates
 from .packing import pack_documents
 from .prefix_trie import prefix_trie
 from .search import exact_top_k, nearest_by_collisions
@@ -68,6 +69,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
 
 
+def op13_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketched_duplicates(table(spark, sf_dir, "documents"))
+
+
 EXACT_TOP_K = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
@@ -145,7 +150,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_nearest_neighbours, op3_toxicity, op4_exact_top_k, op5_packing, op6_token_counts, op7_language_model, op8_secret_scan, op9_sharding, op10_jaccard_join, op11_prefix_trie, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_nearest_neighbours, op3_toxicity, op4_exact_top_k, op5_packing, op6_token_counts, op7_language_model, op8_secret_scan, op9_sharding, op10_jaccard_join, op11_prefix_trie, op12_lexical_search, op13_odd_sketches)}
 
 
 def oracle_sql() -> dict[str, str]:
