@@ -117,43 +117,51 @@ def capped(messages: DataFrame, key: str, most: int, time_col: str = "sent", id_
     return messages.withColumn("__r", r).where(F.col("__r") <= most).drop("__r")
 
 
-def _picked(df: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
-    pick = lambda names: F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names if n in df.columns], F.lit(None).cast("string"))
-    return df.select(*[pick(names).alias(name) for name, names in fields.items()])
-
-
 CORPUS_FIELDS = {"body": ("body", "body_text", "text"), "subject": ("subject",), "to": ("to", "recipient"), "date": ("date", "sent_date")}
 SEGMENT_FIELDS = {"text": ("text", "body"), "source_id": ("source_id", "id"), "title": ("title",), "date": ("date",), "speaker": ("speaker",)}
 
 
-def _json_rows(spark: SparkSession, path: str, lines: bool) -> DataFrame:
-    """Objects of a JSON file: one a line, an array, or an object that holds them as messages and emails."""
-    df = spark.read.option("multiLine", str(not lines).lower()).json(path)
-    held = [c for c in ("messages", "emails") if c in df.columns and dict(df.dtypes)[c].startswith("array<struct")]
-    if not held:
-        return df
-    parts = [df.select(F.explode(c).alias("m")).select("m.*") for c in held]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+def _objects(values: DataFrame) -> DataFrame:
+    """v: the objects of parsed JSON values, which are objects, arrays of them, or objects that hold them as messages and emails."""
+    array = lambda path: F.try_variant_get("v", path, "array<variant>")
+    held = F.concat(*[F.coalesce(array(f"$.{c}"), F.array().cast("array<variant>")) for c in ("messages", "emails")])
+    each = F.when(F.schema_of_variant("v").startswith("ARRAY"), array("$")).when(F.size(held) > 0, held).otherwise(F.array("v"))
+    return values.where("v is not null").select(F.explode(each).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+
+
+def _fields(objects: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    return objects.select("*", *[F.coalesce(*[F.try_variant_get("v", f"$.{n}", "string") for n in names]).alias(name) for name, names in fields.items()])
 
 
 def read_corpus(spark: SparkSession, path: str, min_words: int = 20, lines: bool | None = None) -> DataFrame:
     """Messages of JSON files, of any of the usual field names: body, subject, to, date.
 
-    Files are JSON lines, arrays, or objects with messages or emails. lines says which; without it the first bytes of
-    the first file do: lines begin with an object and hold another on the next line.
+    A file holds an object a line, an array, or an object with messages or emails. lines says which of all files; without
+    it each file is judged by itself: it is one of lines if every line that isn't blank is a whole object or array. Values
+    that aren't objects have no messages.
     """
+    read = lambda at, whole: spark.read.option("recursiveFileLookup", "true").text(at, wholetext=whole)
+    by_line = read(path, False).where("trim(value) <> ''").withColumn("v", F.try_parse_json("value"))
     if lines is None:
-        head = spark.read.text(path).limit(2).collect()
-        lines = len(head) == 2 and all(r[0].strip().startswith("{") and r[0].strip().endswith("}") for r in head)
-    return long_enough(_picked(_json_rows(spark, path, lines), CORPUS_FIELDS), min_words)
+        whole_value = F.coalesce(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"), F.lit(False))
+        judged = by_line.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(whole_value).alias("lines"))
+        # as many rows as files, of which Spark's own listing is on the driver too
+        files = [(r.path, r.lines) for r in judged.collect()]
+        parts = [read([f for f, is_lines in files if is_lines == kind], not kind) for kind in (True, False) if any(is_lines == kind for _, is_lines in files)]
+        rows = [p.where("trim(value) <> ''").select(F.try_parse_json("value").alias("v")) for p in parts]
+        values = rows[0].unionByName(rows[1]) if len(rows) == 2 else rows[0] if rows else by_line.select("v").limit(0)
+    else:
+        values = by_line.select("v") if lines else read(path, True).select(F.try_parse_json("value").alias("v"))
+    return long_enough(_fields(_objects(values), CORPUS_FIELDS).drop("v"), min_words)
 
 
 def read_segments(spark: SparkSession, path: str, min_words: int = 10) -> DataFrame:
     """Segments of a JSON array of strings or objects: text cleaned of time stamps and speakers; ids default to their place."""
-    whole = spark.read.text(path, wholetext=True).select("value")
-    as_strings = F.transform(F.from_json("value", "array<string>"), lambda s: F.when(F.startswith(F.ltrim(s), F.lit("{")), F.from_json(s, "text string, body string, source_id string, id string, title string, date string, speaker string")).otherwise(F.named_struct(F.lit("text"), s, F.lit("body"), F.lit(None).cast("string"), F.lit("source_id"), F.lit(None).cast("string"), F.lit("id"), F.lit(None).cast("string"), F.lit("title"), F.lit(None).cast("string"), F.lit("date"), F.lit(None).cast("string"), F.lit("speaker"), F.lit(None).cast("string"))))
-    rows = whole.select(F.posexplode(as_strings).alias("place", "s")).select("place", "s.*")
-    return _segments(_picked(rows, SEGMENT_FIELDS | {"place": ("place",)}), min_words)
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    each = whole.select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("place", "v"))
+    rows = _fields(each.withColumn("place", F.col("place").cast("string")), SEGMENT_FIELDS)
+    is_object = F.schema_of_variant("v").startswith("OBJECT")
+    return _segments(rows.withColumn("text", F.when(is_object, F.col("text")).otherwise(F.try_variant_get("v", "$", "string"))), min_words)
 
 
 def from_texts(spark: SparkSession, texts: list[str], source_ids: list[str] | None = None, titles=None, dates=None, speakers=None, min_words: int = 10) -> DataFrame:

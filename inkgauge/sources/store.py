@@ -1,17 +1,19 @@
 """Tables of the service and of runs as Parquet folders: appends, upserts, loads, splits and the latest of many runs.
 
-A write that replaces goes to a new version of the table and is named current only when it is complete, so a lost job
-leaves the version before it in place.
+A write that replaces puts its rows into a folder of its own and is named current only when that is complete, by creating
+the next numbered file of the table's log, which only one writer can. A lost job leaves the version before it in place.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POLICY_COLUMNS = ("tenant_id", "policy_name", "is_default", "score_threshold_warn", "score_threshold_hold", "dlp_enabled", "dlp_min_confidence", "dlp_action", "warn_action", "hold_action", "notify_emails", "priority")
+STALE_S = 86400  # age at which folders that no version names are taken for those of dead writers
 
 
 def _fs(spark: SparkSession, path: str):
@@ -19,13 +21,23 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Numbers and folders of the table's complete versions, the current one last."""
+    fs, at = _fs(spark, f"{path}/log")
+    if not fs.exists(at):
+        return []
+    found = []
+    for status in fs.listStatus(at):
+        number, _, folder = status.getPath().getName().partition("-")
+        if number.isdigit() and fs.exists(_fs(spark, f"{path}/data/{folder}/_SUCCESS")[1]):
+            found.append((int(number), f"{path}/data/{folder}"))
+    return sorted(found)
+
+
 def current(spark: SparkSession, path: str) -> str | None:
     """Folder of the table's current version; None if it has none."""
-    fs, at = _fs(spark, f"{path}/versions")
-    if not fs.exists(at):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if fs.exists(_fs(spark, f"{path}/versions/{s.getPath().getName()}/_SUCCESS")[1]))
-    return f"{path}/versions/{names[-1]}" if names else None
+    known = versions(spark, path)
+    return known[-1][1] if known else None
 
 
 def load(spark: SparkSession, path: str) -> DataFrame | None:
@@ -33,15 +45,42 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(at) if at else None
 
 
+def _publish(spark: SparkSession, path: str, folder: str, number: int) -> bool:
+    """Makes the complete folder version number, unless another writer has that number."""
+    fs, claim = _fs(spark, f"{path}/claims/{number:012}")
+    if not fs.createNewFile(claim):
+        return False
+    fs, entry = _fs(spark, f"{path}/log/{number:012}-{folder}")
+    fs.create(entry, False).close()
+    return True
+
+
+def _next(spark: SparkSession, path: str) -> int:
+    fs, at = _fs(spark, f"{path}/claims")
+    return 1 + max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=-1) if fs.exists(at) else 0
+
+
+def _clean(spark: SparkSession, path: str, keep: int) -> None:
+    """The last keep versions stay, and the folders of writers that may still be at work."""
+    known = versions(spark, path)
+    kept = {folder.rsplit("/", 1)[1] for _, folder in known[-keep:]}
+    old = {folder.rsplit("/", 1)[1] for _, folder in known[:-keep]}
+    fs, at = _fs(spark, f"{path}/data")
+    for s in fs.listStatus(at):
+        name = s.getPath().getName()
+        if name in old or (name not in kept and s.getModificationTime() < (time.time() - STALE_S) * 1000):
+            fs.delete(s.getPath(), True)
+    for number, folder in known[:-keep]:
+        fs.delete(_fs(spark, f"{path}/log/{number:012}-{folder.rsplit('/', 1)[1]}")[1], False)
+
+
 def replace(df: DataFrame, path: str, keep: int = 2) -> None:
-    """df becomes the table; keep versions stay."""
-    spark = df.sparkSession
-    at = current(spark, path)
-    n = int(at.rsplit("/v", 1)[1].split("-")[0]) + 1 if at else 0
-    df.write.parquet(f"{path}/versions/v{n:09}-{uuid.uuid4().hex}")
-    fs, at = _fs(spark, f"{path}/versions")
-    for old in sorted(s.getPath().toString() for s in fs.listStatus(at))[:-keep]:
-        fs.delete(_fs(spark, old)[1], True)
+    """df becomes the table; keep complete versions stay. Of several writers the last to finish wins."""
+    spark, folder = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{folder}")
+    while not _publish(spark, path, folder, _next(spark, path)):
+        pass
+    _clean(spark, path, max(1, keep))
 
 
 def append(df: DataFrame, path: str, once: list[str] | None = None) -> None:
@@ -65,9 +104,16 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: Column | No
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], order: Column | None = None) -> None:
-    old = load(df.sparkSession, path)
-    replace(upserted(old, df, keys, order) if old is not None else upserted(df.limit(0), df, keys, order), path)
+def upsert(df: DataFrame, path: str, keys: list[str], order: Column | None = None, keep: int = 2, tries: int = 10) -> None:
+    """The table with df's rows in place of those with the same keys. If another writer finishes first, on top of that one's."""
+    spark = df.sparkSession
+    for _ in range(tries):
+        number, old, folder = _next(spark, path), load(spark, path), uuid.uuid4().hex
+        (upserted(old, df, keys, order) if old is not None else upserted(df.limit(0), df, keys, order)).write.parquet(f"{path}/data/{folder}")
+        if _publish(spark, path, folder, number):
+            return _clean(spark, path, max(1, keep))
+        _fs(spark, path)[0].delete(_fs(spark, f"{path}/data/{folder}")[1], True)
+    raise RuntimeError(f"{tries} other writers finished before this one: {path}")
 
 
 def insert_allowed(df: DataFrame, path: str, allowed: tuple[str, ...] = POLICY_COLUMNS) -> None:
@@ -92,8 +138,11 @@ def log_scores(scores: DataFrame, path: str, at: str) -> None:
 
 
 def log_hits(found: DataFrame, path: str, matches: str = "matches") -> None:
-    """Appends a row for each pattern that matched in a message."""
-    append(found.select(*[c for c in found.columns if c != matches], F.explode(matches).alias("__m")).select("*", "__m.*").drop("__m"), path)
+    """Appends a row for each pattern that matched in a message; a field named as one of the row's own columns gets match_ before it."""
+    kept = [c for c in found.columns if c != matches]
+    fields = next(f.dataType.elementType for f in found.schema.fields if f.name == matches).names
+    each = found.select(*kept, F.explode(matches).alias("__m"))
+    append(each.select(*kept, *[F.col(f"__m.{f}").alias(f"match_{f}" if f.lower() in {c.lower() for c in kept} else f) for f in fields]), path)
 
 
 def log_run(metrics: DataFrame, path: str, run_id: str) -> None:

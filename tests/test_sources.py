@@ -94,3 +94,86 @@ def test_reasons(spark):
     df = spark.createDataFrame([(10.0, 0.0), (0.0, 0.1)], "a double, b double")
     got = [r.reasons for r in profiles.top_reasons(df, ["a", "b"], {"a": 0.0, "b": 0.0}, {"a": 2.0, "b": 1.0}).collect()]
     assert got == [["a: 10.00 (higher than typical 0.00, z=5.0)"], ["overall linguistic pattern deviates from user baseline"]]
+
+
+def test_store_dead_writers(spark, tmp_path):
+    """Versions that no writer finished don't count, and never push out a complete one."""
+    at = f"file://{tmp_path}/t"
+    df = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k long")
+    held = lambda: sorted(r.k for r in store.load(spark, at).collect())
+    store.replace(df(1), at)
+    for n in (1, 2):  # dead before the rows were whole, and between claim and entry
+        (tmp_path / f"t/data/dead{n}").mkdir()
+        (tmp_path / f"t/claims/{n:012}").touch()
+    (tmp_path / "t/log/000000000002-dead2").touch()
+    assert held() == [1]
+    store.replace(df(2), at)
+    assert held() == [2] and len(store.versions(spark, at)) == 2
+    store.upsert(df(3), at, ["k"])
+    assert held() == [2, 3] and len(store.versions(spark, at)) == 2 and (tmp_path / "t/data/dead1").exists()
+
+
+def test_store_two_writers(spark, tmp_path, monkeypatch):
+    """An upsert that another writer overtakes goes on top of that one's rows."""
+    at = f"file://{tmp_path}/t"
+    df = lambda *rows: spark.createDataFrame(rows, "k long, v string")
+    store.upsert(df((1, "a")), at, ["k"])
+    publish, overtaken = store._publish, []
+
+    def late(spark, path, folder, number):
+        if not overtaken:
+            overtaken.append(1)
+            store.upsert(df((2, "other")), at, ["k"])
+        return publish(spark, path, folder, number)
+
+    monkeypatch.setattr(store, "_publish", late)
+    store.upsert(df((1, "b"), (3, "c")), at, ["k"])
+    assert sorted(map(tuple, store.load(spark, at).collect())) == [(1, "b"), (2, "other"), (3, "c")]
+
+
+def test_store_logs(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    found = spark.createDataFrame([(1, "n1", [("wire", 2), ("gift", 1)])], "msg_id long, name string, matches array<struct<name: string, n: long>>")
+    store.log_hits(found, f"{at}/hits")
+    assert sorted(map(tuple, spark.read.parquet(f"{at}/hits").select("msg_id", "name", "match_name", "n").collect())) == [(1, "n1", "gift", 1), (1, "n1", "wire", 2)]
+    for run, auc in (("r1", 0.5), ("r2", 0.9)):
+        store.log_run(spark.createDataFrame([("auc", auc)], "metric string, value double"), f"{at}/runs", run)
+    assert [(r.run_id, r.value) for r in store.latest_run(spark, f"{at}/runs").collect()] == [("r2", 0.9)]
+    store.log_scores(spark.createDataFrame([(1, 0.4, "warn", 7)], "msg_id long, score double, verdict string, tenant_id long"), f"{at}/scores", "2024-01-02 00:00:00")
+    hits = spark.createDataFrame([(7, "wire", 2, "2024-01-01 12:00:00"), (8, "wire", 9, "2024-01-01 12:00:00")], "tenant_id long, pattern_type string, match_count long, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    tenants = spark.createDataFrame([(7, 1), (8, 2)], "tenant_id long, reseller_id long")
+    users = spark.createDataFrame([(1, 7, "ready"), (2, 7, "none"), (3, 8, "ready")], "user_id long, tenant_id long, cpp_status string")
+    got = {(r.kind, r.name): r.n for r in store.stats(spark.read.parquet(f"{at}/scores"), hits, users, tenants, {"reseller_id": 1}, "2024-01-02 06:00:00").collect()}
+    assert got == {("verdict", "warn"): 1, ("pattern", "wire"): 2, ("users", "users"): 2, ("users", "ready"): 1}
+    store.insert_allowed(spark.createDataFrame([(7, "p", 1)], "tenant_id long, policy_name string, stray long"), f"{at}/policies")
+    assert spark.read.parquet(f"{at}/policies").columns == ["tenant_id", "policy_name"]
+    store.save_profiles_json(spark.createDataFrame([("a", 1.5)], "author string, avg double"), f"{at}/json")
+    assert spark.read.json(f"{at}/json/profiles").first().asDict() == {"author": "a", "avg": 1.5}
+
+
+def test_corpus_mixed_folder(spark, tmp_path):
+    """Each file of a folder is read in its own form; blank lines and strings that begin with a brace are kept apart."""
+    import json
+
+    row = lambda i: {"body": "word " * 25, "to": str(i)}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/lines.json").write_text("\n" + "\n\n".join(json.dumps(row(i)) for i in range(3)) + "\n")
+    (tmp_path / "c/emails.json").write_text(json.dumps({"emails": [row(3), row(4)]}, indent=1))
+    (tmp_path / "c/array.json").write_text(json.dumps([row(5), "stray", row(6)], indent=1))
+    (tmp_path / "c/one.json").write_text(json.dumps(row(7), indent=1))
+    assert sorted(r.to for r in mail.read_corpus(spark, str(tmp_path / "c")).collect()) == list("01234567")
+    assert [r.to for r in mail.read_corpus(spark, str(tmp_path / "c/lines.json"), lines=True).orderBy("to").collect()] == ["0", "1", "2"]
+    (tmp_path / "s.json").write_text(json.dumps(["{not an object} " + "word " * 12, {"text": "again " * 12, "id": "x", "title": "t"}]))
+    got = {r.source_id: (r.body, r.title) for r in mail.read_segments(spark, str(tmp_path / "s.json")).collect()}
+    assert got == {"src_0": (("{not an object} " + "word " * 12).strip(), None), "x": (("again " * 12).strip(), "t")}
+
+
+def test_mail_selections(spark, tmp_path):
+    df = spark.createDataFrame([("a", "m1", "2024-01-01"), ("a", "m2", "2024-01-03"), ("a", "m3", None), ("b", "m4", None)], "owner string, message_id string, sent string").withColumn("sent", F.col("sent").cast("timestamp"))
+    assert sorted(r.message_id for r in mail.capped(df, "owner", 2).collect()) == ["m1", "m2", "m4"]
+    mails = spark.createDataFrame([("Re: x", "thank you for the long answer\n\nLee"), ("Weekly newsletter", "unsubscribe here " * 5), ("FW: y", "short")], "subject string, body string")
+    assert [(r.is_reply, r.is_forward, r.word_count) for r in mail.exported_mail(mails).collect()] == [(True, False, 7)]
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.eml").write_text("two")
+    (tmp_path / "c.pdf").write_text("no")
+    assert [r.text for r in mail.read_folder(spark, str(tmp_path)).collect()] == ["one", "two"]
