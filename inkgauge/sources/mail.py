@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .archives import mbox_messages, tar_members
 
 SCHEMA = "path string, message_id string, sent timestamp, from_name string, from_addr string, to_addrs array<string>, cc_addrs array<string>, subject string, body string, in_reply_to string, reference_ids array<string>"
 
@@ -47,25 +48,31 @@ def row_of(path: str, raw: bytes) -> tuple:
     return path, m.get("Message-ID", "").strip(), sent, name, address.lower(), every("To"), every("Cc"), decoded("Subject"), body_of(m), m.get("In-Reply-To", "").strip(), re.findall(r"<[^>]+>", m.get("References", ""))
 
 
-def _parsed(files: DataFrame, split_mbox: bool) -> DataFrame:
+def _parsed(files: DataFrame) -> DataFrame:
+    """Messages of path and content, in batches of bounded size whatever the messages hold."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for path, raw in zip(b["path"], b["content"], strict=True):
-                parts = re.split(rb"(?m)^From .*\r?\n", bytes(raw)) if split_mbox else [bytes(raw)]
-                rows += [row_of(path, p) for p in parts if p.strip()]
+                rows.append(row_of(path, bytes(raw)))
+                size += len(raw)
+                if size > 1 << 24:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def read_eml(spark: SparkSession, folder: str) -> DataFrame:
-    return _parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(folder), False)
+    return _parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(folder))
 
 
 def read_mbox(spark: SparkSession, folder: str) -> DataFrame:
-    return _parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.mbox").option("recursiveFileLookup", "true").load(folder), True)
+    """Messages of .mbox files (also .mbox.gz), which many tasks share."""
+    return _parsed(mbox_messages(spark, folder))
 
 
 def read_maildir(spark: SparkSession, folder: str, sent_only: bool = True) -> DataFrame:
@@ -73,7 +80,7 @@ def read_maildir(spark: SparkSession, folder: str, sent_only: bool = True) -> Da
 
     Spark's listing hides folders whose names begin with an underscore; name those in the path itself.
     """
-    return _owners(_parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), False), sent_only)
+    return _owners(_parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)), sent_only)
 
 
 def _owners(m: DataFrame, sent_only: bool) -> DataFrame:
@@ -182,24 +189,11 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).orderBy("path")
 
 
-def read_archive(spark: SparkSession, path: str, sent_only: bool = True) -> DataFrame:
-    """Messages of tar archives (gzip or not) of a maildir tree, read as a stream member by member; columns as read_maildir."""
-    import io
-    import tarfile
+def read_archive(spark: SparkSession, path: str, sent_only: bool = True, most: int | None = None) -> DataFrame:
+    """Messages of tar archives (gzip or not) of a maildir tree; columns as read_maildir. Members are parsed by all tasks.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for b in batches:
-            for raw in b["content"]:
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as tar:
-                    for member in tar:
-                        if member.isfile():
-                            rows.append(row_of(member.name, tar.extractfile(member).read()))
-                        if len(rows) >= 200:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-                yield pd.DataFrame(rows, columns=names)
-
-    m = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
-    return _owners(m, sent_only)
+    most keeps the newest messages of each owner only.
+    """
+    members = tar_members(spark, path).where("content is not null").select("path", "content")
+    found = _owners(_parsed(members.repartition(spark.sparkContext.defaultParallelism)), sent_only)
+    return found if most is None else capped(found, "owner", most, id_col="path")
