@@ -164,7 +164,8 @@ def _once(nodes: DataFrame) -> DataFrame:
     again = written(new.groupBy("node").agg(F.min("uid").alias("least"), F.count("*").alias("tasks")).where("tasks > 1").select("node", "least"))
     if again.limit(FEW + 1).count() <= FEW:
         return new.join(F.broadcast(again), "node", "left").where("least is null or least = uid").select("uid", "node", "n", "packed")
-    return semi_join(new, new.groupBy("node").agg(F.min("uid").alias("uid")), "uid").select("uid", "node", "n", "packed")
+    # written: chunks are cut and named by the order of rows, which a shuffle doesn't keep when a task runs again
+    return written(semi_join(new, new.groupBy("node").agg(F.min("uid").alias("uid")), "uid").select("uid", "node", "n", "packed"))
 
 
 def _heads(once: DataFrame, buckets: int, common) -> DataFrame:
@@ -463,7 +464,7 @@ def _units(members: DataFrame, texts: DataFrame, unit: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 512, hot: int = 64, light_most: int | None = None) -> DataFrame:
-    """A row for each document: id_col (long), n_shingles, component_id.
+    """A row for each document: id_col (long; ids of other types must be numbers, what isn't one becomes null), n_shingles, component_id.
 
     Linked documents have 100 * intersection >= 80 * union of their sets of 5-word shingles; component_id is the
     smallest id reachable by links, the document's own included. Only connection is computed: pairs already

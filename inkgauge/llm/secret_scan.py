@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lasting, own_name, scope, text_or_empty, written
@@ -161,33 +161,36 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     )
 
 
+def islands(spans: DataFrame, row: str) -> DataFrame:
+    """row, __islands: array<struct<start,end>> of each row's spans (start, end), overlapping ones joined, in order."""
+    upto = Window.partitionBy(row).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("start") > F.coalesce(F.max("end").over(upto), F.lit(-1))
+    one = spans.withColumn("__new", new).withColumn("__island", F.sum(F.col("__new").cast("int")).over(Window.partitionBy(row).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    joined = one.groupBy(row, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return joined.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__islands"))
+
+
 def masked(text: Column, spans: Column, mark: str) -> Column:
-    """text with spans (ordered by start) overwritten by mark; overlapping ones once."""
-    n = F.length(text)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    part = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
-    done = F.aggregate(
-        spans,
-        start,
-        lambda s, x: F.struct(
-            F.when(x["start"] >= s["at"], F.concat(s["out"], part(s["at"].cast("int"), x["start"].cast("int")), F.lit(mark))).otherwise(s["out"]).alias("out"),
-            F.greatest(s["at"], x["end"]).alias("at"),
-        ),
-        lambda s: F.concat(s["out"], part(s["at"].cast("int"), n)),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """text with spans (in order, apart) overwritten by mark."""
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)).cast("int")
+    part = lambda a, b: F.substring(text, a + 1, b - a)
+    kept = F.transform(spans, lambda x, i: part(before(i), x["start"].cast("int")))
+    return F.array_join(F.concat(kept, F.array(part(F.element_at(spans, -1)["end"].cast("int"), F.length(text)))), mark)
 
 
 def mask_live_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """docs with the live spans of scan_secrets in text_col overwritten by mark; all rows and columns stay.
 
-    Overlapping spans become one mark. Documents in which no pattern matches don't enter any shuffle. Null texts stay.
+    Overlapping or adjoining spans become one mark. Only documents in which a pattern matches are written and numbered, and only
+    their numbers go with the spans; a text is joined once, if it has something to mask. Null texts stay.
     """
     any_kind = F.coalesce(functools.reduce(lambda a, b: a | b, [F.col(f"`{text_col}`").cast("string").rlike(k[1]) for k in KINDS]), F.lit(False))
-    whole = own_name(docs, "__whole")
-    hit = docs.where(any_kind).withColumn(whole, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    found_in = scan_secrets(hit, whole, text_col, **options)
-    text = F.col(f"`{whole}`.`{text_col}`").cast("string")
-    clean = masked(text, F.array_sort(F.filter("spans", lambda s: s["live"])), mark)
-    changed = found_in.withColumn("__clean", clean).select(*[(F.col("__clean") if c == text_col else F.col(f"`{whole}`.`{c}`")).alias(c) for c in docs.columns])
-    return docs.where(~any_kind).unionByName(changed)
+    with scope(docs.sparkSession):
+        row, spot = own_name(docs, "__number"), own_name(docs, "__islands")
+        hit = written(docs.where(any_kind).withColumn(row, F.monotonically_increasing_id()))
+        live = scan_secrets(hit, row, text_col, **options).select(row, F.explode(F.filter("spans", lambda s: s["live"])).alias("s")).select(row, "s.start", "s.end")
+        held = hit.join(written(islands(live, row)).withColumnRenamed("__islands", spot), row, "left")
+        text = F.col(f"`{text_col}`").cast("string")
+        clean = F.when(F.col(f"`{spot}`").isNull(), text).otherwise(masked(text, F.col(f"`{spot}`"), mark))
+        changed = held.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+        return lasting(docs.where(~any_kind).unionByName(changed))

@@ -98,8 +98,10 @@ def categories_of(x: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> np.ndarra
 def train_chain(rows: list[list[int]], y: np.ndarray, folds: np.ndarray, chosen: list[np.ndarray]) -> dict | None:
     """The chain's models and the threshold of its last category; None where a class is missing.
 
-    chosen are the features of each fold's models, found without its rows, and at last those of all rows. What a
-    fold's rows are predicted by, its features and categories included, has seen no label of that fold.
+    chosen are the features of each fold's models, found without its rows, and at last those of all rows. A fold's rows are
+    predicted by models, features and categories of the other folds. From the second category on this is out of fold
+    only approximately: the earlier probabilities of the other folds' rows come from models that have seen this fold's labels. That
+    moves the held-out probabilities, from which the threshold is taken, by little; nested folds would fit four times as many models.
     """
     if not len(y) or y.min() == y.max():
         return None
