@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import running
 from .common import lasting, scope, written
-from .running import running
 
 GROUP, LONGEST = 5, 9  # conversations that begin with the first one's turns; remainders of how many turns
 SEGMENT = 1 << 16  # ids that a task joins before it sends them on
@@ -36,7 +36,7 @@ def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     src = conversations.select(F.col("conv_id").cast("long").alias("conv"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("conv is not null")
     order = [F.asc_nulls_first("turn"), F.col("role"), F.col("text")]
     keep = {"h1": F.xxhash64("role", "text"), "h2": F.xxhash64(F.lit(1), "role", "text"), "bytes": F.octet_length("text").cast("long")}
-    turns = written(running(src, "conv", order, {"r": (F.sum, F.lit(1).cast("long"))}, keep))
+    turns = written(running(src, "conv", order, {"r": ("sum", F.lit(1).cast("long"))}, keep, written))
     own = turns.groupBy("conv").agg(F.count("*").alias("n")).withColumns({"base": F.col("conv") - F.col("conv") % GROUP, "h": F.crc32(F.col("conv").cast("string")) % LONGEST})
     own = written(own)
     bases = own.select(F.col("conv").alias("base"), F.col("n").alias("n_base"))
@@ -135,7 +135,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 def _trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     place = lambda *first: F.xxhash64(*first, "depth", "h1", "h2")
     k = {"k1": place(), "k2": place(F.lit(1)), "depth": F.col("depth"), "bytes": F.col("bytes")}
-    whole = running(turns, "conv", [F.col("depth")], {"a": (F.bit_xor, k["k1"]), "b": (F.bit_xor, k["k2"])}, k)
+    whole = running(turns, "conv", [F.col("depth")], {"a": ("xor", k["k1"]), "b": ("xor", k["k2"])}, k, written)
     none = F.lit(0).cast("long")
     roots = convs.select("conv", *[none.alias(c) for c in ("depth", "a", "b", "up_a", "up_b", "bytes")])
     placed = written(whole.select("conv", *ID, F.col("a").bitwiseXOR(F.col("k1")).alias("up_a"), F.col("b").bitwiseXOR(F.col("k2")).alias("up_b"), "bytes").unionByName(roots))
@@ -154,7 +154,7 @@ def _trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     messages = _peeled(paths.select("conv", "parent_conv", "at", "remaining", "leaves", "saved")).select("conv", "depth", F.col("leaves").alias("__leaves"), F.col("saved").alias("__saved"))
 
     got = lambda c, m: F.col(c) + F.coalesce(m, F.lit(0))
-    totals = {"n_leaves": (F.sum, got("leaves", "__leaves")), "saved_tokens": (F.sum, got("saved", "__saved"))}
+    totals = {"n_leaves": ("sum", got("leaves", "__leaves")), "saved_tokens": ("sum", got("saved", "__saved"))}
     keep = {c: F.col(c) for c in ("depth", "parent_conv", "n_convs", "n_children", "ends_sha256")}
-    out = running(full.join(messages, ["conv", "depth"], "left"), "conv", [F.desc("depth")], totals, keep)
+    out = running(full.join(messages, ["conv", "depth"], "left"), "conv", [F.desc("depth")], totals, keep, written)
     return out.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
