@@ -189,7 +189,8 @@ def _rest(met: DataFrame, held: DataFrame, root: DataFrame, unit: int) -> DataFr
     """
     members = met.join(root.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     hubs = members.groupBy("hub").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("hub")
-    members = written(members.join(hubs, "hub", "left_semi"))
+    # written, so that both sides come by an exchange and Spark splits the rows of a large group's hub
+    members = written(members.join(written(hubs), "hub", "left_semi"))
     sizes = members.groupBy("hub", "comp").agg(F.count("*").alias("size"))
     own = sizes.withColumn("own", F.when(F.col("size") > unit, F.col("comp")))
     parts = written(own.groupBy("hub", "own").agg(F.sum("size").alias("size")).select("hub", "own", F.ceil(F.col("size") / unit).cast("int").alias("parts")))
