@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import CLOSING_WORDS, GREETING_WORDS
+from ..shared import written
+from . import partials
 
 KNOWN = 3  # sends that make a recipient known
-FEW = 1 << 20  # rows of a side that may be broadcast
 RATES = {"dash": "—|--", "ellipsis": r"\.{3,}|…", "exclamation": "!"}
 WEIGHTS = {"word_count": 0.1, "readability": 0.15, "formality": 0.15, "contractions": 0.1, "greeting": 0.15, "closing": 0.1, "exclamation_energy": 0.1, "perspective_shift": 0.15}
 WARN, HOLD = 0.35, 0.55
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a count shows that it's small."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    """df as a written table, whose size Spark knows: it is broadcast by Spark's own limit of bytes, or else joined by a shuffle."""
+    return written(df)
 
 
 def ranked(rows: DataFrame, keys: list[str], value: str, k: int, first: str = "msg_id") -> DataFrame:
@@ -43,40 +44,21 @@ def measured(messages: DataFrame, owner: str | None = None) -> DataFrame:
     )
 
 
-def statistics(value: Column | str) -> Column:
-    """struct<mean,median,p10,p90,std> with interpolated percentiles and the population's deviation; zeros without rows."""
-    c = F.col(value) if isinstance(value, str) else value
-    return F.struct(*[F.coalesce(x, F.lit(0.0)).alias(n) for n, x in (("mean", F.avg(c)), ("median", F.percentile(c, F.lit(0.5))), ("p10", F.percentile(c, F.lit(0.1))), ("p90", F.percentile(c, F.lit(0.9))), ("std", F.stddev_pop(c)))])
+def _profiles(messages: DataFrame, owner: str | None, rows: DataFrame | None) -> DataFrame:
+    return partials.finished(partials.cells(rows if rows is not None else measured(messages, owner)))
 
 
-def histogram(value: str, size: int) -> Column:
-    return F.array(*[F.coalesce(F.avg((F.col(value) == i).cast("double")), F.lit(0.0)) for i in range(size)])
-
-
-def _profile(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each key; rows has one for each message and key."""
-    gap = (F.unix_micros(F.col("sent").cast("timestamp")) - F.unix_micros(F.lag("sent").over(Window.partitionBy(key).orderBy("sent", "msg_id")).cast("timestamp"))) / F.lit(86400e6)
-    g = rows.withColumn("__gap", gap).groupBy(key).agg(
-        F.count("*").alias("n_sends"), (F.count("*") >= KNOWN).alias("is_known"), F.min("sent").alias("first_seen"), F.max("sent").alias("last_seen"),
-        statistics("full_words").alias("words"), statistics("own_words").alias("own_words"), histogram("hour", 24).alias("hours"), histogram("day", 7).alias("days"), statistics("__gap").alias("gap_days"),
-        F.avg(F.col("reply").cast("double")).alias("reply_rate"), *[statistics(k).alias(k) for k in RATES],
-    )
-    for name, value in (("greetings", "opens"), ("closings", "closes")):
-        g = g.join(ranked(rows.where(F.col(value) != ""), [key], value, 5).withColumnRenamed("top", name), key, "left")
-    return g
-
-
-def recipient_profiles(messages: DataFrame, owner: str | None = None) -> DataFrame:
+def recipient_profiles(messages: DataFrame, owner: str | None = None, rows: DataFrame | None = None) -> DataFrame:
     """A row for each address written to: sends, statistics, histograms, gaps, reply rate, openings and closings.
 
-    A message to several counts for each of them.
+    A message to several counts for each of them. rows are the measured messages, if they are at hand.
     """
-    return _profile(measured(messages, owner).withColumn("address", F.explode("addresses")), "address")
+    return _profiles(messages, owner, rows).where(F.col("address") != partials.GLOBAL)
 
 
-def global_profile(messages: DataFrame, owner: str | None = None) -> DataFrame:
+def global_profile(messages: DataFrame, owner: str | None = None, rows: DataFrame | None = None) -> DataFrame:
     """The same over all messages, each once, as address _global."""
-    return _profile(measured(messages, owner).withColumn("address", F.lit("_global")), "address")
+    return _profiles(messages, owner, rows).where(F.col("address") == partials.GLOBAL)
 
 
 def profile_meta(messages: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -93,13 +75,13 @@ def clipped_z(x: Column, mean: Column, std: Column) -> Column:
 CONTEXT = ["rec_is_known", "rec_n_sends_log1p", "wc_z_rec", "wc_z_glob", "hour_fit_rec", "hour_fit_glob", "dow_fit_rec", "dow_fit_glob", "rec_reply_rate", "is_reply", "reply_mismatch", "greet_match_rec", "greet_match_glob", "close_match_glob", "dash_z", "ellipsis_z", "exclamation_z", "own_over_full", "n_recipients", "rec_is_self"]
 
 
-def context_vector(messages: DataFrame, profiles: DataFrame, overall: DataFrame, self_address: str = "", owner: str | None = None) -> DataFrame:
+def context_vector(messages: DataFrame, profiles: DataFrame, overall: DataFrame, self_address: str = "", owner: str | None = None, rows: DataFrame | None = None) -> DataFrame:
     """msg_id and the 20 context values of each message, against its main recipient's profile and the global one.
 
     The main recipient is the one written to most, the first on ties; a message without a profiled recipient is held
-    against the global profile, which counts as known.
+    against the global profile, which counts as known. rows are the measured messages, if they are at hand.
     """
-    m = measured(messages, owner)
+    m = rows if rows is not None else measured(messages, owner)
     cols = [c for c in profiles.columns if c != "address"]
     each = m.select("msg_id", F.posexplode("addresses").alias("place", "address")).join(small(profiles.select("address", "n_sends")), "address")
     best = each.groupBy("msg_id").agg(F.max_by("address", F.struct("n_sends", -F.col("place"))).alias("address"))

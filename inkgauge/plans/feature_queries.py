@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import BULK, CLOSING_WORDS, CONTRACTION, EXPANDED, FOOTERS, MESSAGE_CLOSINGS, MESSAGE_GREETINGS, REPLY_CUTS, SIGNATURE_CUTS
+from ..operators import partials
 from ..operators import profiles as P
+from ..shared import written
 from .base import MESSAGES, messages, quoted, table
 from .profile_queries import FIELDS, GREETED, LINES, MARKS, WORDS, count_sql, grams_sql, style_vector
 
@@ -20,7 +22,10 @@ def rounded(df, places=6):
 def context_features(spark, sf):
     """The 20 context values of each message against its recipient's profile and the global one."""
     m = messages(spark, sf)
-    return rounded(P.context_vector(m, P.recipient_profiles(m), P.global_profile(m), SELF))
+    rows = written(P.measured(m))
+    every = partials.finished(partials.cells(rows))
+    one = F.col("address") == partials.GLOBAL
+    return rounded(P.context_vector(m, every.where(~one), every.where(one), SELF, rows=rows))
 
 
 def recipient_profiles(spark, sf):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,18 +105,22 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: Column | No
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], order: Column | None = None, keep: int = 2, tries: int = 10) -> None:
-    """The table with df's rows in place of those with the same keys. If another writer finishes first, on top of that one's."""
-    spark = df.sparkSession
+def update(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame], keep: int = 2, tries: int = 10) -> None:
+    """The table becomes change(table), None if there is none yet. If another writer finishes first, change starts again from that one's."""
     for _ in range(tries):
         number, old, folder = _next(spark, path), load(spark, path), uuid.uuid4().hex
-        (upserted(old, df, keys, order) if old is not None else upserted(df.limit(0), df, keys, order)).write.parquet(f"{path}/data/{folder}")
+        change(old).write.parquet(f"{path}/data/{folder}")
         if _publish(spark, path, folder, number):
             return _clean(spark, path, max(1, keep))
         _fs(spark, path)[0].delete(_fs(spark, f"{path}/data/{folder}")[1], True)
     raise RuntimeError(f"{tries} other writers finished before this one: {path}")
 
 
+def upsert(df: DataFrame, path: str, keys: list[str], order: Column | None = None, keep: int = 2) -> None:
+    """The table with df's rows in place of those with the same keys. If another writer finishes first, on top of that one's."""
+    update(df.sparkSession, path, lambda old: upserted(old if old is not None else df.limit(0), df, keys, order), keep)
+
+
 def insert_allowed(df: DataFrame, path: str, allowed: tuple[str, ...] = POLICY_COLUMNS) -> None:
     """Appends the columns that are on the list, whatever else comes."""
     append(df.select(*[c for c in df.columns if c in allowed]), path)
