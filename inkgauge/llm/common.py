@@ -4,44 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
-
-
-_scopes: list[list[str]] = []
-
-
-def written(df: DataFrame, scope: int = -1) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: later stages depend on files, not on lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    if len(_scopes) >= -scope:
-        _scopes[scope].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def lasting(df: DataFrame) -> DataFrame:
-    """As written, but the table outlives the scope it is made in."""
-    return written(df, -2)
-
-
-@contextlib.contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are deleted at the end; what is needed longer is lasting."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+from ..shared import lasting, scope, shared_dir, written  # noqa: F401
 
 
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
