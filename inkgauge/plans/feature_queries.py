@@ -28,13 +28,6 @@ def context_features(spark, sf):
     return rounded(P.context_vector(m, every.where(~one), every.where(one), SELF, rows=rows))
 
 
-def recipient_profiles(spark, sf):
-    """Sends, statistics, reply rate and histogram ends of each recipient, and its commonest opening."""
-    p = P.recipient_profiles(messages(spark, sf))
-    flat = p.select("address", "n_sends", "is_known", F.col("words.mean").alias("mean"), F.col("words.median").alias("median"), F.col("words.p10").alias("p10"), F.col("words.p90").alias("p90"), F.col("words.std").alias("std"), F.col("gap_days.mean").alias("gap"), "reply_rate", F.get("hours", F.lit(0)).alias("h0"), F.get("days", F.lit(6)).alias("d6"), F.get("greetings", F.lit(0))["phrase"].alias("opening"), F.get("greetings", F.lit(0))["n"].alias("openings"))
-    return rounded(flat)
-
-
 def profile_meta(spark, sf):
     m = messages(spark, sf)
     return P.profile_meta(m, P.recipient_profiles(m)).select("n_emails", "n_recipients", "n_known_recipients")
@@ -125,7 +118,7 @@ def sampled_hours(spark, sf):
     return pick.join(F.broadcast(h), (F.col("p") * F.col("total") >= F.col("lo") * 10007) & (F.col("p") * F.col("total") < F.col("hi") * 10007)).select("doc_id", F.col("hour").cast("long").alias("hour"))
 
 
-QUERIES = {f.__name__: f for f in (context_features, recipient_profiles, profile_meta, author_profiles, deviation_score, message_traits, negative_space, recipient_conditional, extraction_summary, bulk_rejected, own_text, mail_cleaning, quotes_stripped, strip_artifacts, style_features, signature_noise, split_diagnosis, sampled_hours)}
+QUERIES = {f.__name__: f for f in (context_features, profile_meta, author_profiles, deviation_score, message_traits, negative_space, recipient_conditional, extraction_summary, bulk_rejected, own_text, mail_cleaning, quotes_stripped, strip_artifacts, style_features, signature_noise, split_diagnosis, sampled_hours)}
 
 match_sql = lambda t, p: f"regexp_matches({t}, {quoted(p)})"
 one_of = lambda ws: quoted("^(" + "|".join(ws) + ")")
@@ -232,7 +225,6 @@ STYLED = f"""{ARTIFACTS}, c1 AS (SELECT msg_id, author, t, {LOWER_WORDS('t')} AS
 
 SQL = {
     "context_features": f"WITH {MEASURED}, {PROFILED('prof', 'ex', 'address')}, {PROFILED('overall', 'ms', quoted('_global'))}, pick AS (SELECT m.msg_id, x.address FROM (SELECT msg_id, unnest(addresses) AS address, unnest(range(1, len(addresses) + 1)) AS place FROM ms) m JOIN prof x USING (address) QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY n_sends DESC, place) = 1) SELECT b.msg_id, {', '.join(R6(c, a) for c, a in zip(CONTEXT_SQL, P.CONTEXT, strict=True))} FROM (SELECT ms.*, pick.address FROM ms JOIN pick USING (msg_id)) b JOIN prof p ON p.address = b.address LEFT JOIN prof_hour rh ON rh.address = b.address AND rh.hour = b.hour LEFT JOIN prof_day rd ON rd.address = b.address AND rd.day = b.day LEFT JOIN overall_hour gh ON gh.hour = b.hour LEFT JOIN overall_day gd ON gd.day = b.day, overall g",
-    "recipient_profiles": f"WITH {MEASURED}, gap AS (SELECT *, CAST(epoch_us(sent) - epoch_us(lag(sent) OVER (PARTITION BY address ORDER BY sent, msg_id)) AS DOUBLE) / 86400e6::DOUBLE AS gap FROM ex), p AS (SELECT address, count(*) AS n_sends, count(*) >= 3 AS is_known, round(avg(full_words), 6) AS mean, round(quantile_cont(full_words, 0.5), 6) AS median, round(quantile_cont(full_words, 0.1), 6) AS p10, round(quantile_cont(full_words, 0.9), 6) AS p90, round(stddev_pop(full_words), 6) AS std, round(coalesce(avg(gap), 0), 6) AS gap, round(avg(CASE WHEN reply THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS reply_rate, round(avg({FLAG('hour = 0')}), 6) AS h0, round(avg({FLAG('day = 6')}), 6) AS d6 FROM gap GROUP BY address), t AS (SELECT address, opens AS opening, count(*) AS openings, min(msg_id) AS f FROM ex WHERE opens <> '' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY address ORDER BY openings DESC, f, opens) = 1) SELECT p.*, opening, openings FROM p LEFT JOIN t USING (address)",
     "profile_meta": f"WITH {MESSAGES}, k AS (SELECT recipients, count(*) AS n FROM msgs GROUP BY 1), t AS (SELECT count(*) AS n_emails FROM msgs) SELECT n_emails, (SELECT count(*) FROM k) AS n_recipients, (SELECT count(*) FROM k WHERE n >= 3) + CAST(n_emails >= 3 AS BIGINT) AS n_known_recipients FROM t",
     "author_profiles": f"{WHOLE} SELECT author, messages, round(avg_words, 6) AS avg_words, round(grade, 6) AS grade, round(ratio, 6) AS contraction_ratio, round(per, 6) AS exclamation_per_1000, CAST(round(formality, 6) AS DOUBLE) AS formality, CASE WHEN formality > 7 THEN 'formal' WHEN formality > 5 THEN 'professional' WHEN formality > 3 THEN 'conversational' ELSE 'casual' END AS formality_label, perspective, array_to_string(greetings, '|') AS greetings, array_to_string(closings, '|') AS closings FROM authors",
     "deviation_score": DEVIATIONS,
