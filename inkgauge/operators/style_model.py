@@ -1,83 +1,12 @@
-"""Own or not: boosted trees over the style vector with Platt calibration by folds, and an isolation forest."""
+"""An isolation forest: anomalies of vectors, calibrated by their own percentiles. The trees by style are in style_bundle."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, IDF, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions.lexicons import FUNCTION_WORDS
-
-
-def word_grams(text: Column) -> Column:
-    """Runs of 3 to 5 characters within lower-cased words that have a blank at both ends."""
-    runs = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(T.fields(F.lower(text)), lambda x: F.flatten(F.transform(F.array(F.concat(F.lit(" "), x, F.lit(" "))), lambda w: F.concat(*[runs(w, n) for n in (3, 4, 5)])))))
-
-
-def with_text_features(rows: DataFrame, text_col: str, style: list[str], least: int = 3, most: int = 2000) -> DataFrame:
-    """rows with vectors: dense (columns style and the share of each function word, scaled) and grams (TF-IDF of
-    word_grams: those in at least `least` texts, the `most` commonest of them; 1 + ln tf, smoothed idf + 1, length 1)."""
-    clean = rows.withColumn("__t", T.strip_artifacts(F.coalesce(text_col, F.lit("")))).withColumn("__w", T.words(F.col("__t"))).withColumn("__g", word_grams(F.col("__t"))).drop("__t")
-    counted = CountVectorizerModel.from_vocabulary(list(FUNCTION_WORDS), inputCol="__w", outputCol="__f").transform(clean).persist()
-    n = F.greatest(F.size("__w"), F.lit(1))
-    shares = counted.withColumn("__f", array_to_vector(F.transform(vector_to_array("__f"), lambda c: c / n)))
-    dense = VectorAssembler(inputCols=[*style, "__f"], outputCol="__d").transform(shares)
-    dense = StandardScaler(withMean=True, inputCol="__d", outputCol="dense").fit(dense).transform(dense)
-    tf = CountVectorizer(minDF=least, vocabSize=most, inputCol="__g", outputCol="__c").fit(counted).transform(dense)
-    idf = F.array(*[F.lit(float(x) + 1) for x in IDF(inputCol="__c", outputCol="__i").fit(tf).idf.toArray()])
-    weighed = F.zip_with(vector_to_array("__c"), idf, lambda c, w: F.when(c > 0, (F.lit(1.0) + F.log(c)) * w).otherwise(0.0))
-    length = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x * x))
-    out = tf.withColumn("__v", weighed).withColumn("__l", length).withColumn("grams", array_to_vector(F.transform("__v", lambda x: F.when(F.col("__l") > 0, x / F.col("__l")).otherwise(0.0))))
-    return out.select(*rows.columns, "dense", "grams")
-
-
-def _margins(trees: GBTClassificationModel, x: DataFrame) -> DataFrame:
-    scored = trees.transform(x).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
-    return VectorAssembler(inputCols=["margin"], outputCol="z").transform(scored)
-
-
-def fit_trees(rows: DataFrame, features: list[str], label: str, id_col: str, rounds: int = 200, folds: int = 3) -> list[tuple[GBTClassificationModel, LogisticRegressionModel]]:
-    """For each fold, trees that left it out and the logistic curve fitted on it. Folds go by a hash of the id."""
-    data = VectorAssembler(inputCols=features, outputCol="x").transform(rows.select(id_col, label, *features)).withColumn("fold", F.pmod(F.xxhash64(id_col), F.lit(folds))).persist()
-    models = []
-    for k in range(folds):
-        trees = GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=rounds, stepSize=0.1, seed=42).fit(data.where(F.col("fold") != k))
-        platt = LogisticRegression(featuresCol="z", labelCol=label, predictionCol="own", rawPredictionCol="raw", probabilityCol="p").fit(_margins(trees, data.where(F.col("fold") == k)))
-        models.append((trees, platt))
-    data.unpersist()
-    return models
-
-
-def score_trees(models: list[tuple[GBTClassificationModel, LogisticRegressionModel]], rows: DataFrame, features: list[str], score: str = "score") -> DataFrame:
-    """rows with the mean probability of all models, in one pass and without a shuffle; rows' columns may have any names."""
-    out = rows.select(F.struct("*").alias("__row"), *[F.col(f).alias(f"__f{i}") for i, f in enumerate(features)])
-    out = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="x").transform(out)
-    for k, (trees, platt) in enumerate(models):
-        out = platt.transform(_margins(trees, out)).withColumn(f"__p{k}", vector_to_array("p")[1]).drop("margin", "z", "own", "raw", "p")
-    return out.withColumn(score, sum(F.col(f"__p{k}") for k in range(len(models))) / len(models)).select("__row.*", score)
-
-
-def save_trees(models: list[tuple[GBTClassificationModel, LogisticRegressionModel]], path: str) -> None:
-    """Writes the models to a new or old folder that driver and executors share."""
-    for k, (trees, platt) in enumerate(models):
-        trees.write().overwrite().save(f"{path}/fold{k}/trees")
-        platt.write().overwrite().save(f"{path}/fold{k}/curve")
-
-
-def load_trees(path: str, folds: int = 3) -> list[tuple[GBTClassificationModel, LogisticRegressionModel]]:
-    return [(GBTClassificationModel.load(f"{path}/fold{k}/trees"), LogisticRegressionModel.load(f"{path}/fold{k}/curve")) for k in range(folds)]
-
-
-def calibrated_trees(rows: DataFrame, features: list[str], label: str, id_col: str, rounds: int = 200, folds: int = 3) -> DataFrame:
-    """id_col, score: mean probability of label over models that each left out one fold and were calibrated on it."""
-    return score_trees(fit_trees(rows, features, label, id_col, rounds, folds), rows, features).select(id_col, "score")
-
 
 def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
     width = x.max(0) - x.min(0) if len(x) else np.zeros(0)

@@ -8,23 +8,25 @@ from html.parser import HTMLParser
 from pyspark.sql import functions as F
 
 from ..operators import profiles as P
-from ..operators.style_model import calibrated_anomalies, calibrated_trees, with_text_features
+from ..operators.style_bundle import StyleEstimator
+from ..operators.style_model import calibrated_anomalies
 from .base import spread, table
 from .feature_queries import context_features
 from .profile_queries import style_vector
 
 
 def stylometric_rows(spark, sf):
-    """doc_id, label, dense, grams of the labelled documents."""
+    """doc_id, label, body and the twenty style values of the labelled documents."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     rows = rows.select(F.col("doc_id").alias("msg_id"), F.col("source").alias("author"), F.coalesce("text", F.lit("")).alias("body"), "label")
-    style = style_vector(rows).drop("author")
-    names = style.columns[1:]
-    return with_text_features(rows.join(style, "msg_id").select(F.col("msg_id").alias("doc_id"), "label", "body", *names), "body", names).select("doc_id", "label", "dense", "grams")
+    return rows.join(style_vector(rows).drop("author"), "msg_id").drop("author").withColumnRenamed("msg_id", "doc_id")
 
 
 def stylometric_trees(spark, sf):
-    return calibrated_trees(stylometric_rows(spark, sf), ["dense", "grams"], "label", "doc_id")
+    """Labelled documents by the trees of a bundle that is fitted on them."""
+    rows = stylometric_rows(spark, sf)
+    names = [c for c in rows.columns if c not in ("doc_id", "label", "body")]
+    return StyleEstimator(style=tuple(names)).fit(rows).transform(rows).select("doc_id", "score", "percentile")
 
 
 def context_forest(spark, sf):
