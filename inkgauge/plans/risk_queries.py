@@ -74,20 +74,21 @@ _signals: dict[tuple[str, str], DataFrame] = {}
 
 
 def context_score(v: DataFrame) -> DataFrame:
-    """msg_id, context: how far a message is from what its recipient gets: length, reply or not, known or not, marks; 0 to 1."""
+    """msg_id, context: how far a message is from what its recipient gets: length, reply or not, known or not, marks; 1 where two of the four are fully off."""
     far = lambda c: F.least(F.lit(1.0), F.abs(F.col(c)) / F.lit(3.0))
-    return v.select("msg_id", F.round((far("wc_z_rec") + F.col("reply_mismatch") + (1 - F.col("rec_is_known")) + far("exclamation_z")) / F.lit(4.0), 6).alias("context"))
+    return v.select("msg_id", F.round(F.least(F.lit(1.0), (far("wc_z_rec") + F.col("reply_mismatch") + (1 - F.col("rec_is_known")) + far("exclamation_z")) / F.lit(2.0)), 6).alias("context"))
 
 
 def signals(spark, sf) -> DataFrame:
     """Three scores of each labelled document: its deviation from its author's profile, its context, its payload.
 
-    The composer's limits of style are for a probability that is rarely above .02; a deviation is brought to that range by 25.
+    The composer's limits of style are for a probability that is rarely above .02; deviations are scaled so that .35, at which
+    a deviation warns by itself, is .02.
     Many queries read these scores: they are written once in a session for a folder.
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _signals:
-        style = features.deviation_score(spark, sf).select("msg_id", (F.coalesce("score", F.lit(0.0)) / F.lit(25.0)).alias("style"))
+        style = features.deviation_score(spark, sf).select("msg_id", (F.coalesce("score", F.lit(0.0)) / F.lit(17.5)).alias("style"))
         payload = scored(spark, sf).select("msg_id", F.round("score", 6).alias("payload"))
         labels = table(spark, sf, "labels").select(F.col("doc_id").alias("msg_id"), "toxic")
         j = labels.join(style, "msg_id").join(context_score(features.context_features(spark, sf)), "msg_id").join(payload, "msg_id")
@@ -96,7 +97,7 @@ def signals(spark, sf) -> DataFrame:
 
 
 FAR = lambda c: f"least(1.0::DOUBLE, abs(c.{c}) / 3.0::DOUBLE)"
-SIGNALS = f"""signals AS (SELECT l.doc_id, l.toxic, coalesce(d.score, 0) / 25.0::DOUBLE AS style, round(({FAR('wc_z_rec')} + c.reply_mismatch + (1 - c.rec_is_known) + {FAR('exclamation_z')}) / 4.0::DOUBLE, 6) AS context, p.score AS payload
+SIGNALS = f"""signals AS (SELECT l.doc_id, l.toxic, coalesce(d.score, 0) / 17.5::DOUBLE AS style, round(least(1.0::DOUBLE, ({FAR('wc_z_rec')} + c.reply_mismatch + (1 - c.rec_is_known) + {FAR('exclamation_z')}) / 2.0::DOUBLE), 6) AS context, p.score AS payload
 FROM labels l JOIN ({features.SQL['deviation_score']}) d ON d.msg_id = l.doc_id JOIN ({features.SQL['context_features']}) c ON c.msg_id = l.doc_id JOIN (WITH {SCORED_SQL} SELECT msg_id, round(score, 6) AS score FROM scored) p ON p.msg_id = l.doc_id)"""
 COMPOSED = f"""{SIGNALS}, normal AS (SELECT *, CASE WHEN style <= 0 THEN 0 WHEN style < 0.002::DOUBLE THEN style / 0.002::DOUBLE * 0.2::DOUBLE WHEN style < 0.007::DOUBLE THEN 0.2::DOUBLE + (style - 0.002::DOUBLE) / (0.007::DOUBLE - 0.002::DOUBLE) * 0.3::DOUBLE
 WHEN style < 0.02::DOUBLE THEN 0.5::DOUBLE + (style - 0.007::DOUBLE) / (0.02::DOUBLE - 0.007::DOUBLE) * 0.4::DOUBLE WHEN style < 0.3::DOUBLE THEN 0.9::DOUBLE + (style - 0.02::DOUBLE) / (0.3::DOUBLE - 0.02::DOUBLE) * 0.1::DOUBLE ELSE 1 END AS c FROM signals),
