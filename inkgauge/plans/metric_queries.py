@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .base import MESSAGES, messages, spread, table
+from .base import MESSAGES, messages, table
 from .risk_queries import COMPOSED, composed
 
 
@@ -148,14 +148,6 @@ def clean_transcript(spark, sf):
     return messages(spark, sf).select("msg_id", F.md5(T.clean_transcript(F.col("body"))).alias("digest"), F.length(T.clean_transcript(F.col("body"))).cast("long").alias("n"))
 
 
-def html_to_text_spaced(spark, sf):
-    return spread(table(spark, sf, "pages")).select("page_id", F.md5(T.html_spaced(F.col("html"))).alias("digest"))
-
-
-def html_to_text_lined(spark, sf):
-    return spread(table(spark, sf, "pages")).select("page_id", F.md5(T.html_lined(F.col("html"))).alias("digest"))
-
-
 def style_similarity(spark, sf):
     """Cosine of each vector with the mean of its label."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -164,7 +156,7 @@ def style_similarity(spark, sf):
     return e.join(m, "label").select("vec_id", F.round(dot(F.col("v"), F.col("c")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("c"), F.col("c"))), 5).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (rank_auc, per_feature_auc, roc_curve, catch_at_fpr, score_stats, calibration_ece, ship_gate, verdicts_by_label, lowest_scores, send_gaps, send_profile, top_event_types, best_recipient_profile, clean_transcript, html_to_text_spaced, html_to_text_lined, style_similarity)}
+QUERIES = {f.__name__: f for f in (rank_auc, per_feature_auc, roc_curve, catch_at_fpr, score_stats, calibration_ece, ship_gate, verdicts_by_label, lowest_scores, send_gaps, send_profile, top_event_types, best_recipient_profile, clean_transcript, style_similarity)}
 STAT = lambda c, n: f"round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median, round(stddev_pop({c}), 6) AS sd"
 SQL = {
     "rank_auc": f"WITH {LONG}, {AUC} SELECT * FROM aucs",

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from ..operators import profiles as P
 from ..operators.style_bundle import StyleEstimator
 from ..operators.style_model import calibrated_anomalies
-from .base import spread, table
+from .base import table
 from .feature_queries import context_features
 from .profile_queries import style_vector
 
@@ -34,50 +33,6 @@ def context_forest(spark, sf):
     return calibrated_anomalies(context_features(spark, sf), P.CONTEXT, "msg_id")
 
 
-class PageText(HTMLParser):
-    """Text of a page: entities decoded, line ends at blocks, no scripts, styles and heads."""
-
-    SKIPPED = {"style", "script", "head"}
-    BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.depth = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.SKIPPED
-        if tag in self.BLOCKS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        self.depth -= tag in self.SKIPPED and self.depth > 0
-        if tag in self.BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.depth:
-            self.parts.append(data)
-
-
-def page_text(page: str) -> str:
-    parser = PageText()
-    parser.feed(page or "")
-    parser.close()
-    lines = [" ".join(x.split()) for x in "".join(parser.parts).split("\n")]
-    return "\n".join(x for x in lines if x)
-
-
-def html_to_text_parsed(spark, sf):
-    """Text of pages by a parser of tags with entity decoding; scripts, styles and heads are skipped."""
-
-    def run(batches):
-        for b in batches:
-            b["text"] = [page_text(x) for x in b["html"]]
-            yield b[["page_id", "text"]]
-
-    return spread(table(spark, sf, "pages").select("page_id", "html")).mapInPandas(run, "page_id long, text string")
-
-
 def stream_counts(spark, sf):
     """Events by type, read as a stream, each id once."""
     from ..streaming.live import once
@@ -90,5 +45,5 @@ def stream_counts(spark, sf):
     return spark.table(name).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (stylometric_trees, context_forest, html_to_text_parsed, stream_counts)}
+QUERIES = {f.__name__: f for f in (stylometric_trees, context_forest, stream_counts)}
 SQL = {"stream_counts": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type"}
