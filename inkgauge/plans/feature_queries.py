@@ -10,7 +10,7 @@ from ..operators import partials
 from ..operators import profiles as P
 from ..shared import written
 from .base import MESSAGES, messages, quoted, table
-from .profile_queries import FIELDS, GREETED, LINES, MARKS, WORDS, count_sql, grams_sql, style_vector
+from .profile_queries import FIELDS, GREETED, LINES, MARKS, NOISY, WORDS, count_sql, grams_sql, style_vector
 
 SELF = "fr@example.org"
 
@@ -224,6 +224,7 @@ SENTENCES = f"list_filter(list_transform(regexp_split_to_array(t, '[.!?]+[ \\t\\
 STYLED = f"""{ARTIFACTS}, c1 AS (SELECT msg_id, author, t, {LOWER_WORDS('t')} AS w, {SENTENCES} AS ss FROM clean), c2 AS (SELECT msg_id, author, t, w, CAST(greatest(len(w), 1) AS DOUBLE) AS n, list_transform(CASE WHEN len(ss) > 0 THEN ss ELSE [trim(t)] END, lambda s: CAST(len(regexp_extract_all(s, '[A-Za-z'']+')) AS DOUBLE)) AS lens FROM c1), c3 AS (SELECT *, CAST(len(lens) AS DOUBLE) AS k, list_sum(lens) / len(lens) AS mean FROM c2)"""
 
 SQL = {
+    "signature_noise": f"WITH {MESSAGES}, s AS (SELECT author, unnest({MARKS}) AS s FROM msgs) SELECT author, count(*) AS sentences, count(*) FILTER ({NOISY('s')}) AS noise FROM s GROUP BY author",
     "context_features": f"WITH {MEASURED}, {PROFILED('prof', 'ex', 'address')}, {PROFILED('overall', 'ms', quoted('_global'))}, pick AS (SELECT m.msg_id, x.address FROM (SELECT msg_id, unnest(addresses) AS address, unnest(range(1, len(addresses) + 1)) AS place FROM ms) m JOIN prof x USING (address) QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY n_sends DESC, place) = 1) SELECT b.msg_id, {', '.join(R6(c, a) for c, a in zip(CONTEXT_SQL, P.CONTEXT, strict=True))} FROM (SELECT ms.*, pick.address FROM ms JOIN pick USING (msg_id)) b JOIN prof p ON p.address = b.address LEFT JOIN prof_hour rh ON rh.address = b.address AND rh.hour = b.hour LEFT JOIN prof_day rd ON rd.address = b.address AND rd.day = b.day LEFT JOIN overall_hour gh ON gh.hour = b.hour LEFT JOIN overall_day gd ON gd.day = b.day, overall g",
     "profile_meta": f"WITH {MESSAGES}, k AS (SELECT recipients, count(*) AS n FROM msgs GROUP BY 1), t AS (SELECT count(*) AS n_emails FROM msgs) SELECT n_emails, (SELECT count(*) FROM k) AS n_recipients, (SELECT count(*) FROM k WHERE n >= 3) + CAST(n_emails >= 3 AS BIGINT) AS n_known_recipients FROM t",
     "author_profiles": f"{WHOLE} SELECT author, messages, round(avg_words, 6) AS avg_words, round(grade, 6) AS grade, round(ratio, 6) AS contraction_ratio, round(per, 6) AS exclamation_per_1000, CAST(round(formality, 6) AS DOUBLE) AS formality, CASE WHEN formality > 7 THEN 'formal' WHEN formality > 5 THEN 'professional' WHEN formality > 3 THEN 'conversational' ELSE 'casual' END AS formality_label, perspective, array_to_string(greetings, '|') AS greetings, array_to_string(closings, '|') AS closings FROM authors",

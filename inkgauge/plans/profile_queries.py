@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.lexicons import CLOSING_WORDS, CONTRACTION, EXPANDED, FUNCTION_WORDS, GREETING_WORDS, LEXICON, NOISE_PHRASES, SKIP_STARTERS
+from ..functions.lexicons import CLOSING_WORDS, CONTRACTION, EXPANDED, FUNCTION_WORDS, GREETING_WORDS, LEXICON, NOISE_PHRASES, SIGNATURE_WORDS, SKIP_STARTERS
+from ..operators import phrases as R
 from ..operators.profiles import small
 from .base import MESSAGES, messages, quoted
 
@@ -84,6 +85,25 @@ def phrase_fingerprint(spark, sf):
     return g.crossJoin(least).where("n >= least").drop("least").orderBy(F.desc("n"), "phrase").limit(100)
 
 
+def phrase_records(spark, sf):
+    """The 200 commonest phrases that say something, with places, domains, sources and first sentences."""
+    return R.phrase_records(messages(spark, sf)).withColumn("sentences", F.array_join("sentences", " / "))
+
+
+NOISY = lambda s: f"""(regexp_matches({s}, {quoted(r"[(]?[0-9]{3}[)]?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_.-]+")}) OR regexp_matches(lower({s}), 'https?://|mailto:')
+OR coalesce(list_transform([list_filter(regexp_split_to_array(lower({s}), '[ \\t\\r\\n]+'), lambda w: regexp_matches(w, '^[a-z]{{2,}}$'))], lambda ws: len(ws) > 0 AND len(list_filter(ws, lambda w: w IN {sql_list(SIGNATURE_WORDS)})) > len(ws) * 0.4)[1], false))"""
+PLAIN_WORD = f"lambda w: w IN {sql_list(FUNCTION_WORDS)}"
+PLACE = "CASE WHEN i = 1 THEN 'opening' WHEN i - 1 >= len(ss) - 2 THEN 'closing' ELSE 'body' END"
+RECORDS = f"""{MESSAGES}, s0 AS (SELECT msg_id, author, regexp_extract(recipients, '[^@]*$') AS domain, {MARKS} AS ss FROM msgs), s1 AS (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s0),
+s2 AS (SELECT msg_id, coalesce(author, 'unknown') AS source, domain, i, {PLACE} AS place, regexp_replace(ss[i], '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS sentence FROM s1 WHERE NOT {NOISY('ss[i]')}), s3 AS (SELECT *, list_transform(regexp_extract_all(sentence, '[A-Za-z'']+'), lambda x: lower(x)) AS w FROM s2),
+p AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT msg_id, source, domain, i, place, sentence, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS phrase FROM s3" for n in (2, 3, 4, 5))}) WHERE phrase NOT IN {sql_list(NOISE_PHRASES)}),
+g AS (SELECT phrase, count(*) AS n, count(*) FILTER (place = 'opening') AS opening, count(*) FILTER (place = 'body') AS body, count(*) FILTER (place = 'closing') AS closing, string_split(phrase, ' ') AS ws FROM p GROUP BY phrase HAVING count(*) >= greatest(3, (SELECT count(*) FROM msgs) * 0.005)),
+t AS (SELECT phrase, n, opening, body, closing FROM g WHERE len(list_filter(ws, {PLAIN_WORD})) < len(ws) AND NOT (len(ws) = 2 AND len(list_filter(ws, {PLAIN_WORD})) > 0 AND len(list_filter(ws, lambda w: length(w) <= 3)) = 2) ORDER BY n DESC, phrase LIMIT 200),
+x AS (SELECT p.* FROM p JOIN t USING (phrase)), e AS (SELECT phrase, sentence, min((msg_id, i)) AS f FROM x GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY f) <= 5),
+{", ".join(f"{c}s AS (SELECT phrase, string_agg({c} || ':' || k, '|' ORDER BY k DESC, {c}) AS {c} FROM (SELECT phrase, {c}, count(*) AS k FROM x GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY k DESC, {c}) <= 5) GROUP BY phrase)" for c in ("domain", "source"))},
+es AS (SELECT phrase, string_agg(regexp_replace(sentence, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), ' / ' ORDER BY f) AS sentences FROM e GROUP BY phrase)"""
+
+
 def top_phrases(spark, sf, k: int = 20) -> DataFrame:
     """msg_id, author, phrase of the k commonest phrases: none of them is rarer than the k-th pair that isn't noise."""
     s = sentences_of(spark, sf)
@@ -260,7 +280,7 @@ def function_word_freq(spark, sf):
     return w.join(total, "author").select("author", "word", F.round(F.col("n") / F.col("total"), 8).alias("freq"))
 
 
-QUERIES = {f.__name__: f for f in (token_frequency, vocabulary_by_author, document_frequency, phrase_fingerprint, phrase_sources, phrase_examples, sentence_templates, greeting_patterns, closing_patterns, lexicon_usage, assertiveness, sentence_stats, sentence_starters, paragraph_stats, grammar_signature, punctuation_profile, readability, structure_share, recipient_summary, function_word_freq)}
+QUERIES = {f.__name__: f for f in (token_frequency, vocabulary_by_author, document_frequency, phrase_fingerprint, phrase_records, phrase_sources, phrase_examples, sentence_templates, greeting_patterns, closing_patterns, lexicon_usage, assertiveness, sentence_stats, sentence_starters, paragraph_stats, grammar_signature, punctuation_profile, readability, structure_share, recipient_summary, function_word_freq)}
 EXPLODED = f"{MESSAGES}, w AS (SELECT msg_id, author, unnest({WORDS}) AS word FROM msgs)"
 GREETING = r"^((?:Hi|Hey|Hello|Dear|Good morning|Good afternoon|Good evening|Howdy|Greetings))[, ]+([A-Z][a-z]+(?: [A-Z][a-z]+)?)$"
 GREETED = f"{MESSAGES}, l AS (SELECT msg_id, author, body, {LINES} AS ls FROM msgs), g AS (SELECT *, CASE WHEN len(list_filter(regexp_split_to_array(ls[1], '[ \\t\\r\\n]+'), lambda x: x <> '')) <= 8 AND regexp_matches(lower(ls[1]), '^({'|'.join(GREETING_WORDS)})') THEN regexp_replace(regexp_replace(ls[1], '[,!. ]+$', ''), {quoted(GREETING)}, '\\1 [Name]') END AS pattern FROM l)"
@@ -270,6 +290,7 @@ SENT = f"{MESSAGES}, s AS (SELECT author, unnest({MARKS}) AS s FROM msgs), c AS
 per_sql = lambda c: f"round(coalesce(CAST({c} AS DOUBLE) * 1000.0::DOUBLE / nullif(CAST(words AS DOUBLE), 0), 0.0::DOUBLE), 4)"
 grams_sql = lambda w, n: f"list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' '))"
 SQL = {
+    "phrase_records": f"WITH {RECORDS} SELECT t.*, domain, source, sentences FROM t JOIN domains USING (phrase) JOIN sources USING (phrase) JOIN es USING (phrase)",
     "token_frequency": f"WITH {EXPLODED} SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 100",
     "vocabulary_by_author": f"WITH {EXPLODED}, g AS (SELECT author, count(*) AS words, count(DISTINCT word) AS distinct_words, round(avg(length(word)), 6) AS mean_length, round(avg(CASE WHEN len(regexp_extract_all(word, '[aeiouy]+')) >= 3 THEN 1.0 ELSE 0.0 END), 6) AS complex FROM w GROUP BY author) SELECT *, CASE WHEN complex > 0.12 AND mean_length > 5 THEN 'advanced' WHEN complex > 0.06 THEN 'intermediate' ELSE 'conversational' END AS level FROM g",
     "document_frequency": f"WITH {MESSAGES}, n AS (SELECT author, count(*) AS total FROM msgs GROUP BY author), w AS (SELECT author, unnest(list_distinct({WORDS})) AS word FROM msgs), d AS (SELECT author, word, count(*) AS df FROM w WHERE length(word) > 3 GROUP BY ALL), r AS (SELECT author, word, df, row_number() OVER (PARTITION BY author ORDER BY df DESC, word) AS r FROM d JOIN n USING (author) WHERE df >= total * 0.15) SELECT author, word, df, r FROM r WHERE r <= 40",

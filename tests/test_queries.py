@@ -71,6 +71,6 @@ def test_twin(spark, con, folder, name):
     assert got == expected and got
 
 
-@pytest.mark.parametrize("name", ["sensitive_all", "sensitive_summary", "signature_noise", "style_and_risk_by_author", "quotes_stripped", "context_forest"])
+@pytest.mark.parametrize("name", ["sensitive_all", "sensitive_summary", "style_and_risk_by_author", "quotes_stripped", "context_forest"])
 def test_rows(spark, folder, name):
     assert catalogue.queries()[name](spark, folder).count() > 0
