@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import CLOSING_WORDS, CONTRACTION, EXPANDED, FUNCTION_WORDS, GREETING_WORDS, LEXICON, NOISE_PHRASES, SIGNATURE_WORDS, SKIP_STARTERS
 from ..operators import phrases as R
+from ..operators import sentences as S
 from ..operators.profiles import small
 from .base import MESSAGES, messages, quoted
 
@@ -90,6 +91,19 @@ def phrase_records(spark, sf):
     return R.phrase_records(messages(spark, sf)).withColumn("sentences", F.array_join("sentences", " / "))
 
 
+def period_counts(spark, sf):
+    """How often each word has a period after it: what abbreviations are learnt from."""
+    return S.period_counts(messages(spark, sf)).where("with_period > 0")
+
+
+def learnt_abbreviations(spark, sf):
+    """Words that the corpus shows to be abbreviations, with their score."""
+    return S.abbreviations(S.period_counts(messages(spark, sf)))
+
+
+COUNTED = f"""{MESSAGES}, w AS (SELECT unnest(regexp_extract_all(body, {quoted(S.WORD + "[.]?")})) AS w FROM msgs), c AS (SELECT lower(rtrim(w, '.')) AS word, count(*) FILTER (ends_with(w, '.')) AS with_period, count(*) FILTER (NOT ends_with(w, '.')) AS without FROM w GROUP BY 1)"""
+LEARNT = f"""{COUNTED}, t AS (SELECT sum(with_period) / sum(with_period + without) AS p FROM c), v AS (SELECT word, with_period AS k, CAST(with_period + without AS DOUBLE) AS n, CAST(length(replace(word, '.', '')) AS DOUBLE) AS letters, length(word) - length(replace(word, '.', '')) + 1 AS inner_, p FROM c, t WHERE with_period >= 3 AND NOT regexp_matches(word, '^[\\p{{N}}.]+$')),
+s AS (SELECT word, k AS n, round(2 * (k * ln({S.SURE}) + (n - k) * ln(1 - {S.SURE}) - k * ln(p) - (n - k) * ln(1 - p)) * exp(-letters) * inner_ * pow(letters, k - n), 6) AS score FROM v)"""
 NOISY = lambda s: f"""(regexp_matches({s}, {quoted(r"[(]?[0-9]{3}[)]?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_.-]+")}) OR regexp_matches(lower({s}), 'https?://|mailto:')
 OR coalesce(list_transform([list_filter(regexp_split_to_array(lower({s}), '[ \\t\\r\\n]+'), lambda w: regexp_matches(w, '^[a-z]{{2,}}$'))], lambda ws: len(ws) > 0 AND len(list_filter(ws, lambda w: w IN {sql_list(SIGNATURE_WORDS)})) > len(ws) * 0.4)[1], false))"""
 PLAIN_WORD = f"lambda w: w IN {sql_list(FUNCTION_WORDS)}"
@@ -280,7 +294,7 @@ def function_word_freq(spark, sf):
     return w.join(total, "author").select("author", "word", F.round(F.col("n") / F.col("total"), 8).alias("freq"))
 
 
-QUERIES = {f.__name__: f for f in (token_frequency, vocabulary_by_author, document_frequency, phrase_fingerprint, phrase_records, phrase_sources, phrase_examples, sentence_templates, greeting_patterns, closing_patterns, lexicon_usage, assertiveness, sentence_stats, sentence_starters, paragraph_stats, grammar_signature, punctuation_profile, readability, structure_share, recipient_summary, function_word_freq)}
+QUERIES = {f.__name__: f for f in (token_frequency, vocabulary_by_author, document_frequency, phrase_fingerprint, phrase_records, period_counts, learnt_abbreviations, phrase_sources, phrase_examples, sentence_templates, greeting_patterns, closing_patterns, lexicon_usage, assertiveness, sentence_stats, sentence_starters, paragraph_stats, grammar_signature, punctuation_profile, readability, structure_share, recipient_summary, function_word_freq)}
 EXPLODED = f"{MESSAGES}, w AS (SELECT msg_id, author, unnest({WORDS}) AS word FROM msgs)"
 GREETING = r"^((?:Hi|Hey|Hello|Dear|Good morning|Good afternoon|Good evening|Howdy|Greetings))[, ]+([A-Z][a-z]+(?: [A-Z][a-z]+)?)$"
 GREETED = f"{MESSAGES}, l AS (SELECT msg_id, author, body, {LINES} AS ls FROM msgs), g AS (SELECT *, CASE WHEN len(list_filter(regexp_split_to_array(ls[1], '[ \\t\\r\\n]+'), lambda x: x <> '')) <= 8 AND regexp_matches(lower(ls[1]), '^({'|'.join(GREETING_WORDS)})') THEN regexp_replace(regexp_replace(ls[1], '[,!. ]+$', ''), {quoted(GREETING)}, '\\1 [Name]') END AS pattern FROM l)"
@@ -290,6 +304,8 @@ SENT = f"{MESSAGES}, s AS (SELECT author, unnest({MARKS}) AS s FROM msgs), c AS
 per_sql = lambda c: f"round(coalesce(CAST({c} AS DOUBLE) * 1000.0::DOUBLE / nullif(CAST(words AS DOUBLE), 0), 0.0::DOUBLE), 4)"
 grams_sql = lambda w, n: f"list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' '))"
 SQL = {
+    "period_counts": f"WITH {COUNTED} SELECT * FROM c WHERE with_period > 0",
+    "learnt_abbreviations": f"WITH {LEARNT} SELECT * FROM s WHERE score >= {S.SCORE}",
     "phrase_records": f"WITH {RECORDS} SELECT t.*, domain, source, sentences FROM t JOIN domains USING (phrase) JOIN sources USING (phrase) JOIN es USING (phrase)",
     "token_frequency": f"WITH {EXPLODED} SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMIT 100",
     "vocabulary_by_author": f"WITH {EXPLODED}, g AS (SELECT author, count(*) AS words, count(DISTINCT word) AS distinct_words, round(avg(length(word)), 6) AS mean_length, round(avg(CASE WHEN len(regexp_extract_all(word, '[aeiouy]+')) >= 3 THEN 1.0 ELSE 0.0 END), 6) AS complex FROM w GROUP BY author) SELECT *, CASE WHEN complex > 0.12 AND mean_length > 5 THEN 'advanced' WHEN complex > 0.06 THEN 'intermediate' ELSE 'conversational' END AS level FROM g",

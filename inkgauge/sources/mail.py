@@ -108,6 +108,30 @@ def own_mail(messages: DataFrame, months_back: int = 12, as_of: str | None = Non
     return long_enough(rows.withColumn("body", T.strip_quotes(F.col("body"))), WORD_FLOOR["mail"])
 
 
+def of_accounts(messages: DataFrame, accounts: list[str], owner: str = "owner") -> DataFrame:
+    """Messages whose owner's name holds one of accounts, whatever its case; all of them without any."""
+    low = F.lower(F.coalesce(owner, F.lit("")))
+    return messages.where(F.exists(F.array(*[F.lit(a.lower()) for a in accounts]), lambda a: low.contains(a))) if accounts else messages
+
+
+def enough(messages: DataFrame, key: str, least: int = 10) -> DataFrame:
+    """Messages of the keys that have at least `least` of them. Counts are joined, so that a frequent key is no single task."""
+    held = messages.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(key)
+    return messages.join(held, key, "left_semi")
+
+
+def labelled(own: DataFrame, others: list[DataFrame], body: str = "body", least: int = 20) -> DataFrame:
+    """A training set: doc_id (digest of the text), body and label, 1 for texts of own and 0 for those of others.
+
+    Texts of fewer words go; of equal texts one stays, of own if it is among them; an id is the same in every run.
+    """
+    parts = [df.select(F.coalesce(F.col(body).cast("string"), F.lit("")).alias("body"), F.lit(y).alias("label")) for y, dfs in ((1.0, [own]), (0.0, others)) for df in dfs]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return long_enough(rows, least).groupBy("body").agg(F.max("label").alias("label")).select(F.xxhash64("body").alias("doc_id"), "body", "label")
+
+
 def exported_mail(messages: DataFrame, least_chars: int = 20) -> DataFrame:
     """Messages as an archive's export keeps them: no bulk mail, plain characters, no replies and signatures; replies and forwards told apart."""
     kept = messages.where(~T.is_bulk(F.col("subject"), F.col("body")))

@@ -75,15 +75,42 @@ def _clean(spark: SparkSession, path: str, keep: int) -> None:
         fs.delete(_fs(spark, f"{path}/log/{number:012}-{folder.rsplit('/', 1)[1]}")[1], False)
 
 
-def replace(df: DataFrame, path: str, keep: int = 2) -> None:
-    """df becomes the table; keep complete versions stay. Of several writers the last to finish wins."""
+def replace(df: DataFrame, path: str, keep: int = 2, options: dict[str, str] | None = None) -> None:
+    """df becomes the table; keep complete versions stay. Of several writers the last to finish wins. options are the Parquet writer's."""
     spark, folder = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{path}/data/{folder}")
+    df.write.options(**(options or {})).parquet(f"{path}/data/{folder}")
     while not _publish(spark, path, folder, _next(spark, path)):
         pass
     _clean(spark, path, max(1, keep))
 
 
+def clustered(df: DataFrame, path: str, by: list[str], looked_up: list[str], row_group_bytes: int = 8 << 20, distinct: int = 1_000_000) -> None:
+    """df becomes a table laid out for look-ups: in order of by, in row groups of that size, with a Bloom filter of each column of looked_up.
+
+    find reads a few row groups of it: by ranges of by, and by the filters of the other columns. distinct is how many values of
+    a column a row group is made for.
+    """
+    options = {"parquet.block.size": str(row_group_bytes)}
+    for c in looked_up:
+        options |= {f"parquet.bloom.filter.enabled#{c}": "true", f"parquet.bloom.filter.expected.ndv#{c}": str(distinct)}
+    replace(df.repartitionByRange(*by).sortWithinPartitions(*by), path, options=options)
+
+
+def find(spark: SparkSession, path: str, **equal) -> DataFrame | None:
+    """Rows of the table whose columns have the values given (or one of a list of them); None if there is no table."""
+    rows = load(spark, path)
+    if rows is None:
+        return None
+    for c, v in equal.items():
+        rows = rows.where(F.col(c).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(c) == F.lit(v))
+    return rows
+
+
+def members(users: DataFrame, groups: list, col: str = "group_ids") -> DataFrame:
+    """Users in one of the groups; those without a list are in none."""
+    return users.where(F.coalesce(F.arrays_overlap(col, F.array(*[F.lit(g) for g in groups])), F.lit(False)) if groups else F.lit(False))
+
+
 def append(df: DataFrame, path: str, once: list[str] | None = None) -> None:
     """Rows join the log at path; with once, rows whose key the log or this batch has already don't."""
     spark = df.sparkSession

@@ -177,3 +177,36 @@ def test_mail_selections(spark, tmp_path):
     (tmp_path / "b.eml").write_text("two")
     (tmp_path / "c.pdf").write_text("no")
     assert [r.text for r in mail.read_folder(spark, str(tmp_path)).collect()] == ["one", "two"]
+
+
+def scanned(df):
+    """df's rows, and how many rows its scan read."""
+    rows = df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return rows, leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """A look-up by the key of the order, or by a column with a filter, reads a few row groups of many."""
+    at = f"file://{tmp_path}/t"
+    df = spark.range(60000).select(F.col("id").alias("tenant_id"), F.md5(F.col("id").cast("string")).alias("domain"), F.md5((F.col("id") * 7).cast("string")).alias("plain"))
+    store.clustered(df.repartition(3), at, ["tenant_id"], ["domain"], row_group_bytes=64 << 10, distinct=5000)
+    wanted = df.where("tenant_id = 4321").first()
+    for column, value in (("tenant_id", 4321), ("domain", wanted.domain)):
+        rows, read = scanned(store.find(spark, at, **{column: value}))
+        assert [r.tenant_id for r in rows] == [4321] and read < 20000, (column, read)
+    rows, read = scanned(store.find(spark, at, plain=wanted.plain))
+    assert [r.tenant_id for r in rows] == [4321] and read == 60000
+    assert sorted(r.tenant_id for r in store.find(spark, at, tenant_id=[5, 59999]).collect()) == [5, 59999]
+    assert store.find(spark, f"{at}-none", tenant_id=1) is None
+
+
+def test_selections(spark):
+    users = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, None)], "user_id long, group_ids array<string>")
+    assert [r.user_id for r in store.members(users, ["b", "x"]).collect()] == [1] and store.members(users, []).count() == 0
+    mails = spark.createDataFrame([("Lee-X", "1"), ("bo", "2"), (None, "3")] + [("cy", str(i)) for i in range(12)], "owner string, id string")
+    assert {r.id for r in mail.of_accounts(mails, ["lee", "bo"]).collect()} == {"1", "2"} and mail.of_accounts(mails, []).count() == 15
+    assert {r.owner for r in mail.enough(mails, "owner").collect()} == {"cy"}
+    own = spark.createDataFrame([("word " * 25,), ("both " * 25,), ("short",)], "body string")
+    got = {(r.body.split(" ")[0], r.label) for r in mail.labelled(own, [spark.createDataFrame([("both " * 25,), ("other " * 25,)], "body string")]).collect()}
+    assert got == {("word", 1.0), ("both", 1.0), ("other", 0.0)}
