@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import feature_queries, metric_queries, model_queries, page_queries, profile_queries, risk_queries, service_queries, time_queries
+from .plans import feature_queries, metric_queries, model_queries, page_queries, portrait, profile_queries, risk_queries, service_queries, time_queries
 
-PLANS = (risk_queries, service_queries, profile_queries, feature_queries, metric_queries, model_queries, page_queries, time_queries)
+PLANS = (risk_queries, service_queries, profile_queries, feature_queries, metric_queries, model_queries, page_queries, portrait, time_queries)
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexicons import CONFIDENCE, FALSE_POSITIVE, PAYLOAD, SENSITIVE, SOFT, SOFT_AMPLIFIER
@@ -115,6 +115,13 @@ def sensitive_summary(found: Column) -> Column:
     return F.struct((F.size(found) > 0).alias("has_sensitive_data"), total.alias("total_matches"), F.get(F.array(*[F.lit(c) for c in CONFIDENCE]), rank).alias("highest_confidence"), tags.alias("compliance_tags"), action.alias("recommended_action"))
 
 
+def scan_sensitive(rows: DataFrame, text: str = "body", subject: str | None = "subject", min_confidence: str = "medium") -> DataFrame:
+    """rows with matches (by pattern) and scan, the summary of them: sensitive data in subject and text. Null texts count as empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ((subject, text) if subject else (text,))]
+    found = rows.withColumn("matches", sensitive_matches(F.concat_ws("\n", *parts), min_confidence))
+    return found.withColumn("scan", sensitive_summary(F.col("matches")))
+
+
 def normalised_style(s: Column) -> Column:
     """Piecewise linear through (0, 0), (.002, .2), (.007, .5), (.02, .9), (.3, 1)."""
     points = [(0.0, 0.0), (0.002, 0.2), (0.007, 0.5), (0.02, 0.9), (0.3, 1.0)]

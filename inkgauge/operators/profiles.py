@@ -146,11 +146,11 @@ def author_profiles(messages: DataFrame) -> DataFrame:
     return out.select("author", "messages", "total_words", "avg_words", "grade", "contraction_ratio", "exclamation_per_1000", "formality", label.alias("formality_label"), "perspective", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("greetings", "closings")])
 
 
-def score_messages(messages: DataFrame, profiles: DataFrame, policies: DataFrame | None = None, sensitive_action: Column | None = None) -> DataFrame:
+def score_messages(messages: DataFrame, profiles: DataFrame, policies: DataFrame | None = None, sensitive_action: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """msg_id, the eight deviations (null where a check doesn't apply), score and verdict of each message.
 
     policies has author, warn and hold; without a policy the limits are .35 and .55. A message without a profile is
-    unknown. sensitive_action is the action of a scan for sensitive data: hold forces hold, warn lifts pass to warn.
+    unknown. keep names columns of messages that stay. sensitive_action is the action of a scan for sensitive data: hold forces hold, warn lifts pass to warn.
     """
     b = F.col("body")
     m = messages.withColumns({"__n": F.size(T.fields(b)).cast("double"), "__g": T.quick_grade(b), "__f": T.quick_formality(b), "__c": T.contraction_ratio(b), "__hi": T.message_greeting(b), "__bye": T.message_closing(b), "__x": T.matches(b, "!").cast("double"), "__p": T.perspective(b)})
@@ -183,7 +183,7 @@ def score_messages(messages: DataFrame, profiles: DataFrame, policies: DataFrame
     verdict = F.when(F.col("__score") >= F.coalesce("hold", F.lit(HOLD)), "hold").when(F.col("__score") >= F.coalesce("warn", F.lit(WARN)), "warn").otherwise("pass")
     verdict = F.when(F.col("__action") == "hold", "hold").when((F.col("__action") == "warn") & (verdict == "pass"), "warn").otherwise(verdict)
     verdict = F.when(known, verdict).when(F.col("__action").isin("hold", "warn"), F.col("__action")).otherwise("unknown")
-    return j.select("msg_id", *[F.col(f"__d_{k}").alias(k) for k in WEIGHTS], F.col("__score").alias("score"), verdict.alias("verdict"))
+    return j.select("msg_id", *(keep or []), *[F.col(f"__d_{k}").alias(k) for k in WEIGHTS], F.col("__score").alias("score"), verdict.alias("verdict"))
 
 
 # What an author never does, and what differs from the recipient's baseline.

@@ -15,17 +15,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over the cores if its files are fewer: a file of one row group is one task, whatever is computed of its texts."""
+    """df dealt over the cores if its tasks would be fewer: a small file is one task, whatever is computed of its texts.
+
+    Large files are split by the reader and stay as they are, however few they are.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """msg_id, author, recipients, subject, body, sent.
+def messages(spark: SparkSession, sf: str | DataFrame) -> DataFrame:
+    """msg_id, author, recipients, subject, body, sent. In place of a folder sf may be messages that are at hand.
 
     Documents have no recipients, subjects and times. Their language stands for the recipient, every fourth answers, and
     a time follows from the number.
     """
+    if isinstance(sf, DataFrame):
+        return sf
     sent = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 500000 * 37 as int))")
     subject = F.concat(F.when(F.col("doc_id") % 4 == 0, "Re: ").otherwise(""), F.coalesce("source", F.lit("")))
     return spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text")).select(F.col("doc_id").alias("msg_id"), F.col("source").alias("author"), F.concat(F.coalesce("lang", F.lit("xx")), F.lit("@example.org")).alias("recipients"), subject.alias("subject"), F.coalesce("text", F.lit("")).alias("body"), sent.alias("sent"))

@@ -196,9 +196,12 @@ def sentence_stats(spark, sf):
     """Sentence lengths of each author: mean, upper median, bands, share of questions and exclamations."""
     m = messages(spark, sf)
     s = m.select("author", F.explode(T.marks(F.col("body"))).alias("s")).select("author", F.size(T.fields(F.col("s"))).cast("long").alias("n"))
-    r = s.withColumn("r", F.row_number().over(Window.partitionBy("author").orderBy("n"))).withColumn("k", F.count("*").over(Window.partitionBy("author")))
-    band = lambda a, b: F.count_if(F.col("n").between(a, b))
-    g = r.groupBy("author").agg(F.count("*").alias("sentences"), F.round(F.avg("n"), 6).alias("mean"), F.max(F.when(F.col("r") == F.floor(F.col("k") / 2) + 1, F.col("n"))).alias("upper_median"), band(0, 8).alias("short"), band(9, 20).alias("medium"), band(21, 35).alias("long"), F.count_if(F.col("n") > 35).alias("very_long"))
+    by = s.groupBy("author", "n").agg(F.count("*").alias("k"))  # lengths are few, however many sentences have them
+    here = Window.partitionBy("author")
+    r = by.withColumn("upto", F.sum("k").over(here.orderBy("n"))).withColumn("total", F.sum("k").over(here))
+    band = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
+    n = F.col("n")
+    g = r.groupBy("author").agg(F.sum("k").alias("sentences"), F.round(F.sum(n * F.col("k")) / F.sum("k"), 6).alias("mean"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), n)).alias("upper_median"), band(n <= 8).alias("short"), band(n.between(9, 20)).alias("medium"), band(n.between(21, 35)).alias("long"), band(n > 35).alias("very_long"))
     p = m.groupBy("author").agg(F.sum(T.matches(F.col("body"), "[?]")).alias("questions"), F.sum(T.matches(F.col("body"), "!")).alias("exclamations"))
     return g.join(p, "author")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import risk
+from ..operators import profiles as P
 
 
 def once(stream: DataFrame, id_col: str, time_col: str, within: str = "1 day") -> DataFrame:
@@ -28,6 +29,19 @@ def scored(stream: DataFrame, text_col: str, policies: DataFrame | None = None,
     return rows.withColumn("verdict", verdict).drop("hits")
 
 
+def judged(messages: DataFrame, profiles: DataFrame, policies: DataFrame | None = None, min_confidence: str = "medium", block_at: float = 0.9) -> DataFrame:
+    """Each message with payload, sensitive_action, the deviations from its author's profile, score and verdict; of a stream or a table.
+
+    profiles are author_profiles, policies have author, warn and hold. The verdict is that of score_messages (deviations,
+    policy and sensitive data), and block where the payload's score is block_at or more. A map and joins with tables: no state.
+    """
+    text = F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))
+    rows = messages.withColumn("payload", risk.payload_score(risk.payload_hits(text)))
+    rows = risk.scan_sensitive(rows, min_confidence=min_confidence).withColumn("sensitive_action", F.col("scan.recommended_action"))
+    scored_rows = P.score_messages(rows, profiles, policies, F.col("sensitive_action"), keep=["payload", "sensitive_action"])
+    return scored_rows.withColumn("verdict", F.when(F.col("payload") >= block_at, "block").otherwise(F.col("verdict")))
+
+
 def counts_by_hour(stream: DataFrame, time_col: str, key: str, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, "1 hour"), key).agg(F.count("*").alias("n"))
 
