@@ -118,8 +118,9 @@ def sensitive_summary(found: Column) -> Column:
 def scan_sensitive(rows: DataFrame, text: str = "body", subject: str | None = "subject", min_confidence: str = "medium") -> DataFrame:
     """rows with matches (by pattern) and scan, the summary of them: sensitive data in subject and text. Null texts count as empty."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ((subject, text) if subject else (text,))]
-    found = rows.withColumn("matches", sensitive_matches(F.concat_ws("\n", *parts), min_confidence))
-    return found.withColumn("scan", sensitive_summary(F.col("matches")))
+    # explode of one element holds what is computed above it: no later expression repeats it
+    found = rows.select("*", F.explode(F.array(sensitive_matches(F.concat_ws("\n", *parts), min_confidence))).alias("matches"))
+    return found.select("*", F.explode(F.array(sensitive_summary(F.col("matches")))).alias("scan"))
 
 
 def normalised_style(s: Column) -> Column:

@@ -36,7 +36,8 @@ def judged(messages: DataFrame, profiles: DataFrame, policies: DataFrame | None
     policy and sensitive data), and block where the payload's score is block_at or more. A map and joins with tables: no state.
     """
     text = F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))
-    rows = messages.withColumn("payload", risk.payload_score(risk.payload_hits(text)))
+    hits = messages.select("*", F.explode(F.array(risk.payload_hits(text))).alias("__hits"))
+    rows = hits.select(*messages.columns, F.explode(F.array(risk.payload_score(F.col("__hits")))).alias("payload"))
     rows = risk.scan_sensitive(rows, min_confidence=min_confidence).withColumn("sensitive_action", F.col("scan.recommended_action"))
     scored_rows = P.score_messages(rows, profiles, policies, F.col("sensitive_action"), keep=["payload", "sensitive_action"])
     return scored_rows.withColumn("verdict", F.when(F.col("payload") >= block_at, "block").otherwise(F.col("verdict")))
