@@ -68,8 +68,9 @@ CATCH = "clean AS (SELECT signal, score, row_number() OVER (PARTITION BY signal
 def score_stats(spark, sf):
     """Mean, median, spread and 95th percentile (interpolated, and by place) of clean scores."""
     s = long_signals(spark, sf).where("toxic <> 1")
-    r6 = lambda c, a: F.round(c, 6).alias(a)
-    blocks = s.groupBy("signal").agg(r6(F.avg("score"), "mean"), r6(F.percentile("score", F.lit(0.5)), "median"), r6(F.stddev_pop("score"), "sd"), r6(F.percentile("score", F.lit(0.95)), "p95"))
+    # scores have six places, so what lies between two of them has eight and is no tie
+    r = lambda c, a, places=6: F.round(c, places).alias(a)
+    blocks = s.groupBy("signal").agg(r(F.avg("score"), "mean"), r(F.percentile("score", F.lit(0.5)), "median", 9), r(F.stddev_pop("score"), "sd"), r(F.percentile("score", F.lit(0.95)), "p95", 9))
     g = s.groupBy("signal", "score").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("signal").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
     g = g.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy("signal"))})
@@ -163,7 +164,7 @@ SQL = {
     "per_feature_auc": f"WITH {LONG}, {AUC} SELECT signal, auc, round(abs(auc - 0.5), 6) AS strength FROM aucs",
     "roc_curve": f"WITH {LONG}, g AS (SELECT score, CAST(count(*) FILTER (toxic = 1) AS DOUBLE) AS p, CAST(count(*) FILTER (toxic <> 1) AS DOUBLE) AS n FROM long WHERE signal = 'composite' GROUP BY score) SELECT score, round(sum(p) OVER (ORDER BY score DESC) / sum(p) OVER (), 6) AS tpr, round(sum(n) OVER (ORDER BY score DESC) / sum(n) OVER (), 6) AS fpr FROM g",
     "catch_at_fpr": f"WITH {LONG}, {CATCH} SELECT * FROM catches",
-    "score_stats": f"WITH {LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY score, doc_id) AS r, count(*) OVER (PARTITION BY signal) AS n FROM long WHERE toxic <> 1) SELECT signal, {STAT('score', 0)}, round(quantile_cont(score, 0.95), 6) AS p95, max(CASE WHEN r = floor(n * 0.95) + 1 THEN score END) AS p95_by_place FROM r GROUP BY signal",
+    "score_stats": f"WITH {LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY score, doc_id) AS r, count(*) OVER (PARTITION BY signal) AS n FROM long WHERE toxic <> 1) SELECT signal, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 9) AS median, round(stddev_pop(score), 6) AS sd, round(quantile_cont(score, 0.95), 9) AS p95, max(CASE WHEN r = floor(n * 0.95) + 1 THEN score END) AS p95_by_place FROM r GROUP BY signal",
     "calibration_ece": f"WITH {LONG}, g AS (SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, count(*) AS n, avg(score) AS mean, avg(CAST(toxic AS DOUBLE)) AS share FROM long WHERE signal = 'composite' GROUP BY 1) SELECT bin, n, round(mean, 6) AS mean, round(share, 6) AS share, round(n / CAST(sum(n) OVER () AS DOUBLE) * abs(mean - share), 6) AS gap FROM g",
     "ship_gate": f"WITH {LONG}, {CATCH}, v AS (SELECT round(avg(CASE WHEN verdict <> 'pass' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS false_flags FROM composed WHERE toxic <> 1) SELECT false_flags, catch, false_flags <= 0.03 AND catch >= 0.85 AS ships FROM v, catches WHERE signal = 'composite' AND rate = 0.02::DOUBLE",
     "verdicts_by_label": f"WITH {COMPOSED} SELECT CAST(toxic AS BIGINT) AS toxic, verdict, count(*) AS n FROM composed GROUP BY ALL",
