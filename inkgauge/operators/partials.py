@@ -111,16 +111,19 @@ def manifest(messages: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in ("author", "recipients", "sent", "subject", "body")]), {"ignoreNullFields": "false"}), 256)
 
 
-def add_mail(messages: DataFrame, path: str, measure, key: str | None = "addresses") -> dict[str, int]:
+def add_mail(messages: DataFrame, path: str, measure, key: str | None = "addresses", known_by: Column | None = None) -> dict[str, int]:
     """Adds to the cells kept at path those of messages that they don't hold yet; returns how many were new and known.
 
+    A message is known by its manifest, so that equal mail counts once, or else by known_by: where messages have numbers of their own,
+    equal ones under two numbers are two.
+
     The digests of the messages lie in the same version of the table as their cells, so that a job that is lost or runs again adds
     each message once, whatever batches it comes in. measure makes measured messages of messages. Of two writers the second goes on top
     of the first.
     """
     spark = messages.sparkSession
     with scope(spark):
-        came = written(messages.withColumn("__digest", manifest(messages)).dropDuplicates(["__digest"]))
+        came = written(messages.withColumn("__digest", manifest(messages) if known_by is None else known_by.cast("string")).dropDuplicates(["__digest"]))
         counts = {}
 
         def grown(old: DataFrame | None) -> DataFrame:
