@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def rounded_as_sql(x: Column, places: int = 6) -> Column:
+    """x rounded as the SQL's engine does it: x times ten to the places, half away from zero.
+
+    F.round goes by the decimal digits, so that the engines part where x is within a bit of a tie, as shares of rounded scores often are.
+    """
+    scale = 10.0**places
+
+    def part(v: Column) -> Column:
+        whole = F.floor(F.abs(v) * scale).cast("double")
+        up = F.when(F.abs(v) * scale - whole >= 0.5, 1.0).otherwise(0.0)
+        return F.when(F.abs(v) * scale < 2.0**52, F.signum(v) * (whole + up) / scale).otherwise(v)
+
+    return F.get(F.transform(F.array(x), part), F.lit(0))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over the cores if its tasks would be fewer: a small file is one task, whatever is computed of its texts.
 

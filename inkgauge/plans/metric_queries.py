@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .base import MESSAGES, messages, table
+from .base import MESSAGES, messages, rounded_as_sql, table
 from .risk_queries import COMPOSED, composed
 
 
@@ -27,7 +27,7 @@ def auc(scores: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
 def long_signals(spark, sf) -> DataFrame:
     """One row for each document and signal."""
     s = composed(spark, sf).withColumn("composite", F.col("v.composite"))
-    return s.select("doc_id", "toxic", F.expr("stack(4, 'style', style, 'context', context, 'payload', payload, 'composite', composite) as (signal, score)")).withColumn("score", F.round("score", 6))
+    return s.select("doc_id", "toxic", F.expr("stack(4, 'style', style, 'context', context, 'payload', payload, 'composite', composite) as (signal, score)")).withColumn("score", rounded_as_sql(F.col("score")))
 
 
 LONG = f"{COMPOSED}, long AS (SELECT doc_id, toxic, 'style' AS signal, round(style, 6) AS score FROM composed UNION ALL SELECT doc_id, toxic, 'context', round(context, 6) FROM composed UNION ALL SELECT doc_id, toxic, 'payload', round(payload, 6) FROM composed UNION ALL SELECT doc_id, toxic, 'composite', round(composite, 6) FROM composed)"
@@ -48,7 +48,7 @@ def roc_curve(spark, sf):
     g = long_signals(spark, sf).where("signal = 'composite'").groupBy("score").agg(F.sum((F.col("toxic") == 1).cast("double")).alias("p"), F.sum((F.col("toxic") != 1).cast("double")).alias("n"))
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
-    return g.select("score", F.round(F.sum("p").over(w) / F.sum("p").over(every), 6).alias("tpr"), F.round(F.sum("n").over(w) / F.sum("n").over(every), 6).alias("fpr"))
+    return g.select("score", rounded_as_sql(F.sum("p").over(w) / F.sum("p").over(every)).alias("tpr"), rounded_as_sql(F.sum("n").over(w) / F.sum("n").over(every)).alias("fpr"))
 
 
 def catch_at_fpr(spark, sf):

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.lexicons import PAYLOAD, SOFT, SOFT_AMPLIFIER
 from ..shared import written
 from . import feature_queries as features
-from .base import MESSAGES, messages, quoted, table
+from .base import MESSAGES, messages, quoted, rounded_as_sql, table
 
 CARD = risk.SENSITIVE[0][1]
 ALL = [(c, w, p) for c, ps in PAYLOAD.items() for w, p in ps]
@@ -76,7 +76,7 @@ _signals: dict[tuple[str, str], DataFrame] = {}
 def context_score(v: DataFrame) -> DataFrame:
     """msg_id, context: how far a message is from what its recipient gets: length, reply or not, known or not, marks; 1 where two of the four are fully off."""
     far = lambda c: F.least(F.lit(1.0), F.abs(F.col(c)) / F.lit(3.0))
-    return v.select("msg_id", F.round(F.least(F.lit(1.0), (far("wc_z_rec") + F.col("reply_mismatch") + (1 - F.col("rec_is_known")) + far("exclamation_z")) / F.lit(2.0)), 6).alias("context"))
+    return v.select("msg_id", rounded_as_sql(F.least(F.lit(1.0), (far("wc_z_rec") + F.col("reply_mismatch") + (1 - F.col("rec_is_known")) + far("exclamation_z")) / F.lit(2.0))).alias("context"))
 
 
 def signals(spark, sf) -> DataFrame:
@@ -111,7 +111,7 @@ def composed(spark, sf) -> DataFrame:
 
 
 def compose_verdict(spark, sf) -> DataFrame:
-    return composed(spark, sf).select("doc_id", "v.verdict", F.round("v.composite", 6).alias("composite"), "v.reason")
+    return composed(spark, sf).select("doc_id", "v.verdict", rounded_as_sql(F.col("v.composite")).alias("composite"), "v.reason")
 
 
 def reason_distribution(spark, sf) -> DataFrame:
