@@ -10,7 +10,23 @@ from pyspark.sql import functions as F
 from .lexicons import CONFIDENCE, FALSE_POSITIVE, PAYLOAD, SENSITIVE, SOFT, SOFT_AMPLIFIER
 
 
-ANY = {c: "(?i)(?:" + "|".join(p for _, p in ps) + ")" for c, ps in PAYLOAD.items()}
+def alternatives(pattern: str) -> list[str]:
+    """Parts of a pattern between bars outside groups."""
+    out, depth = [""], 0
+    for ch in pattern:
+        depth += (ch == "(") - (ch == ")")
+        out = [*out, ""] if ch == "|" and not depth else [*out[:-1], out[-1] + ch]
+    return out
+
+
+def either(patterns: list[str]) -> str:
+    """One pattern for any of patterns. Where all begin at a word's edge, the edge is looked for once, not once for each of them."""
+    parts = [a for p in patterns for a in alternatives(p)]
+    return "(?i)" + (r"\b(?:" + "|".join(a[2:] for a in parts) if all(a.startswith(r"\b") for a in parts) else "(?:" + "|".join(parts)) + ")"
+
+
+ANY = {c: either([p for _, p in ps]) for c, ps in PAYLOAD.items()}
+ANY_AT_ALL = either([p for ps in PAYLOAD.values() for _, p in ps])
 
 
 def payload_hits(text: Column) -> Column:
@@ -21,8 +37,7 @@ def payload_hits(text: Column) -> Column:
     none = F.array().cast("array<struct<category:string,weight:double,match:string>>")
     hit = lambda c, w, p: F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(c).alias("category"), F.lit(w).alias("weight"), F.substring(F.regexp_extract(text, f"(?i){p}", 0), 1, 80).alias("match")))
     made = [F.when(text.rlike(ANY[c]), F.filter(F.array(*[hit(c, w, p) for w, p in ps]), lambda x: x.isNotNull())).otherwise(none) for c, ps in PAYLOAD.items()]
-    any_ = "(?i)(?:" + "|".join(p for ps in PAYLOAD.values() for _, p in ps) + ")"
-    return F.when(text.rlike(any_), F.concat(*made)).when(text.isNotNull(), none)
+    return F.when(text.rlike(ANY_AT_ALL), F.concat(*made)).when(text.isNotNull(), none)
 
 
 def category_weight(hits: Column, category: str) -> Column:

@@ -129,7 +129,7 @@ def author_profiles(messages: DataFrame) -> DataFrame:
     count = lambda ws: F.sum(T.matches(F.col("__low"), rf"\b(?:{ws})\b"))
     g = m.groupBy("author").agg(
         F.count("*").alias("messages"), F.avg("__n").alias("avg_words"), F.sum("__n").alias("total_words"), F.sum(F.size("__w").cast("long")).cast("double").alias("__W"), F.sum("__s").cast("double").alias("__S"),
-        F.sum(syllables(F.col("__w"))).cast("double").alias("__Y"), F.sum(T.contractions(b)).cast("double").alias("__c"), F.sum(T.expansions(b)).cast("double").alias("__e"), F.sum(T.matches(b, "!")).cast("double").alias("__x"),
+        F.sum(syllables(F.col("__w"))).cast("double").alias("__Y"), F.sum(T.matches(F.col("__low"), T.CONTRACTION)).cast("double").alias("__c"), F.sum(T.matches(F.col("__low"), T.EXPANDED)).cast("double").alias("__e"), F.sum(T.matches(b, "!")).cast("double").alias("__x"),
         count("i|me|my|mine").alias("__self"), count("we|us|our|ours").alias("__team"), count("you|your|yours").alias("__you"),
     )
     ratio = F.coalesce(F.try_divide(F.col("__c"), F.col("__c") + F.col("__e")), F.lit(0.0))

@@ -19,13 +19,14 @@ def rounded(df, places=6):
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def context_features(spark, sf):
-    """The 20 context values of each message against its recipient's profile and the global one."""
+def context_features(spark, sf, of=None):
+    """The 20 context values of each message (or of those of the msg_ids in of) against its recipient's profile and the global one."""
     m = messages(spark, sf)
     rows = written(P.measured(m))
     every = partials.finished(partials.cells(rows))
     one = F.col("address") == partials.GLOBAL
-    return rounded(P.context_vector(m, every.where(~one), every.where(one), SELF, rows=rows))
+    mine = rows if of is None else rows.join(of, "msg_id", "left_semi")
+    return rounded(P.context_vector(m, every.where(~one), every.where(one), SELF, rows=mine))
 
 
 def profile_meta(spark, sf):
@@ -38,10 +39,10 @@ def author_profiles(spark, sf):
     return rounded(p.select("author", "messages", "avg_words", "grade", "contraction_ratio", "exclamation_per_1000", "formality", "formality_label", "perspective", F.array_join("greetings", "|").alias("greetings"), F.array_join("closings", "|").alias("closings")))
 
 
-def deviation_score(spark, sf):
-    """Each message against its author's profile: eight checks, score and verdict."""
+def deviation_score(spark, sf, of=None):
+    """Each message (or each of those in of) against its author's profile: eight checks, score and verdict."""
     m = messages(spark, sf)
-    return rounded(P.score_messages(m, P.author_profiles(m)))
+    return rounded(P.score_messages(m if of is None else of, P.author_profiles(m)))
 
 
 def message_traits(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import risk
 from ..functions import text as T
 from ..functions.lexicons import PAYLOAD, SOFT, SOFT_AMPLIFIER
-from ..shared import written
+from ..shared import scope, written
 from . import feature_queries as features
 from .base import MESSAGES, messages, quoted, rounded_as_sql, table
 
@@ -84,15 +84,20 @@ def signals(spark, sf) -> DataFrame:
 
     The composer's limits of style are for a probability that is rarely above .02; deviations are scaled so that .35, at which
     a deviation warns by itself, is .02.
+    Profiles are those of all messages; what only labelled documents are asked is computed of these alone.
     Many queries read these scores: they are written once in a session for a folder.
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _signals:
-        style = features.deviation_score(spark, sf).select("msg_id", (F.coalesce("score", F.lit(0.0)) / F.lit(17.5)).alias("style"))
-        payload = scored(spark, sf).select("msg_id", F.round("score", 6).alias("payload"))
-        labels = table(spark, sf, "labels").select(F.col("doc_id").alias("msg_id"), "toxic")
-        j = labels.join(style, "msg_id").join(context_score(features.context_features(spark, sf)), "msg_id").join(payload, "msg_id")
-        _signals[key] = written(j.select(F.col("msg_id").alias("doc_id"), "toxic", "style", "context", "payload"), -99)
+        with scope(spark):
+            labels = table(spark, sf, "labels").select(F.col("doc_id").alias("msg_id"), "toxic")
+            ids = labels.select("msg_id").distinct()
+            mine = written(messages(spark, sf).join(ids, "msg_id", "left_semi"))
+            style = features.deviation_score(spark, sf, mine).select("msg_id", (F.coalesce("score", F.lit(0.0)) / F.lit(17.5)).alias("style"))
+            payload = scored(spark, mine).select("msg_id", F.round("score", 6).alias("payload"))
+            context = context_score(features.context_features(spark, sf, ids))
+            j = labels.join(style, "msg_id").join(context, "msg_id").join(payload, "msg_id")
+            _signals[key] = written(j.select(F.col("msg_id").alias("doc_id"), "toxic", "style", "context", "payload"), -99)
     return _signals[key]
 
 
