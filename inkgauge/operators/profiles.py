@@ -17,6 +17,7 @@ KNOWN = 3  # sends that make a recipient known
 RATES = {"dash": "—|--", "ellipsis": r"\.{3,}|…", "exclamation": "!"}
 WEIGHTS = {"word_count": 0.1, "readability": 0.15, "formality": 0.15, "contractions": 0.1, "greeting": 0.15, "closing": 0.1, "exclamation_energy": 0.1, "perspective_shift": 0.15}
 WARN, HOLD = 0.35, 0.55
+BROADCAST_GRAMS = 200_000  # some 20 MB
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -200,9 +201,12 @@ def negative_space(real: DataFrame, messages: DataFrame, body: str = "body") ->
     seen = r.select(F.explode(grams(T.words(F.col("t")))).alias("gram")).groupBy("gram").count().where("count >= 2").select("gram", F.lit(1).alias("seen"))
     uses = r.agg(F.coalesce(F.max(F.col("t").contains("—")), F.lit(False)).alias("r_dash"), F.coalesce(F.max(F.col("t").contains("…") | F.col("t").contains("...")), F.lit(False)).alias("r_dots"))
     m = messages.select("msg_id", F.coalesce(F.col("body"), F.lit("")).alias("t")).withColumns({"w": T.words(F.col("t")), "o4": T.opening_phrase(F.col("t")), "c": T.closing_phrase(F.col("t")), "dash": F.col("t").contains("—"), "dots": F.col("t").contains("…") | F.col("t").contains("...")})
-    # equal grams of a message go as one row with their number
-    g = m.select("msg_id", F.explode(grams(F.col("w"))).alias("gram")).groupBy("msg_id", "gram").agg(F.count("*").alias("k"))
-    j = g.join(small(seen), "gram", "left").withColumn("n", F.when(F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) == 1, 2).otherwise(3))
+    seen, g = small(seen), m.select("msg_id", F.explode(grams(F.col("w"))).alias("gram"))
+    if seen.count() <= BROADCAST_GRAMS:  # each task looks up and counts its own messages' grams, and only counts move
+        j = g.withColumn("k", F.lit(1).cast("long")).join(F.broadcast(seen), "gram", "left")
+    else:  # equal grams of a message go as one row with their number
+        j = g.groupBy("msg_id", "gram").agg(F.count("*").alias("k")).join(seen, "gram", "left")
+    j = j.withColumn("n", F.when(F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) == 1, 2).otherwise(3))
     total = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
     new = F.col("seen").isNull()
     by = j.groupBy("msg_id").agg(total((F.col("n") == 2) & new).alias("v2"), total(F.col("n") == 2).alias("n2"), total((F.col("n") == 3) & new).alias("v3"), total(F.col("n") == 3).alias("n3"))
