@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -25,63 +29,125 @@ from ..shared import scope, written
 
 PERCENTS = [k / 100 for k in range(101)]
 ROWS_A_TASK = 4096  # of the sample; many small tasks would cost each round of boosting more than they save
+SAMPLE_TASKS = 32  # that prepare the sample, which a limit leaves in one task for each class
+
+
+CACHE = 200_000  # words whose grams a task remembers, each of LONG_WORD characters at most
+LONG_WORD = 64
 
 
 def word_grams(text: Column) -> Column:
     """Runs of 3 to 5 characters within lower-cased words that have a blank at both ends."""
+    return _runs(T.fields(F.lower(text)))
+
+
+def _runs(words: Column) -> Column:
     runs = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(T.fields(F.lower(text)), lambda x: F.flatten(F.transform(F.array(F.concat(F.lit(" "), x, F.lit(" "))), lambda w: F.concat(*[runs(w, n) for n in (3, 4, 5)])))))
+    return F.flatten(F.transform(words, lambda x: F.flatten(F.transform(F.array(F.concat(F.lit(" "), x, F.lit(" "))), lambda w: F.concat(*[runs(w, n) for n in (3, 4, 5)])))))
 
 
-def prepared(rows: DataFrame, text: str, style: list[str]) -> DataFrame:
-    """rows with __dense (the style columns and the share of each function word) and __grams of the cleaned text."""
-    made = rows.withColumn("__t", T.strip_artifacts(F.coalesce(F.col(f"`{text}`"), F.lit("")))).withColumn("__w", T.words(F.col("__t"))).withColumn("__grams", word_grams(F.col("__t")))
+def prepared(rows: DataFrame, text: str, style: list[str], cleaned: bool = False) -> DataFrame:
+    """rows with __dense (the style columns and the share of each function word) and __low, the cleaned text in lower case."""
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    made = rows.withColumn("__t", own if cleaned else T.strip_artifacts(own)).withColumn("__w", T.words(F.col("__t"))).withColumn("__low", F.lower("__t"))
     made = CountVectorizerModel.from_vocabulary(list(FUNCTION_WORDS), inputCol="__w", outputCol="__f").transform(made)
     shares = F.transform(vector_to_array("__f"), lambda c: c / F.greatest(F.size("__w"), F.lit(1)))
     return made.withColumn("__dense", F.concat(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in style]), shares)).drop("__t", "__w", "__f")
 
 
+class _Places(dict):
+    """Places of a word's grams in a vocabulary, by word; words that were met are remembered."""
+
+    def __init__(self, vocabulary: list[str]):
+        super().__init__()
+        self.place = {g: i for i, g in enumerate(vocabulary)}
+
+    def __missing__(self, word: str) -> list[int]:
+        w, place = f" {word} ", self.place
+        found = [place[g] for n in (3, 4, 5) for i in range(len(w) - n + 1) if (g := w[i : i + n]) in place] if word else []
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def _weigher(parts: list[dict]):
+    """Lower-cased text to (1 + ln tf) idf of each part's grams, of length 1 for each part, one part after the other."""
+    union = sorted({g for p in parts for g in p["vocabulary"]})
+    at = {g: i for i, g in enumerate(union)}
+    takes = [(np.array([at[g] for g in p["vocabulary"]], np.int64), np.array(p["idf"], float)) for p in parts]
+
+    @F.pandas_udf("array<double>")
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places, parted = _Places(union), str.maketrans("\t\r\n", "   ")
+
+        def one(text: str) -> np.ndarray:
+            held = np.fromiter(chain.from_iterable(map(places.__getitem__, text.translate(parted).split(" "))), np.int64)
+            tf = np.bincount(held, minlength=len(union))
+            weights = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0.0)
+            each = [weights[take] * idf for take, idf in takes]
+            return np.concatenate([w / (math.sqrt(w @ w) or 1.0) for w in each])
+
+        for texts in batches:
+            yield pd.Series([one(t) for t in texts], dtype=object)
+
+    return weigh
+
+
+def weighed(made: DataFrame, parts: list[dict], outs: list[str]) -> DataFrame:
+    """made with a vector for each part: dense values put in scale, then the weights of the part's grams."""
+    made, begin = made.withColumn("__v", _weigher(parts)("__low")), 1
+    for part, out in zip(parts, outs, strict=True):
+        scaled = F.zip_with(F.zip_with("__dense", F.lit(part["mean"]), lambda x, m: x - m), F.lit(part["std"]), lambda x, s: x / s)
+        made = made.withColumn(out, array_to_vector(F.concat(scaled, F.slice("__v", begin, len(part["vocabulary"])))))
+        begin += len(part["vocabulary"])
+    return made.drop("__v")
+
+
 def vectors(made: DataFrame, part: dict, out: str) -> DataFrame:
-    """made with a vector out: dense values put in scale, then (1 + ln tf) idf of the part's grams, of length 1."""
-    counted = CountVectorizerModel.from_vocabulary(part["vocabulary"], inputCol="__grams", outputCol="__c").transform(made) if part["vocabulary"] else made.withColumn("__c", array_to_vector(F.array().cast("array<double>")))
-    scaled = F.zip_with(F.zip_with("__dense", F.lit(part["mean"]), lambda x, m: x - m), F.lit(part["std"]), lambda x, s: x / s)
-    weighed = F.zip_with(vector_to_array("__c"), F.lit(part["idf"]).cast("array<double>"), lambda c, w: F.when(c > 0, (F.lit(1.0) + F.log(c)) * w).otherwise(0.0))
-    length = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x * x))
-    both = counted.withColumn("__v", weighed).withColumn("__l", length)
-    unit = F.transform("__v", lambda x: F.when(F.col("__l") > 0, x / F.col("__l")).otherwise(0.0))
-    return both.withColumn(out, array_to_vector(F.concat(scaled, unit))).drop("__c", "__v", "__l")
+    """As weighed, for one part."""
+    return weighed(made, [part], [out])
 
 
 class StyleEstimator(Estimator):
     """text and style name columns of rows; label is 0 or 1, rows without one are left out; most_labelled rows of each class are taken, by a
-    hash of their id."""
+    hash of their id. cleaned says that the text needs no cleaning any more."""
 
-    def __init__(self, text: str = "body", style: tuple[str, ...] = (), label: str = "label", id_col: str = "doc_id", rounds: int = 200, folds: int = 3, grams: int = 300, least: int = 3, most_labelled: int = 10_000):
+    def __init__(self, text: str = "body", style: tuple[str, ...] = (), label: str = "label", id_col: str = "doc_id", rounds: int = 200, folds: int = 3, grams: int = 300, least: int = 3, most_labelled: int = 10_000, cleaned: bool = False):
         super().__init__()
-        self.text, self.style, self.label, self.id = text, list(style), label, id_col
+        self.text, self.style, self.label, self.id, self.cleaned = text, list(style), label, id_col, cleaned
         self.rounds, self.folds, self.grams, self.least, self.most = rounds, folds, grams, least, most_labelled
 
+    def taken(self, rows: DataFrame) -> DataFrame:
+        """The labelled rows that a fit on rows takes: a fit on these is the same. rows need no more than id and label."""
+        y = F.col(f"`{self.label}`").cast("double")
+        known = rows.where(y.isNotNull() & F.col(f"`{self.id}`").isNotNull())
+        picked = [known.where(y == v).orderBy(F.xxhash64(F.col(f"`{self.id}`")), f"`{self.id}`").limit(self.most) for v in (0.0, 1.0)]
+        return picked[0].unionByName(picked[1])
+
     def _fit(self, dataset: DataFrame) -> StyleModel:
         with scope(dataset.sparkSession):
-            y = F.col(f"`{self.label}`").cast("double")
-            known = dataset.select(F.col(f"`{self.id}`").alias("__id"), y.alias("__y"), *[F.col(f"`{c}`") for c in dict.fromkeys([self.text, *self.style])]).where("__y is not null and __id is not null")
-            order = F.xxhash64("__id")
-            picked = [known.where(F.col("__y") == v).orderBy(order, "__id").limit(self.most) for v in (0.0, 1.0)]
-            made = prepared(picked[0].unionByName(picked[1]), self.text, self.style).withColumn("__fold", F.pmod(order, F.lit(self.folds)).cast("int"))
-            sample = written(made.select("__id", "__y", "__fold", "__dense", "__grams"))
+            known = dataset.select(F.col(f"`{self.id}`"), F.col(f"`{self.label}`"), *[F.col(f"`{c}`") for c in dict.fromkeys([self.text, *self.style]) if c not in (self.id, self.label)])
+            made = prepared(self.taken(known).repartition(SAMPLE_TASKS, F.col(f"`{self.id}`")), self.text, self.style, self.cleaned).select(F.col(f"`{self.id}`").alias("__id"), F.col(f"`{self.label}`").cast("double").alias("__y"), "__dense", "__low")
+            sample = written(made.withColumn("__fold", F.pmod(F.xxhash64("__id"), F.lit(self.folds)).cast("int")))
             size = {(r["__fold"], r["__y"]): r["n"] for r in sample.groupBy("__fold", "__y").agg(F.count("*").alias("n")).collect()}
             total = sum(size.values())
             if len({y for _, y in size}) < 2:
                 raise ValueError("rows of both classes are needed")
             cell = lambda f, v: F.sum(F.when((F.col("__fold") == f) & (F.col("__y") == v), 1).otherwise(0)).alias(f"n{f}_{v}")
             cells = [cell(f, v) for f in range(self.folds) for v in (0, 1)]
-            counts = written(sample.select("__fold", "__y", F.explode(F.array_distinct("__grams")).alias("gram")).groupBy("gram").agg(*cells))
+            grams = F.array_distinct(_runs(F.array_distinct(T.fields(F.col("__low")))))
+            counts = written(sample.select("__fold", "__y", F.explode(grams).alias("gram")).groupBy("gram").agg(*cells))
             tasks = max(1, math.ceil(total / ROWS_A_TASK))
             with ThreadPoolExecutor(self.folds) as pool:
-                parts = list(pool.map(lambda k: self._fold(sample, counts, size, k, tasks), range(self.folds)))
-            model = StyleModel(self.text, self.style, [p for p, _ in parts], [0.0] * len(PERCENTS))
+                chosen = list(pool.map(lambda k: self._part(sample, counts, size, k), range(self.folds)))
+                outs = [f"x{k}" for k in range(self.folds)]
+                ready = written(weighed(sample, chosen, outs).select("__id", "__y", "__fold", *outs))
+                parts = list(pool.map(lambda k: (chosen[k], *self._boosted(ready, k, tasks)), range(self.folds)))
+            model = StyleModel(self.text, self.style, [p[:3] for p in parts], [0.0] * len(PERCENTS), self.cleaned)
             held = None
-            for k, (_, scores) in enumerate(parts):
+            for *_, scores in parts:
                 held = scores if held is None else held.unionByName(scores)
             model.quantiles = [float(x) for x in held.agg(F.percentile("p", F.lit(PERCENTS))).first()[0]]
             return model
@@ -96,21 +162,22 @@ class StyleEstimator(Estimator):
         best = counts.where((df >= self.least) & (df < n0 + n1)).select("gram", df.alias("df"), chi.alias("chi")).orderBy(F.desc("chi"), "gram").limit(self.grams).collect()
         return [r.gram for r in best], [math.log((1 + n0 + n1) / (1 + r.df)) + 1 for r in best]
 
-    def _fold(self, sample: DataFrame, counts: DataFrame, size: dict, k: int, tasks: int) -> tuple[tuple, DataFrame]:
+    def _part(self, sample: DataFrame, counts: DataFrame, size: dict, k: int) -> dict:
+        """What the folds but k say of grams and scales."""
         vocabulary, idf = self._chosen(counts, size, k)
-        mine = F.col("__fold") == k
         width = len(self.style) + len(FUNCTION_WORDS)
         values = [F.get("__dense", F.lit(i)) for i in range(width)]
-        found = sample.where(~mine).agg(*[F.avg(v) for v in values], *[F.stddev_pop(v) for v in values]).first()
-        part = {"vocabulary": vocabulary, "idf": idf, "mean": [x or 0.0 for x in found[:width]], "std": [x or 1.0 for x in found[width:]]}
-        rows = vectors(sample, part, "x").select("__id", "__y", "__fold", "x").coalesce(tasks).persist()
-        try:
-            trees = GBTClassifier(featuresCol="x", labelCol="__y", maxDepth=3, maxIter=self.rounds, stepSize=0.1, seed=42, checkpointInterval=20).fit(rows.where(~mine))
-            margins = written(_margins(trees, rows.where(mine)).select("__y", "z"))
-        finally:
-            rows.unpersist()
+        found = sample.where(F.col("__fold") != k).agg(*[F.avg(v) for v in values], *[F.stddev_pop(v) for v in values]).first()
+        return {"vocabulary": vocabulary, "idf": idf, "mean": [x or 0.0 for x in found[:width]], "std": [x or 1.0 for x in found[width:]]}
+
+    def _boosted(self, ready: DataFrame, k: int, tasks: int) -> tuple[GBTClassificationModel, LogisticRegressionModel, DataFrame]:
+        """Trees by the folds but k, their curve on fold k and the probabilities there."""
+        mine = F.col("__fold") == k
+        rows = ready.select("__id", "__y", "__fold", F.col(f"x{k}").alias("x")).repartition(tasks, "__id").sortWithinPartitions("__id")  # the same on any number of cores
+        trees = GBTClassifier(featuresCol="x", labelCol="__y", maxDepth=3, maxIter=self.rounds, stepSize=0.1, seed=42, checkpointInterval=20).fit(rows.where(~mine))
+        margins = written(_margins(trees, rows.where(mine)).select("__y", "z"))
         curve = LogisticRegression(featuresCol="z", labelCol="__y", predictionCol="own", rawPredictionCol="raw", probabilityCol="p").fit(margins)
-        return (part, trees, curve), curve.transform(margins).select(vector_to_array("p")[1].alias("p"))
+        return trees, curve, curve.transform(margins).select(vector_to_array("p")[1].alias("p"))
 
 
 def _margins(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -122,9 +189,9 @@ def _margins(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 class StyleModel(Model, MLWritable, MLReadable):
     """Adds score (probability of label 1) and percentile (share of held-out scores at or below it, in hundredths)."""
 
-    def __init__(self, text: str, style: list[str], parts: list[tuple[dict, GBTClassificationModel, LogisticRegressionModel]], quantiles: list[float]):
+    def __init__(self, text: str, style: list[str], parts: list[tuple[dict, GBTClassificationModel, LogisticRegressionModel]], quantiles: list[float], cleaned: bool = False):
         super().__init__()
-        self.text, self.style, self.parts, self.quantiles = text, style, parts, quantiles
+        self.text, self.style, self.parts, self.quantiles, self.cleaned = text, style, parts, quantiles, cleaned
 
     def feature_names(self) -> list[list[str]]:
         """Of each fold's vectors."""
@@ -132,9 +199,10 @@ class StyleModel(Model, MLWritable, MLReadable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """A map over rows without a shuffle; rows' columns may have any names, but score and percentile are replaced."""
-        out = prepared(dataset.select(F.struct("*").alias("__row"), *[F.col(f"`{c}`").alias(f"__s{i}") for i, c in enumerate([self.text, *self.style])]), "__s0", [f"__s{i + 1}" for i in range(len(self.style))])
-        for k, (part, trees, curve) in enumerate(self.parts):
-            out = _margins(trees, vectors(out, part, "x"))
+        out = prepared(dataset.select(F.struct("*").alias("__row"), *[F.col(f"`{c}`").alias(f"__s{i}") for i, c in enumerate([self.text, *self.style])]), "__s0", [f"__s{i + 1}" for i in range(len(self.style))], self.cleaned)
+        out = weighed(out, [part for part, _, _ in self.parts], [f"__x{k}" for k in range(len(self.parts))])
+        for k, (_, trees, curve) in enumerate(self.parts):
+            out = _margins(trees, out.withColumnRenamed(f"__x{k}", "x"))
             out = curve.transform(out).withColumn(f"__p{k}", vector_to_array("p")[1]).drop("x", "z", "own", "raw", "p")
         score = sum(F.col(f"__p{k}") for k in range(len(self.parts))) / len(self.parts)
         out = out.select("__row.*", score.alias("__score")) if not {"score", "percentile"} & set(dataset.columns) else out.select(*[F.col(f"__row.`{c}`") for c in dataset.columns if c not in ("score", "percentile")], score.alias("__score"))
@@ -156,7 +224,7 @@ class StyleWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         m, spark = self.model, self.sparkSession
-        held = {"text": m.text, "style": m.style, "quantiles": m.quantiles, "parts": [part for part, _, _ in m.parts]}
+        held = {"text": m.text, "style": m.style, "quantiles": m.quantiles, "cleaned": m.cleaned, "parts": [part for part, _, _ in m.parts]}
         for k, (_, trees, curve) in enumerate(m.parts):
             trees.write().overwrite().save(f"{path}/fold{k}/trees")
             curve.write().overwrite().save(f"{path}/fold{k}/curve")
@@ -169,4 +237,4 @@ class StyleReader(MLReader):
         spark = SparkSession.getActiveSession()
         held = json.loads(spark.read.text(f"{path}/bundle").first().value)
         parts = [(part, GBTClassificationModel.load(f"{path}/fold{k}/trees"), LogisticRegressionModel.load(f"{path}/fold{k}/curve")) for k, part in enumerate(held["parts"])]
-        return StyleModel(held["text"], held["style"], parts, held["quantiles"])
+        return StyleModel(held["text"], held["style"], parts, held["quantiles"], held.get("cleaned", False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -260,8 +260,8 @@ def recipient_summary(spark, sf):
     return g.select(F.substring(F.sha2("address", 256), 1, 12).alias("hash"), F.substring_index("address", "@", -1).alias("domain"), "n", "authors")
 
 
-def style_vector(m: DataFrame) -> DataFrame:
-    """Twenty rates of each message after cleaning; all_caps counts lower-cased words, so only those of apostrophes."""
+def style_vector(m: DataFrame, *kept: Column | str) -> DataFrame:
+    """Twenty rates of each message after cleaning (and the columns kept, t the cleaned text); all_caps counts lower-cased words, so only those of apostrophes."""
     # explode of one element holds what is computed above it: no later expression repeats it
     m = m.select("*", F.explode(F.array(T.strip_artifacts(F.col("body")))).alias("t"))
     m = m.select("*", F.explode(F.array(F.struct(T.words(F.col("t")).alias("w"), F.transform(T.sentences(F.col("t")), lambda s: F.size(F.regexp_extract_all(s, F.lit("[A-Za-z']+"), F.lit(0))).cast("double")).alias("lens")))).alias("x")).select("*", "x.*")
@@ -270,7 +270,7 @@ def style_vector(m: DataFrame) -> DataFrame:
     rate = lambda c: F.lit(1000.0) * c / n
     k = F.size("lens").cast("double")
     mean = total(F.col("lens")) / k
-    var = total(F.transform("lens", lambda x: (x - mean) * (x - mean))) / k
+    var = T.bound(mean, lambda mean: total(F.transform("lens", lambda x: (x - mean) * (x - mean)))) / k  # else each sentence would cost a sum over all
     those = lambda f: F.size(F.filter("w", f)).cast("double")
     t = F.col("t")
     out = {
@@ -280,7 +280,7 @@ def style_vector(m: DataFrame) -> DataFrame:
         "parens": rate(T.occurrences(t, "(") + T.occurrences(t, ")")), "colons": rate(T.occurrences(t, ":")), "all_caps": rate(those(lambda x: (F.length(x) > 1) & (F.upper(x) == x))), "contractions": rate(those(lambda x: x.contains("'"))),
         "first_person": rate(those(lambda x: x.isin("i", "i'm", "i've"))), "first_plural": rate(those(lambda x: x.isin("we", "we're", "we've"))), "log_length": F.log1p(n),
     }
-    return m.select("msg_id", "author", *[F.round(c, 5).alias(name) for name, c in out.items()])
+    return m.select("msg_id", "author", *kept, *[F.round(c, 5).alias(name) for name, c in out.items()])
 
 
 def function_word_freq(spark, sf):
