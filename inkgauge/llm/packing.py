@@ -9,6 +9,7 @@ again by best-fit decreasing; the exchange stands if it saves sequences, and is
 from __future__ import annotations
 
 import bisect
+import codecs
 import functools
 import hashlib
 import json
@@ -18,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import lasting, scope, text_or_empty, trimmed, written
 
-CACHE = 120_000  # words of a generation that a worker remembers; it keeps two
+CACHE = 80_000  # words of a generation that a worker remembers; it keeps two
+STEMS = 150_000  # and stems of a generation, which cost more to find again
 LONG_TEXT = 8 << 20
 END = (1).to_bytes(4, "little")
 # Printable ASCII, and Latin and Cyrillic letters that are composed, lower-case one by one and stay letters.
 PLAIN = re.compile("(?!.*<\\|)[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u04ff]*").fullmatch
 # Bytes without a printable Latin-1 character, which byte-level models write as letters from 256 on.
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+LETTERS = "".join(chr(BYTE_LETTERS.get(b, b)) for b in range(256))
 
 
 #: What a tokenizer file must say of itself for the quick way by words: fixed values.
@@ -72,11 +76,12 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the generation before; a word that is met again moves up
         self.stems: dict[str, bytes] = {}
+        self.older_stems: dict[str, bytes] = {}
 
     def _stem(self, stem: str) -> bytes:
         """Ids of one run of letters, digit or run of marks, in the model's letters for bytes."""
         if not stem.isascii():
-            stem = stem.encode().decode("latin-1").translate(BYTE_LETTERS)
+            stem = codecs.charmap_decode(stem.encode(), "strict", LETTERS)[0]
         return array("I", [t.id for t in self.stem_ids(stem)]).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
@@ -89,15 +94,16 @@ class WordEncoder:
             made = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
             known.update((t.encode(), array("I", e.ids).tobytes()) for t, e in zip(whole, made, strict=True))
         joined = " ".join(texts)
-        for w, low in zip(joined.encode().split(), joined.lower().split(), strict=True):
-            ids = stems.get(low)
-            if ids is None:
-                parts = within(low)
-                for p in parts:
-                    if p not in stems:
-                        stems[p] = self._stem(p)
-                ids = b"".join([stems[p] for p in parts])
-            known[w] = ids
+        plain, lows = joined.encode().split(), joined.lower().split()
+        parted = {low: within(low) for low in {*lows}.difference(stems)}
+        lacking = {*chain.from_iterable(parted.values())}.difference(stems)
+        older = self.older_stems
+        for p in older.keys() & lacking:
+            stems[p] = older[p]
+        for p in lacking.difference(stems):
+            stems[p] = self._stem(p)
+        found = {low: stems[ps[0]] if len(ps) == 1 else b"".join([stems[p] for p in ps]) for low, ps in parted.items()}
+        known.update((w, stems[low] if low in stems else found[low]) for w, low in zip(plain, lows, strict=True))
 
     def encode(self, text: str) -> bytes:
         words = text.encode().split()
@@ -106,17 +112,17 @@ class WordEncoder:
         if len(self.words) + len(new) > CACHE:
             self.older, self.words = self.words, {}
             new = distinct
-        if len(self.stems) > CACHE:
-            self.stems = {}
+        if len(self.stems) > STEMS:
+            self.older_stems, self.stems = self.stems, {}
         if self.older and new:
-            again = {w: ids for w in new if (ids := self.older.get(w)) is not None}
-            self.words.update(again)
-            new.difference_update(again)
+            again = self.older.keys() & new
+            self.words.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new -= again
         if new:
             self._learn(new)
         ids = b"".join(map(self.words.__getitem__, words))
         if len(new) > CACHE or len(text) > LONG_TEXT:  # a text whose own words would crowd out all others
-            self.words, self.older, self.stems = {}, {}, {}
+            self.words, self.older, self.stems, self.older_stems = {}, {}, {}, {}
         return ids
 
 
