@@ -1,6 +1,6 @@
 """Own or not, by style, as one estimator: what it learns (grams, idf, scaling, trees, curves, quantiles) is one model that writes itself.
 
-Fitting takes a bounded sample of labelled rows. Folds of it go by a hash of the id; for each fold, grams are chosen by chi-square,
+Fitting takes all labelled rows (most_labelled bounds them for a quick try). Folds of them go by a hash of the id; for each fold, grams are chosen by chi-square,
 weighed and scaled, and trees are boosted, on the other folds only, and a logistic curve is fitted on the fold itself. A score
 is the mean of the folds' calibrated probabilities, and its percentile is taken among the scores of rows that no model of theirs had seen.
 """
@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import FUNCTION_WORDS
 from ..shared import scope, written
+from .running import running
 
 PERCENTS = [k / 100 for k in range(101)]
-ROWS_A_TASK = 4096  # of the sample; many small tasks would cost each round of boosting more than they save
-SAMPLE_TASKS = 32  # that prepare the sample, which a limit leaves in one task for each class
+ROWS_A_TASK = 4096  # of those fitted on; many small tasks would cost each round of boosting more than they save
+BOOSTING_TASKS, MOST_A_TASK = 24, 32_768  # beyond so many tasks they get larger instead, up to so many rows
+SAMPLE_TASKS, PREPARED_A_TASK = 32, 8192  # that prepare the rows fitted on: so many at least, and one for so many rows
+FOLDS_BESIDE = 100_000  # rows up to which the folds are boosted at once; beyond, one fold's rows at a time are kept in memory
 
 
 CACHE = 200_000  # words whose grams a task remembers, each of LONG_WORD characters at most
@@ -111,10 +114,10 @@ def vectors(made: DataFrame, part: dict, out: str) -> DataFrame:
 
 
 class StyleEstimator(Estimator):
-    """text and style name columns of rows; label is 0 or 1, rows without one are left out; most_labelled rows of each class are taken, by a
-    hash of their id. cleaned says that the text needs no cleaning any more."""
+    """text and style name columns of rows; label is 0 or 1, rows without one are left out. All others are fitted on, or with most_labelled
+    so many of each class, by a hash of their id. cleaned says that the text needs no cleaning any more."""
 
-    def __init__(self, text: str = "body", style: tuple[str, ...] = (), label: str = "label", id_col: str = "doc_id", rounds: int = 200, folds: int = 3, grams: int = 300, least: int = 3, most_labelled: int = 10_000, cleaned: bool = False):
+    def __init__(self, text: str = "body", style: tuple[str, ...] = (), label: str = "label", id_col: str = "doc_id", rounds: int = 200, folds: int = 3, grams: int = 300, least: int = 3, most_labelled: int | None = None, cleaned: bool = False):
         super().__init__()
         self.text, self.style, self.label, self.id, self.cleaned = text, list(style), label, id_col, cleaned
         self.rounds, self.folds, self.grams, self.least, self.most = rounds, folds, grams, least, most_labelled
@@ -122,14 +125,18 @@ class StyleEstimator(Estimator):
     def taken(self, rows: DataFrame) -> DataFrame:
         """The labelled rows that a fit on rows takes: a fit on these is the same. rows need no more than id and label."""
         y = F.col(f"`{self.label}`").cast("double")
-        known = rows.where(y.isNotNull() & F.col(f"`{self.id}`").isNotNull())
+        known = rows.where(y.isin(0.0, 1.0) & F.col(f"`{self.id}`").isNotNull())
+        if self.most is None:
+            return known
         picked = [known.where(y == v).orderBy(F.xxhash64(F.col(f"`{self.id}`")), f"`{self.id}`").limit(self.most) for v in (0.0, 1.0)]
         return picked[0].unionByName(picked[1])
 
     def _fit(self, dataset: DataFrame) -> StyleModel:
         with scope(dataset.sparkSession):
             known = dataset.select(F.col(f"`{self.id}`"), F.col(f"`{self.label}`"), *[F.col(f"`{c}`") for c in dict.fromkeys([self.text, *self.style]) if c not in (self.id, self.label)])
-            made = prepared(self.taken(known).repartition(SAMPLE_TASKS, F.col(f"`{self.id}`")), self.text, self.style, self.cleaned).select(F.col(f"`{self.id}`").alias("__id"), F.col(f"`{self.label}`").cast("double").alias("__y"), "__dense", "__low")
+            taken = self.taken(known)
+            dealt = max(SAMPLE_TASKS, math.ceil(taken.count() / PREPARED_A_TASK))
+            made = prepared(taken.repartition(dealt, F.col(f"`{self.id}`")), self.text, self.style, self.cleaned).select(F.col(f"`{self.id}`").alias("__id"), F.col(f"`{self.label}`").cast("double").alias("__y"), "__dense", "__low")
             sample = written(made.withColumn("__fold", F.pmod(F.xxhash64("__id"), F.lit(self.folds)).cast("int")))
             size = {(r["__fold"], r["__y"]): r["n"] for r in sample.groupBy("__fold", "__y").agg(F.count("*").alias("n")).collect()}
             total = sum(size.values())
@@ -139,8 +146,8 @@ class StyleEstimator(Estimator):
             cells = [cell(f, v) for f in range(self.folds) for v in (0, 1)]
             grams = F.array_distinct(_runs(F.array_distinct(T.fields(F.col("__low")))))
             counts = written(sample.select("__fold", "__y", F.explode(grams).alias("gram")).groupBy("gram").agg(*cells))
-            tasks = max(1, math.ceil(total / ROWS_A_TASK))
-            with ThreadPoolExecutor(self.folds) as pool:
+            tasks = max(1, min(BOOSTING_TASKS, math.ceil(total / ROWS_A_TASK)), math.ceil(total / MOST_A_TASK))
+            with ThreadPoolExecutor(self.folds if total <= FOLDS_BESIDE else 1) as pool:
                 chosen = list(pool.map(lambda k: self._part(sample, counts, size, k), range(self.folds)))
                 outs = [f"x{k}" for k in range(self.folds)]
                 ready = written(weighed(sample, chosen, outs).select("__id", "__y", "__fold", *outs))
@@ -149,7 +156,7 @@ class StyleEstimator(Estimator):
             held = None
             for *_, scores in parts:
                 held = scores if held is None else held.unionByName(scores)
-            model.quantiles = [float(x) for x in held.agg(F.percentile("p", F.lit(PERCENTS))).first()[0]]
+            model.quantiles = percentiles(held, "p", PERCENTS)
             return model
 
     def _chosen(self, counts: DataFrame, size: dict, k: int) -> tuple[list[str], list[float]]:
@@ -180,6 +187,18 @@ class StyleEstimator(Estimator):
         return trees, curve, curve.transform(margins).select(vector_to_array("p")[1].alias("p"))
 
 
+def percentiles(rows: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Values at the shares of all rows' values, between neighbours in proportion. They come from running totals, as one task can't hold all values."""
+    by = written(rows.groupBy(value).agg(F.count("*").alias("k")))
+    n = by.agg(F.sum("k")).first()[0]
+    places = [share * (n - 1) for share in shares]
+    wanted = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
+    upto = running(by.withColumn("every", F.lit(0)), "every", [F.col(value)], {"upto": ("sum", F.col("k"))}, {"v": F.col(value), "k": F.col("k")})
+    here = F.filter(F.lit(wanted), lambda i: (i >= F.col("upto") - F.col("k")) & (i < F.col("upto")))
+    at = {r.i: float(r.v) for r in upto.select("v", F.explode(here).alias("i")).collect()}
+    return [at[math.floor(x)] + (x - math.floor(x)) * (at[math.ceil(x)] - at[math.floor(x)]) for x in places]
+
+
 def _margins(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     """rows with z, the sum of the trees' votes as a vector of one."""
     scored = trees.setRawPredictionCol("__raw").setProbabilityCol("__prob").setPredictionCol("__pred").transform(rows)
